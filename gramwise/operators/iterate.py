@@ -18,7 +18,6 @@ from gramwise.operators.moments import (
     least_squares,
     linear_score,
     moments,
-    score_with,
     solve_small,
     solved,
 )
@@ -282,15 +281,3 @@ def fit_frame(spark, theta: Sequence[float], status: str = "ok") -> DataFrame:
     """A driver-held coefficient vector in the shape of the other fits."""
     return spark.createDataFrame([([float(v) for v in theta], status)], "theta array<double>, status string")
 
-
-__all__ = [
-    "exact_median",
-    "fit_frame",
-    "gradient_descent",
-    "logistic_regression",
-    "quantile_regression",
-    "score_vector",
-    "score_with",
-    "subgradient",
-    "weighted_quantile",
-]
