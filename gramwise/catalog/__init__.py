@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("tables", "encoding")
+AREAS = ("tables", "encoding", "samples", "summaries", "ordering")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from gramwise.catalog.support import DOCUMENTS, STUDY, Book, documents, long_form, q, r, study, table, u, union_all
 from gramwise.functions import scalars as S
@@ -286,7 +286,12 @@ def scalar_grids(spark, sf):
         "geometric": S.geometric_grid(0.01, 2.0, 10),
         "levels": S.level_set([0.25, 0.5], [0.75, 0.5], [0.05]),
     }
-    sizes = table(spark, sf, "part").groupBy((F.col("p_size") / 10.0).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    # A size first counts at the smallest grid point that reaches it; a running sum over the points does the rest.
+    entries = F.array(*[
+        F.struct(F.lit(g).alias("grid"), F.size(F.filter(a, lambda v: v < F.col("p_size") / 10.0)).alias("k")) for g, a in grids.items()
+    ])
+    first = table(spark, sf, "part").select(F.explode(entries).alias("e")).groupBy("e.grid", "e.k").agg(F.count(F.lit(1)).alias("n"))
     points = union_all([spark.range(1).select(F.lit(g).alias("grid"), F.posexplode(a).alias("k", "v")) for g, a in grids.items()])
-    joined = points.join(sizes, sizes.s <= points.v, "left")
-    return joined.groupBy("grid", "k", r("v").alias("v")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("below"))
+    running = Window.partitionBy("grid").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    joined = points.join(first, ["grid", "k"], "left")
+    return joined.select("grid", "k", r("v").alias("v"), F.coalesce(F.sum("n").over(running), F.lit(0)).alias("below"))

@@ -57,3 +57,20 @@ def quantile_score(y, quantiles, levels: Sequence[float]) -> Column:
         literal_array(levels), q, lambda a, v: F.greatest(a * (y - v), (a - 1.0) * (y - v))
     )
     return F.lit(2.0 * step) * F.aggregate(losses, F.lit(0.0), lambda s, v: s + v)
+
+
+def bilinear(x, y, grid: Sequence[Sequence[float]]) -> Column:
+    """Bilinear blend of grid[i][j], given at integer points (i, j), in the cell of (x, y).
+
+    The cell index is clipped to the grid, so points outside continue the border cell.
+    """
+    x, y = _c(x), _c(y)
+    rows, columns = len(grid), len(grid[0])
+    flat = literal_array([v for row in grid for v in row])
+    i = F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(rows - 2)).cast("int")
+    j = F.least(F.greatest(F.floor(y), F.lit(0)), F.lit(columns - 2)).cast("int")
+    at = lambda di, dj: F.get(flat, (i + di) * columns + (j + dj))
+    s, t = x - i, y - j
+    return (
+        (1.0 - s) * (1.0 - t) * at(0, 0) + s * (1.0 - t) * at(1, 0) + (1.0 - s) * t * at(0, 1) + s * t * at(1, 1)
+    )
