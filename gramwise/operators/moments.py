@@ -111,8 +111,8 @@ def add_moments(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Sum moment rows over the dropped keys. The input has few rows, one per group already aggregated."""
     def total(name):
         return F.aggregate(
-            F.slice(F.collect_list(name), 2, 2**31 - 1),
-            F.get(F.collect_list(name), 0),
+            F.collect_list(name),
+            F.transform(F.get(F.collect_list(name), 0), lambda v: F.lit(0.0)),
             lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b),
         ).alias(name)
 

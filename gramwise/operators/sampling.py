@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gramwise.functions.hashing import hash_uniform
 from gramwise.operators.ranks import hash_rank, prefix
@@ -61,6 +61,32 @@ def within_hash_rank(df: DataFrame, key: str | Sequence[str], size: int, seed: i
     return F.struct(u.alias("__u"), *[F.col(k) for k in key]) <= bound
 
 
+def seed_samples(
+    df: DataFrame, key: str | Sequence[str], size: int, seeds: Sequence[int], name: str = "is_labelled"
+) -> DataFrame:
+    """Every row once per seed, with a ``seed`` column and a flag for the ``size`` rows of smallest (hash, key).
+
+    One histogram pass over all seeds finds the cell of each cut; only the rows of those cells are ranked.
+    """
+    key = _keys(key)
+    long = df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+    u = hash_uniform(key, F.col("seed"))
+    slim = long.select("seed", *key, u.alias("__u")).withColumn("__cell", F.floor(F.col("__u") * _GRID))
+    running = Window.partitionBy("seed").orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
+    counts = slim.groupBy("seed", "__cell").agg(F.count(F.lit(1)).alias("c")).withColumn("through", F.sum("c").over(running))
+    cells = counts.where((F.col("through") >= size) & (F.col("through") - F.col("c") < size)).select(
+        "seed", "__cell", (F.lit(size) - F.col("through") + F.col("c")).alias("__need")
+    )
+    edge = prefix(slim.join(F.broadcast(cells), ["seed", "__cell"]), ["__u", *key], by=["seed"])
+    cuts = edge.where(F.col("rank") == F.col("__need")).select("seed", F.struct("__u", *key).alias("__cut"))
+    mine = F.struct(u.alias("__u"), *[F.col(k) for k in key])
+    return (
+        long.join(F.broadcast(cuts), "seed", "left")
+        .withColumn(name, F.coalesce(mine <= F.col("__cut"), F.lit(size > 0)))
+        .drop("__cut")
+    )
+
+
 def cap_rows(df: DataFrame, key: str | Sequence[str], cap: int, seed: int = 0) -> DataFrame:
     """Uniform sample without replacement of min(cap, N) rows."""
     return df.where(within_hash_rank(df, key, cap, seed))

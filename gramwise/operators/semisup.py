@@ -32,6 +32,8 @@ from gramwise.operators.moments import (
     solved,
     symmetric,
 )
+from gramwise.operators.ranks import attach
+from gramwise.session import settle
 
 
 def _c(x) -> Column:
@@ -78,6 +80,41 @@ def calibration(
     return Calibration(n, n_u, c1, order, coefficients, terms)
 
 
+def grouped_calibration(df: DataFrame, xs: Sequence[str], labelled: str, by: Sequence[str], order: int = 1) -> DataFrame:
+    """(by..., n, n_unlabelled, form): the weight's linear form per group, solved on executors; null when singular."""
+    by = list(by)
+    terms = polynomial_columns(xs, order, intercept=False)
+    sides = moments(df.withColumn("__l", _c(labelled)), terms, by=[*by, "__l"])
+    pick = lambda on, c, n: F.first(F.when(F.col("__l") == on, F.col(c)), ignorenulls=True).alias(n)
+    wide = sides.groupBy(*by).agg(pick(True, "g", "gl"), pick(True, "n", "n"), pick(False, "g", "gu"), pick(False, "n", "n_unlabelled"))
+
+    @F.pandas_udf("array<double>")
+    def form(gl: pd.Series, n: pd.Series, gu: pd.Series, m: pd.Series) -> pd.Series:
+        def one(a, k, b, l):
+            if a is None or b is None:
+                return None
+            c1 = k / (k + l)
+            fit = solve_small(symmetric(a) / k, symmetric(b)[0] / l)
+            if fit is None:
+                return None
+            fit = (1.0 - c1) * fit
+            fit[0] += c1
+            return fit.tolist()
+
+        return pd.Series([one(*v) for v in zip(gl, n, gu, m, strict=True)])
+
+    return wide.select(*by, "n", "n_unlabelled", form("gl", "n", "gu", "n_unlabelled").alias("form"))
+
+
+def grouped_calibrated_fit(df: DataFrame, xs: Sequence[str], y: str, labelled: str, by: Sequence[str], order: int = 1) -> DataFrame:
+    """(by..., theta, status): the linear calibrated fit of every group."""
+    by = list(by)
+    table = settle(grouped_calibration(df, xs, labelled, by, order).select(*by, F.col("form").alias("__form")))
+    terms = polynomial_columns(xs, order, intercept=False)
+    rows = attach(df.where(_c(labelled)), table, by).withColumn("__w", linear_score(F.col("__form"), terms))
+    return least_squares(rows, xs, y, "__w", by).select(*by, "theta", "status")
+
+
 def calibrated_fit(
     df: DataFrame,
     xs: Sequence[str],
