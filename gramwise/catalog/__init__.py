@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("tables", "encoding", "samples", "summaries", "ordering", "fits", "labels")
+AREAS = ("tables", "encoding", "samples", "summaries", "ordering", "fits", "labels", "effects")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
