@@ -144,7 +144,11 @@ def _scores(spark, sf):
     return kfold(events, "event_id", 10, 8).groupBy("event_type", "fold").agg(F.avg("value").alias("score"))
 
 
-@BOOK.add("agg20_pick_best", f"WITH {_REP} SELECT event_type, CAST(arg_min(fold, score) AS INTEGER) AS fold, {q('min(score)')} AS score FROM (SELECT event_type, fold, round(score, 0) AS score FROM rep ORDER BY fold) GROUP BY event_type")
+@BOOK.add(
+    "agg20_pick_best",
+    f"""WITH {_REP}, s AS (SELECT event_type, fold, round(score, 0) AS score FROM rep), m AS (SELECT event_type, min(score) AS score FROM s GROUP BY 1)
+    SELECT s.event_type, min(s.fold) AS fold, {q("min(s.score)")} AS score FROM s JOIN m ON s.event_type = m.event_type AND s.score = m.score GROUP BY 1""",
+)
 def agg20(spark, sf):
     """Scores are rounded so that ties occur; the smallest index wins."""
     rows = _scores(spark, sf).select("event_type", "fold", F.round("score", 0).alias("score"), (F.col("fold") * 2).alias("parameter"))
@@ -152,12 +156,6 @@ def agg20(spark, sf):
     return best.select("event_type", "fold", r("score").alias("score"))
 
 
-BOOK.sql["agg20_pick_best"] = (
-    f"WITH {_REP}, s AS (SELECT event_type, fold, round(score, 0) AS score FROM rep), m AS (SELECT event_type, min(score) AS score FROM s GROUP BY 1) "
-    f"SELECT s.event_type, min(s.fold) AS fold, {q('min(s.score)')} AS score FROM s JOIN m ON s.event_type = m.event_type AND s.score = m.score GROUP BY 1"
-)
-
-
 @BOOK.add("agg21_mean_of_means", f"WITH {_REP}, g AS (SELECT fold, round(avg(score), 3) AS score FROM rep GROUP BY fold) SELECT {q('avg(score)')} AS score FROM g")
 def agg21(spark, sf):
     per_fold = M.group_means(_scores(spark, sf), ["fold"], ["score"], 3)

@@ -157,10 +157,10 @@ def vote(neighbours: str | Column, k: int, classes: Sequence[int]) -> Column:
     """Majority class among the first k neighbours; the smallest label wins ties."""
     column = F.col(neighbours) if isinstance(neighbours, str) else neighbours
     first = F.slice(column, 1, k)
-    tally = F.array(*[
-        F.struct(F.size(F.filter(first, lambda n, c=c: n["payload"] == F.lit(float(c)))).alias("n"), F.lit(-c).alias("c"))
-        for c in classes
-    ])
+    def count(label):
+        return F.size(F.filter(first, lambda n: n["payload"] == F.lit(float(label))))
+
+    tally = F.array(*[F.struct(count(c).alias("n"), F.lit(-c).alias("c")) for c in classes])
     return -F.array_max(tally)["c"]
 
 

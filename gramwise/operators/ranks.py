@@ -118,6 +118,22 @@ def order_statistic_edges(df: DataFrame, column: str, bins: int, by: Sequence[st
     return ranked.where(hit).select(*by, "value")
 
 
+def level_quantiles(df: DataFrame, column: str, levels: Sequence[float], by: Sequence[str] = (), name: str = "q") -> DataFrame:
+    """(by..., q): for every level the smallest value whose rank reaches level * N, as one ascending array per group."""
+    by = list(by)
+    counts = value_counts(df, column, by)
+    ranked = prefix(counts, ["value"], "n", by)
+    size = counts.groupBy(*by).agg(F.sum("n").alias("__size"))
+    ranked = attach(ranked, size, by) if by else ranked.withColumn("__size", F.lit(size.first()["__size"]))
+    # Rank wanted per level; the slack keeps level * N exact where it is an integer.
+    wanted = F.array(*[F.greatest(F.ceil(F.col("__size") * F.lit(float(a)) - 1e-9), F.lit(1)) for a in levels])
+    hits = F.filter(wanted, lambda r: (r > F.col("before")) & (r <= F.col("through")))
+    found = ranked.withColumn("__r", F.explode(hits))
+    return found.groupBy(*by).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("__r", "value"))), lambda s: s["value"].cast("double")).alias(name)
+    )
+
+
 def auc(df: DataFrame, label: str, score: str | Column, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by mid-ranks: (by..., auc). Equal scores collapse before ranking."""
     by = list(by)

@@ -7,6 +7,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gramwise.operators.sampling import kfold
@@ -25,11 +26,12 @@ def score_column(
     The model is broadcast once and called on at most ``batch_rows`` rows at a time. Only the features travel
     to Python. ``returns`` is 'double' or 'array<double>' (class probabilities, quantiles).
     """
-    shipped = spark.sparkContext.broadcast(model)
+    # Closures and lambdas are models too, hence cloudpickle; each task unpacks the model once.
+    shipped = spark.sparkContext.broadcast(cloudpickle.dumps(model))
 
     @F.pandas_udf(returns)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        held = shipped.value
+        held = cloudpickle.loads(shipped.value)
         call = getattr(held, method) if hasattr(held, method) else held
         for rows in batches:
             if not len(rows):

@@ -68,18 +68,7 @@ class PenaltyPath:
         )
 
 
-def penalty_path(
-    df: DataFrame, part: str, features: Sequence[Column], y: str, ratio: float = 2.0
-) -> PenaltyPath:
-    """Fit on part 'fit'; judge every penalty by held-out source rows ('hold'), by labels imputed on the target with a
-
-    fit on 'hold' (pseudo), and by the target's own labels (real). All errors are quadratic forms in moments of the
-    three parts, so one pass over the data serves the whole path.
-    """
-    rows = moments(df, features, [y], by=[part], intercept=False, cross=True).collect()
-    side = {
-        r[part]: {"n": r["n"], "gram": symmetric(r["g"]), "rhs": np.asarray(r["b"]), "yy": r["rr"][0]} for r in rows
-    }
+def _path_of(spark, side: dict, features: Sequence[Column], ratio: float) -> PenaltyPath:
     n = side["fit"]["n"] + side["hold"]["n"]
     penalties = penalty_grid(n, ratio)
 
@@ -98,10 +87,31 @@ def penalty_path(
         pseudo = float(gap @ target["gram"] @ gap) / target["n"]
         table.append((j, lam, error(side["hold"], theta), pseudo, error(target, theta)))
     chosen = {name: min(range(len(table)), key=lambda j, c=c: (table[j][c], j)) for c, name in ((2, "naive"), (3, "pseudo"), (4, "real"))}
-    frame = df.sparkSession.createDataFrame(table, "idx int, lambda double, naive double, pseudo double, real double")
+    frame = spark.createDataFrame(table, "idx int, lambda double, naive double, pseudo double, real double")
     return PenaltyPath(frame, penalties, thetas, imputer, list(features), chosen)
 
 
+def penalty_paths(
+    df: DataFrame, part: str, features: Sequence[Column], y: str, by: Sequence[str] = (), ratio: float = 2.0
+) -> dict[tuple, PenaltyPath]:
+    """A penalty path per group (per repetition), from one pass over the data.
+
+    Fits use part 'fit'. Every penalty is judged by held-out source rows ('hold': naive), by labels imputed on the
+    target with a fit on 'hold' (pseudo), and by the target's own labels (real). All errors are quadratic forms in
+    the moments of the three parts.
+    """
+    by = list(by)
+    sides: dict[tuple, dict] = {}
+    for r in moments(df, features, [y], by=[*by, part], intercept=False, cross=True).collect():
+        group = sides.setdefault(tuple(r[k] for k in by), {})
+        group[r[part]] = {"n": r["n"], "gram": symmetric(r["g"]), "rhs": np.asarray(r["b"]), "yy": r["rr"][0]}
+    return {key: _path_of(df.sparkSession, side, features, ratio) for key, side in sides.items()}
+
+
+def penalty_path(df: DataFrame, part: str, features: Sequence[Column], y: str, ratio: float = 2.0) -> PenaltyPath:
+    return penalty_paths(df, part, features, y, (), ratio)[()]
+
+
 def excess_risk(df: DataFrame, truth: str, methods: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., method, mean, se) of squared gaps between truth and the columns p_<method>; one pass."""
     cells = [F.struct(F.lit(m).alias("method"), squared_error(truth, f"p_{m}").alias("e")) for m in methods]
