@@ -9,6 +9,7 @@ from gramwise.functions.hashing import hash_uniform
 from gramwise.operators import iterate as I
 from gramwise.operators import semisup as P
 from gramwise.operators.moments import coefficient_rows, least_squares
+from gramwise.operators.ranks import attach
 from gramwise.operators.sampling import kfold
 from gramwise.operators.sliced import bandwidth_errors, sliced_semisupervised
 from gramwise.plans.semisup_study import coefficients_by_seed, compare, status_counts
@@ -262,7 +263,7 @@ o AS (SELECT 'supervised' AS method, sa AS a, sb AS b FROM w UNION ALL SELECT 'i
 def imputed_documents(spark, sf):
     docs = documents(spark, sf)
     means = docs.where("has_label").groupBy("lang").agg(F.avg("y").alias("h"))
-    return docs.join(means, "lang")
+    return attach(docs, means, ["lang"])
 
 
 @BOOK.add("ssl11_ssl12_debiased_linear", f"WITH {_IMP}, {_VARIANTS}, f AS (SELECT variant, regr_intercept(z, x) AS a, regr_slope(z, x) AS b FROM v GROUP BY variant), {_DEBIASED} {_line_sql('o', 'a', 'b', 'method, ')}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gramwise.catalog.support import Book, long_form, long_sql, q, r, table, u
 from gramwise.operators import intervals as V
-from gramwise.operators.ranks import level_quantiles
+from gramwise.operators.ranks import attach, level_quantiles
 from gramwise.operators.sampling import kfold
 from gramwise.plans import calibration as K
 from gramwise.session import scratch_path
@@ -49,16 +49,16 @@ def _events(spark, sf):
     return kfold(table(spark, sf, "events").select("event_id", "event_type", "value"), "event_id", 4, 81)
 
 
-def _empirical(spark, sf):
+def _empirical(spark, sf, every=False):
     events = _events(spark, sf)
     quantiles = level_quantiles(events.where("fold > 0"), "value", LEVELS, ["event_type"])
-    return events.where("fold = 0").join(quantiles, "event_type")
+    return attach(events if every else events.where("fold = 0"), quantiles, ["event_type"])
 
 
 def _gaussian(spark, sf):
     events = _events(spark, sf)
     stats = events.where("fold > 0").groupBy("event_type").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"))
-    return events.join(stats, "event_type").withColumn("q", V.gaussian_quantiles("m", "v", 0.5, LEVELS)).drop("m", "v")
+    return attach(events, stats, ["event_type"]).withColumn("q", V.gaussian_quantiles("m", "v", 0.5, LEVELS)).drop("m", "v")
 
 
 @BOOK.add("udf5_level_quantiles", f"WITH {_SPLIT}, {_EMP} SELECT event_type, CAST(i AS INTEGER) AS i, {q('q[i+1]')} AS value FROM em, range({len(LEVELS)}) t(i)")
@@ -91,30 +91,28 @@ _BOTH = f"""{_SPLIT}, {_EMP}, {_GAU}, z AS (SELECT 'empirical' AS method, * FROM
   su AS (SELECT m.event_type, m.method, round(cov_95, 3) AS cov_95, round(width_95, 3) AS width_95, round(crps, 3) AS crps, round(ks, 3) AS ks FROM m JOIN kk ON m.event_type = kk.event_type AND m.method = kk.method)"""
 
 
-def _reports(spark, sf):
-    events = _events(spark, sf)
-    quantiles = level_quantiles(events.where("fold > 0"), "value", LEVELS, ["event_type"])
-    empirical = events.join(quantiles, "event_type").withColumn("method", F.lit("empirical"))
-    both = empirical.unionByName(_gaussian(spark, sf).withColumn("method", F.lit("gaussian")))
-    return K.report(both, "value", "q", LEVELS, "event_type", "method", "fold")
+def _both(spark, sf):
+    empirical = _empirical(spark, sf, every=True).withColumn("method", F.lit("empirical"))
+    return empirical.unionByName(_gaussian(spark, sf).withColumn("method", F.lit("gaussian")))
 
 
+_KEYS = ("value", "q", LEVELS, "event_type", "method", "fold")
 _FOUR = ("cov_95", "width_95", "crps", "ks")
 
 
 @BOOK.add("uq4_agg23_dataset_summary", f"WITH {_BOTH} SELECT event_type, method, {', '.join(f'{q(c)} AS {c}' for c in _FOUR)} FROM su")
 def uq4(spark, sf):
-    return _reports(spark, sf)["summary"].select("event_type", "method", *[r(c).alias(c) for c in _FOUR])
+    return K.dataset_summary(_both(spark, sf), *_KEYS).select("event_type", "method", *[r(c).alias(c) for c in _FOUR])
 
 
 @BOOK.add("uq4_agg21_overall", f"WITH {_BOTH} SELECT method, {', '.join(f'{q(f"avg({c})")} AS {c}' for c in _FOUR)} FROM su GROUP BY method")
 def uq4_overall(spark, sf):
-    return _reports(spark, sf)["overall"].select("method", *[r(c).alias(c) for c in _FOUR])
+    return K.overall_summary(K.dataset_summary(_both(spark, sf), *_KEYS), "method").select("method", *[r(c).alias(c) for c in _FOUR])
 
 
 @BOOK.add("uq4_agg24_width_table", f"WITH {_BOTH} SELECT event_type, {q("max(width_95) FILTER (method = 'empirical')", 3)} AS empirical, {q("max(width_95) FILTER (method = 'gaussian')", 3)} AS gaussian FROM su GROUP BY event_type")
 def uq4_table(spark, sf):
-    return K.width_table(_reports(spark, sf)["summary"], "event_type", "method", ["empirical", "gaussian"])
+    return K.width_table(K.dataset_summary(_both(spark, sf), *_KEYS), "event_type", "method", ["empirical", "gaussian"])
 
 
 @BOOK.add(
@@ -122,12 +120,12 @@ def uq4_table(spark, sf):
     f"WITH {_BOTH}, c AS ({' UNION ALL '.join(f'SELECT method, {c}::DOUBLE AS level, cov_{round(100 * c)} AS coverage FROM p' for c in V.NOMINAL)}) SELECT method, level, {q('avg(coverage)')} AS mean, {q('stddev_pop(coverage)')} AS sd FROM c GROUP BY method, level",
 )
 def uq4_curve(spark, sf):
-    return _reports(spark, sf)["curve"].select("method", "level", r("mean").alias("mean"), r("sd").alias("sd"))
+    return K.calibration_curve(_both(spark, sf), *_KEYS).select("method", "level", r("mean").alias("mean"), r("sd").alias("sd"))
 
 
 @BOOK.add("uq4_agg19_pit_histogram", f"WITH {_BOTH} SELECT method, CAST(least(floor(pit * 20), 19) AS INTEGER) AS bin, count(*) AS n, {q('count(*) * 20.0 / any_value(t.total)')} AS density FROM z JOIN (SELECT method, count(*) AS total FROM z GROUP BY method) t USING (method) GROUP BY 1, 2")
 def uq4_histogram(spark, sf):
-    return _reports(spark, sf)["histogram"].select("method", "bin", "n", r("density").alias("density"))
+    return K.pit_histogram(_both(spark, sf), "value", "q", LEVELS, "method").select("method", "bin", "n", r("density").alias("density"))
 
 
 _RUN = f"""c AS (SELECT p_partkey AS id, p_size, p_retailprice FROM part ORDER BY {u("p_partkey", 5)}, p_partkey LIMIT 1250),

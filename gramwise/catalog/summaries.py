@@ -8,6 +8,7 @@ from gramwise.catalog.support import STUDY, Book, long_form, long_sql, q, r, stu
 from gramwise.functions.hashing import hash_uniform
 from gramwise.operators import metrics as M
 from gramwise.operators.iterate import exact_median
+from gramwise.operators.ranks import attach
 from gramwise.operators.sampling import kfold
 
 BOOK = Book()
@@ -127,7 +128,7 @@ _BANDS = f"""b AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS s FR
 def _bands(spark, sf):
     events = table(spark, sf, "events").select("event_id", "event_type", "value")
     stats = events.groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    rows = kfold(events, "event_id", 4, 8, "rep").join(stats, "event_type")
+    rows = attach(kfold(events, "event_id", 4, 8, "rep"), stats, ["event_type"])
     return rows.withColumns({"x": (F.col("value") - F.col("m")) / F.col("s"), "lo": F.col("m") - F.col("s"), "hi": F.col("m") + F.col("s")})
 
 

@@ -21,11 +21,13 @@ from gramwise.operators.encode import counterfactual_rows
 from gramwise.operators.iterate import logistic_regression
 from gramwise.operators.moments import (
     least_squares,
+    linear_score,
     moments,
     out_of_fold_least_squares,
     score_with,
     solved,
 )
+from gramwise.operators.ranks import attach
 from gramwise.operators.score import score_column
 from gramwise.session import settle
 
@@ -174,10 +176,13 @@ def _arm_outcomes(df, test, xs, t, y, learner, by, names=("__m0", "__m1")) -> Da
     if isinstance(learner, LinearLearner):
         # Both arms from one grouped pass.
         fits = settle(least_squares(df, xs, y, by=[*by, t], ridge=learner.ridge))
-        out = test
-        for value, name in enumerate(names):
-            out = score_with(out, fits.where(F.col(t) == value).drop(t), xs, name, by)
-        return out
+        side = lambda v: F.first(F.when(F.col(t) == v, F.col("theta")), ignorenulls=True).alias(f"__theta{v}")
+        if not by:
+            pair = fits.agg(side(0), side(1)).first()
+            return test.withColumns({name: linear_score(pair[f"__theta{v}"], xs) for v, name in enumerate(names)})
+        joined = attach(test, fits.groupBy(*by).agg(side(0), side(1)), by, "left")
+        scores = {name: linear_score(F.col(f"__theta{v}"), xs) for v, name in enumerate(names)}
+        return joined.withColumns(scores).drop("__theta0", "__theta1")
     out = test
     for value, name in enumerate(names):
         out = learner.fit(df.where(F.col(t) == value), xs, y, by=by).score(out, name)

@@ -186,9 +186,7 @@ def weighted_quantile(df: DataFrame, column: str, tau: float, weight: str | None
     mass = F.sum(weight) if weight else F.count(F.lit(1))
     distinct = df.groupBy(*by, F.col(column).alias("value")).agg(mass.cast("double").alias("n"))
     ranked = prefix(distinct, ["value"], "n", by)
-    total = distinct.groupBy(*by).agg(F.sum("n").alias("__total"))
-    ranked = attach(ranked, total, by) if by else ranked.withColumn("__total", F.lit(total.first()["__total"]))
-    return ranked.where(F.col("through") >= F.col("__total") * F.lit(tau) - 1e-9).groupBy(*by).agg(
+    return ranked.where(F.col("through") >= F.col("total") * F.lit(tau) - 1e-9).groupBy(*by).agg(
         F.min("value").alias("quantile")
     )
 
@@ -196,11 +194,8 @@ def weighted_quantile(df: DataFrame, column: str, tau: float, weight: str | None
 def exact_median(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Median with the two middle values averaged: (by..., median)."""
     by = list(by)
-    counts = value_counts(df, column, by)
-    ranked = prefix(counts, ["value"], "n", by)
-    size = counts.groupBy(*by).agg(F.sum("n").alias("__size"))
-    ranked = attach(ranked, size, by) if by else ranked.withColumn("__size", F.lit(size.first()["__size"]))
-    low, high = F.floor((F.col("__size") + 1) / 2), F.ceil((F.col("__size") + 1) / 2)
+    ranked = prefix(value_counts(df, column, by), ["value"], "n", by)
+    low, high = F.floor((F.col("total") + 1) / 2), F.ceil((F.col("total") + 1) / 2)
     hits = lambda r: ((r > F.col("before")) & (r <= F.col("through"))).cast("int")
     picked = ranked.withColumn("__hits", hits(low) + hits(high)).where(F.col("__hits") > 0)
     return picked.groupBy(*by).agg((F.sum(F.col("value") * F.col("__hits")) / 2.0).alias("median"))
@@ -213,10 +208,10 @@ def quantile_regression(
     tau: float,
     weight: str | Column | None = None,
     start: Sequence[float] | None = None,
-    shrink: float = 0.3,
+    shrink: float = 0.25,
     final_bandwidth: float = 1e-3,
     tol: float = 1e-6,
-    max_iter: int = 80,
+    max_iter: int = 60,
 ) -> tuple[np.ndarray, str]:
     """Linear quantile fit: Newton on the check loss convolved with a logistic kernel, its bandwidth shrinking.
 
@@ -234,37 +229,39 @@ def quantile_regression(
         residual = F.col("__y") - linear_score(theta, names)
         spread = slim.agg(F.stddev_pop(residual)).first()[0] or 1.0
 
-        def look(at, h):
+        def look(at, h, h_next):
+            """Loss at h; gradient, curvature and loss at h_next: one pass."""
             u = F.col("__y") - linear_score(at, names)
-            rows = slim.withColumn("__u", u).withColumn("__s", logistic(-F.col("__u") / h))
-            stable = F.greatest(-F.col("__u") / h, F.lit(0.0)) + F.log1p(F.exp(-F.abs(F.col("__u") / h)))
-            loss = F.col("__w") * (tau * F.col("__u") + h * stable)
-            curvature = F.col("__w") * F.col("__s") * (1.0 - F.col("__s")) / h
+            rows = slim.withColumn("__u", u).withColumn("__s", logistic(-F.col("__u") / h_next))
+
+            def loss(width):
+                over = -F.col("__u") / width
+                return F.col("__w") * (tau * F.col("__u") + width * (F.greatest(over, F.lit(0.0)) + F.log1p(F.exp(-F.abs(over)))))
+
+            curvature = F.col("__w") * F.col("__s") * (1.0 - F.col("__s")) / h_next
             slope = F.col("__w") * (F.col("__s") - tau)
-            # The loss rides along as a response: its sum against the intercept is the total.
-            part = collect_moments(moments(rows, names, [slope, loss], curvature), 2)
-            return part["gram"], part["rhs"][0], part["rhs"][1][0], part["n"]
+            # The losses ride along as responses: their sums against the intercept are the totals.
+            part = collect_moments(moments(rows, names, [slope, loss(h_next), loss(h)], curvature), 3)
+            return part["rhs"][2][0], (part["gram"], part["rhs"][0], part["rhs"][1][0])
 
+        last = final_bandwidth * spread
         h = spread
-        gram, slope, loss, n = look(theta, h)
+        _, (gram, slope, loss) = look(theta, h, h)
         for _ in range(max_iter):
             step = solve_small(gram, -slope)
             if step is None:
                 return theta, "singular"
-            size = 1.0
+            size, h_next = 1.0, max(h * shrink, last)
             while True:
                 candidate = theta + size * step
-                new = look(candidate, h)
-                if new[2] <= loss + 1e-12 * abs(loss) or size < 1e-3:
+                reached, new = look(candidate, h, h_next)
+                if reached <= loss + 1e-12 * abs(loss) or size < 1e-3:
                     break
                 size /= 2.0
-            theta, (gram, slope, loss, n) = candidate, new
-            small = np.linalg.norm(size * step) <= max(tol, 0.01 * h / spread) * max(1.0, np.linalg.norm(theta))
-            if small and h <= final_bandwidth * spread:
+            done = h <= last and np.linalg.norm(size * step) <= tol * max(1.0, np.linalg.norm(theta))
+            theta, h, (gram, slope, loss) = candidate, h_next, new
+            if done:
                 return theta, "ok"
-            if small:
-                h = max(h * shrink, final_bandwidth * spread)
-                gram, slope, loss, n = look(theta, h)
         return theta, "not converged"
     finally:
         slim.unpersist()

@@ -213,13 +213,20 @@ def linear_score(theta: Sequence[float] | Column, xs: Sequence[str | Column]) ->
     return total
 
 
+def collected_theta(fits: DataFrame) -> list[float] | None:
+    """Coefficients of a one-row fit, fetched once per frame."""
+    if not hasattr(fits, "_gramwise_theta"):
+        fits._gramwise_theta = fits.first()["theta"]
+    return fits._gramwise_theta
+
+
 def score_with(df: DataFrame, fits: DataFrame, xs: Sequence[str | Column], name: str, by: Sequence[str] = ()) -> DataFrame:
     """Add the prediction of the fit that belongs to each row's group (null where the group has no fit)."""
     by = list(by)
     if not by:
-        theta = fits.first()["theta"]
+        theta = collected_theta(fits)
         return df.withColumn(name, F.lit(None).cast("double") if theta is None else linear_score(theta, xs))
-    table = settle(fits.select(*by, F.col("theta").alias("__theta")))
+    table = settle(fits).select(*by, F.col("theta").alias("__theta"))
     joined = attach(df, table, by, "left")
     return joined.withColumn(name, linear_score(F.col("__theta"), xs)).drop("__theta")
 

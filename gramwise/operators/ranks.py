@@ -21,10 +21,12 @@ def _buckets(df: DataFrame) -> int:
 
 
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a keyed statistics table: broadcast when its row count is checked to be small, else shuffled.
+    """Join a table of statistics or coefficients that was derived from much larger data.
 
-    Keys compare null-safe where either side may hold a null.
+    It is computed once and stored; it is broadcast when its counted rows are few, else joined by shuffle. Rows
+    with a null key have no match.
     """
+    table = settle(table)
     return df.join(F.broadcast(table) if at_most(table, BROADCAST_ROWS) else table, list(keys), how)
 
 
@@ -36,9 +38,12 @@ def _within_buckets(df: DataFrame, by: list[str], order: list[Column], value: Co
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum("__value").alias("__total"))
     before = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     through = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, 0)
+    group = Window.partitionBy(*by)
     totals = totals.select(
         *keys,
         "__n",
+        F.sum("__n").over(group).alias("__rows"),
+        F.sum("__total").over(group).alias("__sum"),
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rank0"),
         F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__value0"),
         F.sum("__total").over(through).alias("__value1"),
@@ -56,6 +61,8 @@ def _within_buckets(df: DataFrame, by: list[str], order: list[Column], value: Co
         F.when(number == F.col("__n"), F.col("__value1"))
         .otherwise(F.col("__value0") + F.sum("__value").over(running))
         .alias("through"),
+        F.col("__rows").alias("group_rows"),
+        F.col("__sum").alias("total"),
     )
 
 
@@ -65,7 +72,9 @@ def prefix(
     value: str | Column | None = None,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``rank`` (1-based), ``before`` and ``through`` (running sums of ``value``, default 1).
+    """Add ``rank`` (1-based), ``before`` and ``through`` (running sums of ``value``, default 1), and the group's
+
+    ``group_rows`` and ``total``. The rows are stored once on the way, so pass only the columns needed.
 
     ``order`` must identify a row inside its group: aggregate to distinct values first, or end the list with
     a unique key. Hot groups and hot values are then spread over partitions.
@@ -82,7 +91,7 @@ def hash_rank(df: DataFrame, key: Sequence[str], seed: int, by: Sequence[str] =
     n = _buckets(df)
     df = df.withColumn("__u", hash_uniform(key, seed)).withColumn(_BUCKET, F.floor(F.col("__u") * n))
     ranked = _within_buckets(df, by, [F.col("__u"), *[F.col(c) for c in key]], None)
-    return ranked.drop("__u", "before", "through")
+    return ranked.drop("__u", "before", "through", "total")
 
 
 def value_counts(df: DataFrame, column: str | Column, by: Sequence[str] = ()) -> DataFrame:
@@ -98,18 +107,12 @@ def order_statistic_edges(df: DataFrame, column: str, bins: int, by: Sequence[st
     (j+1)-th; k=0 is the minimum and k=bins the maximum. Integer arithmetic keeps the test for t exact.
     """
     by = list(by)
-    counts = value_counts(df, column, by)
-    ranked = prefix(counts, ["value"], "n", by)
-    size = counts.groupBy(*by).agg(F.sum("n").alias("__size"))
-    if by:
-        ranked = attach(ranked, size, by)
-    else:
-        ranked = ranked.withColumn("__size", F.lit(size.first()["__size"]))
-    t = lambda k: (F.col("__size") - 1) * k
+    ranked = prefix(value_counts(df, column, by), ["value"], "n", by)
+    t = lambda k: (F.col("total") - 1) * k
     wanted = F.transform(
         F.sequence(F.lit(0), F.lit(bins)),
         lambda k: F.when(k == 0, F.lit(1).cast("long"))
-        .when(k == bins, F.col("__size"))
+        .when(k == bins, F.col("total"))
         .when(t(k) % bins == 0, F.floor(t(k) / bins))
         .otherwise(F.floor(t(k) / bins) + 1),
     )
@@ -121,12 +124,9 @@ def order_statistic_edges(df: DataFrame, column: str, bins: int, by: Sequence[st
 def level_quantiles(df: DataFrame, column: str, levels: Sequence[float], by: Sequence[str] = (), name: str = "q") -> DataFrame:
     """(by..., q): for every level the smallest value whose rank reaches level * N, as one ascending array per group."""
     by = list(by)
-    counts = value_counts(df, column, by)
-    ranked = prefix(counts, ["value"], "n", by)
-    size = counts.groupBy(*by).agg(F.sum("n").alias("__size"))
-    ranked = attach(ranked, size, by) if by else ranked.withColumn("__size", F.lit(size.first()["__size"]))
+    ranked = prefix(value_counts(df, column, by), ["value"], "n", by)
     # Rank wanted per level; the slack keeps level * N exact where it is an integer.
-    wanted = F.array(*[F.greatest(F.ceil(F.col("__size") * F.lit(float(a)) - 1e-9), F.lit(1)) for a in levels])
+    wanted = F.array(*[F.greatest(F.ceil(F.col("total") * F.lit(float(a)) - 1e-9), F.lit(1)) for a in levels])
     hits = F.filter(wanted, lambda r: (r > F.col("before")) & (r <= F.col("through")))
     found = ranked.withColumn("__r", F.explode(hits))
     return found.groupBy(*by).agg(
@@ -153,14 +153,11 @@ def auc(df: DataFrame, label: str, score: str | Column, by: Sequence[str] = ())
 def uniform_ks(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Kolmogorov-Smirnov distance of a column to the uniform distribution on [0, 1]: (by..., ks, n)."""
     by = list(by)
-    counts = value_counts(df, column, by)
-    ranked = prefix(counts, ["value"], "n", by)
-    size = counts.groupBy(*by).agg(F.sum("n").alias("__size"))
-    ranked = attach(ranked, size, by) if by else ranked.withColumn("__size", F.lit(size.first()["__size"]))
+    ranked = prefix(value_counts(df, column, by), ["value"], "n", by)
     gap = F.greatest(
-        F.col("through") / F.col("__size") - F.col("value"), F.col("value") - F.col("before") / F.col("__size")
+        F.col("through") / F.col("total") - F.col("value"), F.col("value") - F.col("before") / F.col("total")
     )
-    return ranked.groupBy(*by).agg(F.max(gap).alias("ks"), F.max("__size").alias("n"))
+    return ranked.groupBy(*by).agg(F.max(gap).alias("ks"), F.max("total").alias("n"))
 
 
 def density_histogram(df: DataFrame, column: str, bins: int = 20, by: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gramwise.functions.hashing import hash_uniform
-from gramwise.operators.ranks import hash_rank, prefix
+from gramwise.operators.ranks import attach, hash_rank, prefix
 
 _GRID = 4096
 _FINISH_ROWS = 20_000
@@ -61,30 +61,36 @@ def within_hash_rank(df: DataFrame, key: str | Sequence[str], size: int, seed: i
     return F.struct(u.alias("__u"), *[F.col(k) for k in key]) <= bound
 
 
+def _group_cuts(slim: DataFrame, key: list[str], by: list[str], take: Column) -> DataFrame:
+    """(by..., __cut): per group the (hash, key) of its ``take``-th row; ``take`` may use the group size ``__n``.
+
+    One histogram pass over all groups finds the cell of each cut; only the rows of those cells are ranked.
+    """
+    slim = slim.withColumn("__cell", F.floor(F.col("__u") * _GRID))
+    running = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
+    counts = slim.groupBy(*by, "__cell").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumns({"__through": F.sum("c").over(running), "__n": F.sum("c").over(Window.partitionBy(*by))})
+    counts = counts.withColumn("__take", F.least(take, F.col("__n")))
+    cells = counts.where((F.col("__through") >= F.col("__take")) & (F.col("__through") - F.col("c") < F.col("__take")))
+    cells = cells.select(*by, "__cell", (F.col("__take") - F.col("__through") + F.col("c")).alias("__need"))
+    edge = prefix(attach(slim, cells, [*by, "__cell"]), ["__u", *key], by=by)
+    return edge.where(F.col("rank") == F.col("__need")).select(*by, F.struct("__u", *key).alias("__cut"))
+
+
+def _flag_below(df: DataFrame, cuts: DataFrame, key: list[str], by: list[str], u: Column, name: str) -> DataFrame:
+    mine = F.struct(u.alias("__u"), *[F.col(k) for k in key])
+    return attach(df, cuts, by, "left").withColumn(name, F.coalesce(mine <= F.col("__cut"), F.lit(False))).drop("__cut")
+
+
 def seed_samples(
     df: DataFrame, key: str | Sequence[str], size: int, seeds: Sequence[int], name: str = "is_labelled"
 ) -> DataFrame:
-    """Every row once per seed, with a ``seed`` column and a flag for the ``size`` rows of smallest (hash, key).
-
-    One histogram pass over all seeds finds the cell of each cut; only the rows of those cells are ranked.
-    """
+    """Every row once per seed, with a ``seed`` column and a flag for the ``size`` rows of smallest (hash, key)."""
     key = _keys(key)
     long = df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
     u = hash_uniform(key, F.col("seed"))
-    slim = long.select("seed", *key, u.alias("__u")).withColumn("__cell", F.floor(F.col("__u") * _GRID))
-    running = Window.partitionBy("seed").orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
-    counts = slim.groupBy("seed", "__cell").agg(F.count(F.lit(1)).alias("c")).withColumn("through", F.sum("c").over(running))
-    cells = counts.where((F.col("through") >= size) & (F.col("through") - F.col("c") < size)).select(
-        "seed", "__cell", (F.lit(size) - F.col("through") + F.col("c")).alias("__need")
-    )
-    edge = prefix(slim.join(F.broadcast(cells), ["seed", "__cell"]), ["__u", *key], by=["seed"])
-    cuts = edge.where(F.col("rank") == F.col("__need")).select("seed", F.struct("__u", *key).alias("__cut"))
-    mine = F.struct(u.alias("__u"), *[F.col(k) for k in key])
-    return (
-        long.join(F.broadcast(cuts), "seed", "left")
-        .withColumn(name, F.coalesce(mine <= F.col("__cut"), F.lit(size > 0)))
-        .drop("__cut")
-    )
+    cuts = _group_cuts(long.select("seed", *key, u.alias("__u")), key, ["seed"], F.lit(size))
+    return _flag_below(long, cuts, key, ["seed"], u, name)
 
 
 def cap_rows(df: DataFrame, key: str | Sequence[str], cap: int, seed: int = 0) -> DataFrame:
@@ -133,10 +139,11 @@ def train_test_split(
 def stratified_split(
     df: DataFrame, key: str | Sequence[str], strata: str, fraction: float, seed: int = 0, name: str = "is_calibration"
 ) -> DataFrame:
-    """Mark round(fraction * n_s) rows of every stratum s. A hot stratum is ranked over many buckets."""
-    sizes = df.groupBy(strata).agg(F.round(F.count(F.lit(1)) * F.lit(fraction)).cast("long").alias("__take"))
-    ranked = hash_rank(df, _keys(key), seed, [strata])
-    return ranked.join(sizes, strata).withColumn(name, F.col("rank") <= F.col("__take")).drop("rank", "__take")
+    """Mark round(fraction * n_s) rows of every stratum s, by a cut of its own: no stratum is gathered or sorted."""
+    key, u = _keys(key), hash_uniform(key, seed)
+    take = F.round(F.col("__n") * F.lit(fraction)).cast("long")
+    cuts = _group_cuts(df.select(strata, *key, u.alias("__u")), key, [strata], take)
+    return _flag_below(df, cuts, key, [strata], u, name)
 
 
 def kfold(
@@ -146,16 +153,25 @@ def kfold(
     if not balanced:
         return df.withColumn(name, F.floor(hash_uniform(key, seed) * k).cast("int"))
     ranked = hash_rank(df, _keys(key), seed)
-    return ranked.withColumn(name, ((F.col("rank") - 1) % k).cast("int")).drop("rank")
+    return ranked.withColumn(name, ((F.col("rank") - 1) % k).cast("int")).drop("rank", "group_rows")
 
 
 def head_tail_split(
     df: DataFrame, order: Sequence[str], head_rows: int, name: str = "part"
 ) -> DataFrame:
-    """Add ``part`` = 'head' for the first ``head_rows`` rows in the stated unique order, else 'tail'."""
-    ranked = prefix(df, order)
-    part = F.when(F.col("rank") <= head_rows, "head").otherwise("tail")
-    return ranked.withColumn(name, part).drop("rank", "before", "through")
+    """Add ``part`` = 'head' for the first ``head_rows`` rows in the stated unique order, else 'tail'.
+
+    Only the order columns are ranked; the rows themselves are compared with the cut where they are.
+    """
+    order = list(order)
+    slim = df.select(*order)
+    if head_rows <= 0:
+        return df.withColumn(name, F.lit("tail"))
+    cut = prefix(slim, order).where(F.col("rank") == head_rows).select(*order).first()
+    if cut is None:
+        return df.withColumn(name, F.lit("head"))
+    bound = F.struct(*[F.lit(cut[c]).cast(slim.schema[c].dataType).alias(c) for c in order])
+    return df.withColumn(name, F.when(F.struct(*[F.col(c) for c in order]) <= bound, "head").otherwise("tail"))
 
 
 def permutation_key(key: str | Sequence[str], seed: int = 0) -> list[Column]:
@@ -165,13 +181,14 @@ def permutation_key(key: str | Sequence[str], seed: int = 0) -> list[Column]:
 
 def weighted_copies(df: DataFrame, order: Sequence[str], weight: str, size: int, u: float) -> DataFrame:
     """Add ``copies``: how often each row is drawn by systematic resampling of ``size`` rows with offset u."""
-    total = df.agg(F.sum(weight)).first()[0]
-    ranked = prefix(df, order, weight)
-    rows = df.count()
-    mark = lambda c: F.floor(F.lit(float(size)) * F.col(c) / F.lit(float(total)) + F.lit(float(u)))
+    order = list(order)
+    ranked = prefix(df.select(*order, weight), order, weight)
+    mark = lambda c: F.floor(F.lit(float(size)) * F.col(c) / F.col("total") + F.lit(float(u)))
     # The final running sum is the total whatever the summation order was.
-    upper = F.when(F.col("rank") == rows, F.lit(size)).otherwise(mark("through"))
-    return ranked.withColumn("copies", (upper - mark("before")).cast("long")).drop("rank", "before", "through")
+    upper = F.when(F.col("rank") == F.col("group_rows"), F.lit(size)).otherwise(mark("through"))
+    copies = ranked.select(*order, weight, (upper - mark("before")).cast("long").alias("copies"))
+    # Only a wide table has to be met again through its key.
+    return copies if set(df.columns) == {*order, weight} else df.join(copies.drop(weight), order)
 
 
 def weighted_resample(df: DataFrame, order: Sequence[str], weight: str, size: int, u: float = 0.5) -> DataFrame:

@@ -37,25 +37,33 @@ def run_one(df: DataFrame, key: str, xs: Sequence[str], y: str, levels: Sequence
     return interval_summary(linear_gaussian_quantiles(rows, xs, y, levels), y, "q", levels)
 
 
-def report(df: DataFrame, y: str, q: str, levels: Sequence[float], dataset: str, method: str, seed: str) -> dict[str, DataFrame]:
-    """Reports over scored rows: 'summary' per dataset and method, 'curve' per method and level, 'histogram' of PIT,
-
-    'overall' as the mean of the rounded dataset values.
-    """
-    rows = scored_rows(df, y, q, levels)
-    per_seed = interval_summary(df, y, q, levels, [dataset, method, seed])
-    per_level = coverage_rows(per_seed, [dataset, method, seed])
-    ks = uniform_ks(rows, "pit", [dataset, method]).select(dataset, method, "ks")
-    means = group_means(per_seed, [dataset, method], ["cov_95", "width_95", "crps"])
-    summary = means.join(ks, [dataset, method])
-    rounded = summary.select(dataset, method, *[F.round(c, 3).alias(c) for c in ("cov_95", "width_95", "crps", "ks")])
-    return {
-        "summary": rounded,
-        "curve": curve(per_level, [method, "level"], "coverage"),
-        "histogram": density_histogram(rows, "pit", 20, [method]),
-        "overall": group_means(rounded, [method], ["cov_95", "width_95", "crps", "ks"]),
-    }
+def _per_seed(df: DataFrame, y: str, q: str, levels, dataset: str, method: str, seed: str) -> DataFrame:
+    return interval_summary(df, y, q, levels, [dataset, method, seed])
+
+
+def dataset_summary(df: DataFrame, y: str, q: str, levels: Sequence[float], dataset: str, method: str, seed: str) -> DataFrame:
+    """Per dataset and method: coverage at 95%, width, CRPS (means over seeds) and the KS distance of the PIT, 3 digits."""
+    means = group_means(_per_seed(df, y, q, levels, dataset, method, seed), [dataset, method], ["cov_95", "width_95", "crps"])
+    ks = uniform_ks(scored_rows(df, y, q, levels), "pit", [dataset, method]).select(dataset, method, "ks")
+    joined = means.join(ks, [dataset, method])
+    return joined.select(dataset, method, *[F.round(c, 3).alias(c) for c in ("cov_95", "width_95", "crps", "ks")])
+
+
+def overall_summary(summary: DataFrame, method: str) -> DataFrame:
+    """Per method the mean of the rounded dataset values."""
+    return group_means(summary, [method], ["cov_95", "width_95", "crps", "ks"])
+
+
+def calibration_curve(df: DataFrame, y: str, q: str, levels: Sequence[float], dataset: str, method: str, seed: str) -> DataFrame:
+    """(method, level, mean, sd) of coverage over datasets and seeds."""
+    per_level = coverage_rows(_per_seed(df, y, q, levels, dataset, method, seed), [dataset, method, seed])
+    return curve(per_level, [method, "level"], "coverage")
+
+
+def pit_histogram(df: DataFrame, y: str, q: str, levels: Sequence[float], method: str, bins: int = 20) -> DataFrame:
+    return density_histogram(scored_rows(df, y, q, levels), "pit", bins, [method])
 
 
 def width_table(summary: DataFrame, dataset: str, method: str, methods: Sequence[str]) -> DataFrame:
+    """Dataset x method mean widths."""
     return wide_table(summary, dataset, method, methods, "width_95")

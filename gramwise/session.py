@@ -54,9 +54,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise on reliable storage and cut the lineage."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise on reliable storage and cut the lineage; settling the same frame again costs nothing."""
+    done = getattr(df, "_gramwise_settled", None)
+    if done is None:
+        checkpoint_root(df.sparkSession)
+        done = df.checkpoint(eager=True)
+        done._gramwise_settled = done
+        df._gramwise_settled = done
+    return done
 
 
 def at_most(df: DataFrame, rows: int) -> bool:

@@ -10,14 +10,10 @@ from pyspark.sql import DataFrame, functions as F
 def write_results(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
     """Partitioned parquet; a rerun replaces only the partitions it produces.
 
-    Rows are spread by partition value and a row hash, so that a hot partition value is not written by one task.
+    Rebalancing by the partition columns gives few files per small partition and several tasks to a hot one.
     """
-    width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    rest = [c for c in df.columns if c not in partitions]
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*rest), F.lit(width)))
     (
-        salted.repartition(*partitions, "__salt")
-        .drop("__salt")
+        df.hint("rebalance", *partitions)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)
