@@ -210,8 +210,8 @@ def quantile_regression(
     start: Sequence[float] | None = None,
     shrink: float = 0.25,
     final_bandwidth: float = 1e-3,
-    tol: float = 1e-6,
-    max_iter: int = 60,
+    tol: float = 1e-5,
+    max_iter: int = 100,
 ) -> tuple[np.ndarray, str]:
     """Linear quantile fit: Newton on the check loss convolved with a logistic kernel, its bandwidth shrinking.
 
@@ -220,11 +220,13 @@ def quantile_regression(
     """
     slim, names = _slim(df, xs, y, weight, [])
     try:
+        positive = slim.withColumn("__p", F.greatest(F.col("__w"), F.lit(0.0)))
+        base = collect_moments(moments(positive, names, [F.col("__p") * F.col("__y")], "__p"), 1)
         if start is None:
-            first = least_squares(slim, names, "__y", F.greatest(F.col("__w"), F.lit(0.0))).first()["theta"]
-            if first is None:
+            start = solve_small(base["gram"], base["rhs"][0])
+            if start is None:
                 return np.zeros(len(names) + 1), "singular"
-            start = first
+        second = base["gram"] / max(base["gram"][0, 0], 1e-300)
         theta = np.asarray(start, dtype=float)
         residual = F.col("__y") - linear_score(theta, names)
         spread = slim.agg(F.stddev_pop(residual)).first()[0] or 1.0
@@ -250,15 +252,22 @@ def quantile_regression(
         for _ in range(max_iter):
             step = solve_small(gram, -slope)
             if step is None:
-                return theta, "singular"
-            size, h_next = 1.0, max(h * shrink, last)
+                # Too few rows lie within the bandwidth: widen it and come back more slowly.
+                if h >= spread:
+                    return theta, "singular"
+                h, shrink = min(3.0 * h, spread), shrink**0.5
+                _, (gram, slope, loss) = look(theta, h, h)
+                continue
+            # The bandwidth shrinks once the fitted values move by less than it.
+            moved = float(np.sqrt(step @ second @ step))
+            size, h_next = 1.0, max(h * shrink, last) if moved <= h else h
             while True:
                 candidate = theta + size * step
                 reached, new = look(candidate, h, h_next)
                 if reached <= loss + 1e-12 * abs(loss) or size < 1e-3:
                     break
                 size /= 2.0
-            done = h <= last and np.linalg.norm(size * step) <= tol * max(1.0, np.linalg.norm(theta))
+            done = h <= last and size * moved <= tol * spread
             theta, h, (gram, slope, loss) = candidate, h_next, new
             if done:
                 return theta, "ok"

@@ -49,7 +49,8 @@ def read_attribute_table(spark: SparkSession, path: str, schema: T.StructType |
         (F.trim("value") != "") & ~F.ltrim("value").startswith("%") & ~F.ltrim("value").startswith("@")
     )
     options = {"quote": "'", "nullValue": "?", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "FAILFAST"}
-    return lines.select(F.from_csv("value", schema.simpleString()[len("struct<") : -1].replace(":", " "), options).alias("r")).select("r.*")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return lines.select(F.from_csv("value", ddl, options).alias("r")).select("r.*")
 
 
 def decode_binary(df: DataFrame) -> DataFrame:
