@@ -148,12 +148,32 @@ def ssl2_quantile(spark, sf):
     return _terms(fit, ["x"], 4)
 
 
-@BOOK.add("ssl3_standard_errors")
+def _sandwich_sql(theta: str, factor: str) -> str:
+    """CTEs of the cross-fitted errors on the basis (1, x): ``theta`` is a relation (a, b), the result se(s0, s1)."""
+    w = [f"(s{i} - f*(oa{i} + ob{i}*x))" for i in (0, 1)]
+    w2 = [f"(f*(ta{i} + tb{i}*x))" for i in (0, 1)]
+    pairs = ((0, 0), (0, 1), (1, 1))
+    return f"""fl AS (SELECT doc_id, x, y, has_label, CAST(floor({u("doc_id", 16)} * 5) AS INTEGER) AS fold FROM docs),
+  nn AS (SELECT count(*) FILTER (has_label) AS n, count(*) FILTER (NOT has_label) AS nu, {factor} AS f FROM fl),
+  sc AS (SELECT x, fold, a + b*x - y AS s0, (a + b*x - y)*x AS s1 FROM fl, {theta} WHERE has_label),
+  ak AS (SELECT k.fold, regr_intercept(s0, x) AS oa0, regr_slope(s0, x) AS ob0, regr_intercept(s1, x) AS oa1, regr_slope(s1, x) AS ob1 FROM sc JOIN range(5) k(fold) ON sc.fold <> k.fold GROUP BY k.fold),
+  al AS (SELECT regr_intercept(s0, x) AS ta0, regr_slope(s0, x) AS tb0, regr_intercept(s1, x) AS ta1, regr_slope(s1, x) AS tb1 FROM sc),
+  v1 AS (SELECT {", ".join(f"avg({w[i]} * {w[j]}) AS v{i}{j}" for i, j in pairs)} FROM sc JOIN ak USING (fold), nn),
+  v2 AS (SELECT {", ".join(f"avg({w2[i]} * {w2[j]}) AS v{i}{j}" for i, j in pairs)}, avg(x) AS h1, avg(x*x) AS h2 FROM fl, al, nn WHERE NOT has_label),
+  vv AS (SELECT n, v1.v00 + n*1.0/nu*v2.v00 AS c00, v1.v01 + n*1.0/nu*v2.v01 AS c01, v1.v11 + n*1.0/nu*v2.v11 AS c11, h2/(h2-h1*h1) AS i00, -h1/(h2-h1*h1) AS i01, 1/(h2-h1*h1) AS i11 FROM v1, v2, nn),
+  se AS (SELECT sqrt((i00*i00*c00 + 2*i00*i01*c01 + i01*i01*c11)/n) AS s0, sqrt((i01*i01*c00 + 2*i01*i11*c01 + i11*i11*c11)/n) AS s1 FROM vv)"""
+
+
+_CAL1 = f"""{DOCUMENTS}, m AS (SELECT count(*) FILTER (has_label) * 1.0 / count(*) AS c1, avg(x) FILTER (has_label) AS l1, avg(x) FILTER (NOT has_label) AS u1, var_pop(x) FILTER (has_label) AS v1 FROM docs),
+s AS (SELECT x, y, c1 + (1 - c1) * (1 + (u1 - l1) / v1 * (x - l1)) AS w FROM docs, m WHERE has_label), th AS (SELECT {_ICPT} AS a, {_SLOPE} AS b FROM s)"""
+
+
+@BOOK.add("ssl3_standard_errors", f"WITH {_CAL1}, {_sandwich_sql('th', 'count(*) FILTER (NOT has_label) * 1.0 / count(*)')} {_line_sql('se', 's0', 's1').replace('AS theta', 'AS se')}")
 def ssl3(spark, sf):
     docs = kfold(documents(spark, sf), "doc_id", 5, 16)
-    fit, _ = P.calibrated_fit(docs, ["x"], "y", "has_label", order=2)
+    fit, _ = P.calibrated_fit(docs, ["x"], "y", "has_label", order=1)
     theta = fit.first()["theta"]
-    se = P.sandwich_errors(docs, ["x"], "y", "has_label", "fold", theta, 2)
+    se = P.sandwich_errors(docs, ["x"], "y", "has_label", "fold", theta, 1)
     return _vector(spark, ["x"], se).withColumnRenamed("theta", "se")
 
 
@@ -243,12 +263,12 @@ def ssl9_logistic(spark, sf):
     return _terms(fit, ["x"], 4)
 
 
-@BOOK.add("ssl10_density_ratio_errors")
+@BOOK.add("ssl10_density_ratio_errors", f"WITH {_RATIO}, th AS (SELECT {_ICPT} AS a, {_SLOPE} AS b FROM s), {_sandwich_sql('th', '1.0')} {_line_sql('se', 's0', 's1', digits=5).replace('AS theta', 'AS se')}")
 def ssl10(spark, sf):
     docs = kfold(documents(spark, sf), "doc_id", 5, 16)
     fit, _ = P.density_ratio_fit(docs, ["x"], "y", "has_label")
     se = P.sandwich_errors(docs, ["x"], "y", "has_label", "fold", fit.first()["theta"], 1, factor=1.0)
-    return _vector(spark, ["x"], se).withColumnRenamed("theta", "se")
+    return _vector(spark, ["x"], se, 5).withColumnRenamed("theta", "se")
 
 
 # Imputer: the mean label per language among labelled documents.

@@ -73,18 +73,23 @@ def jon5(spark, sf):
     return neighbour_predictions(labelled, rest, "id", "embedding", "y", _KS, [0, 1])
 
 
-@BOOK.add(
-    "cls2_neighbour_cv",
-    f"""WITH {_VEC}, p AS (SELECT a.id, a.fold, a.y AS truth, b.y, row_number() OVER (PARTITION BY a.id ORDER BY round(power(list_distance(a.e, b.e), 2), 9), b.id) AS place FROM l a JOIN l b ON a.fold <> b.fold),
-    {_VOTES}, z AS (SELECT k, id, any_value(fold) AS fold, CASE WHEN (CASE WHEN sum(y) * 2 > k THEN 1 ELSE 0 END) = any_value(truth) THEN 1.0 ELSE 0.0 END AS hit FROM p JOIN k ON place <= k GROUP BY k, id),
-    f AS (SELECT k, fold, avg(hit) AS a FROM z GROUP BY 1, 2) SELECT k, {q("avg(a)")} AS accuracy FROM f GROUP BY k""",
-)
+_CV = f"""{_VEC}, p AS (SELECT a.id, a.fold, a.y AS truth, b.y, row_number() OVER (PARTITION BY a.id ORDER BY round(power(list_distance(a.e, b.e), 2), 9), b.id) AS place FROM l a JOIN l b ON a.fold <> b.fold),
+    {_VOTES}, hits AS (SELECT k, id, any_value(fold) AS fold, CASE WHEN (CASE WHEN sum(y) * 2 > k THEN 1 ELSE 0 END) = any_value(truth) THEN 1.0 ELSE 0.0 END AS hit FROM p JOIN k ON place <= k GROUP BY k, id),
+    per AS (SELECT k, fold, avg(hit) AS a FROM hits GROUP BY 1, 2), cv AS (SELECT k, avg(a) AS accuracy FROM per GROUP BY k)"""
+
+
+@BOOK.add("cls2_neighbour_cv", f"WITH {_CV} SELECT k, {q('accuracy')} AS accuracy FROM cv")
 def cls2(spark, sf):
     labelled, _ = _sides(spark, sf)
     return neighbour_cv(labelled, "id", "embedding", "y", "fold", _KS, [0, 1]).select("k", r("accuracy").alias("accuracy"))
 
 
-@BOOK.add("cls2_chosen_k_accuracy")
+@BOOK.add(
+    "cls2_chosen_k_accuracy",
+    f"""WITH {_CV}, best AS (SELECT k FROM cv ORDER BY round(accuracy, 12) DESC, k LIMIT 1), o AS (SELECT d.*, n.y AS truth, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS place FROM d JOIN n ON n.id = d.qid),
+    c AS (SELECT qid, CASE WHEN (CASE WHEN sum(y) * 2 > any_value(k) THEN 1 ELSE 0 END) = any_value(truth) THEN 1.0 ELSE 0.0 END AS hit FROM o, best WHERE place <= k GROUP BY qid)
+    SELECT k, {q("avg(hit)")} AS accuracy FROM c, best GROUP BY k""",
+)
 def cls2_chosen(spark, sf):
     labelled, rest = _sides(spark, sf)
     k = choose_k(neighbour_cv(labelled, "id", "embedding", "y", "fold", _KS, [0, 1]))

@@ -105,7 +105,20 @@ def ale1(spark, sf):
     return out.select("feature", "bin", r("edge").alias("edge"), "size", r("eff").alias("eff"))
 
 
-@BOOK.add("ale1_confidence_band")
+def _ale_sql(feature: str, expr: str, other: str, value: str, bins: int, band: bool = False) -> str:
+    """SQL of one feature's curve: ``expr`` is the model with the feature as {v}; ``other`` are extra row columns."""
+    at = lambda side: expr.format(v=f"{side}.v")
+    half = "CASE WHEN size > 1 THEN 1.959963984540054 * sd / sqrt(size) ELSE 0.0 END"
+    tail = f", {q(f'eff - {half}')} AS lower, {q(f'eff + {half}')} AS upper" if band else f", {q('edge')} AS edge, size"
+    return f"""SELECT '{feature}' AS feature, bin, {q("eff")} AS eff{tail} FROM (WITH src AS (SELECT {value} AS f, {other} FROM part), e AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM {_edges("src", "f", bins)}),
+    b AS (SELECT src.*, CASE WHEN f = (SELECT min(v) FROM e) THEN 1 ELSE (SELECT count(*) FROM e WHERE v < f) END AS bin FROM src),
+    d AS (SELECT b.bin, ({at("h")}) - ({at("l")}) AS delta FROM b JOIN e h ON h.i = b.bin JOIN e l ON l.i = b.bin - 1),
+    m AS (SELECT e.i AS bin, e.v AS edge, count(d.delta) AS size, coalesce(avg(d.delta), 0.0) AS mean, stddev_samp(d.delta) AS sd FROM e LEFT JOIN d ON d.bin = e.i GROUP BY 1, 2),
+    c AS (SELECT *, sum(mean) OVER (ORDER BY bin) AS cum FROM m), g AS (SELECT *, (cum + coalesce(lag(cum) OVER (ORDER BY bin), 0.0)) / 2 AS mid FROM c)
+    SELECT CAST(bin AS INTEGER) AS bin, edge, size, sd, cum - (SELECT sum(size * mid) / sum(size) FROM g) AS eff FROM g)"""
+
+
+@BOOK.add("ale1_confidence_band", _ale_sql("price", "{v} * size_ / 1000.0", "p_size / 50.0 AS size_", "p_retailprice", BINS, band=True))
 def ale1_band(spark, sf):
     rows = table(spark, sf, "part").select(F.col("p_retailprice").alias("price"), (F.col("p_size") / 50.0).alias("size"))
     out = accumulated_effects(rows, ["price"], lambda c: c["price"] * c["size"] / 1000.0, ["price", "size"], BINS, band=0.95)
@@ -119,7 +132,12 @@ class _Polynomial:
         return 0.5 * x[:, 0] ** 2 - x[:, 1] + 0.1 * x[:, 0] * x[:, 1]
 
 
-@BOOK.add("ale2_many_features")
+@BOOK.add(
+    "ale2_many_features",
+    _ale_sql("price", "0.5 * {v} * {v} - size_ + 0.1 * {v} * size_", "p_size / 50.0 AS size_", "p_retailprice / 1000.0", 10)
+    + " UNION ALL "
+    + _ale_sql("size", "0.5 * price_ * price_ - {v} + 0.1 * price_ * {v}", "p_retailprice / 1000.0 AS price_", "p_size / 50.0", 10),
+)
 def ale2(spark, sf):
     """Two features of a batch-scored model in one pass."""
     rows = table(spark, sf, "part").select((F.col("p_retailprice") / 1000.0).alias("price"), (F.col("p_size") / 50.0).alias("size"))

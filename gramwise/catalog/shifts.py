@@ -62,10 +62,19 @@ def mod7_fourier(spark, sf):
     return path.table.select("idx", *[r(c).alias(c) for c in ("naive", "pseudo", "real")]).withColumn("features", F.lit(32))
 
 
-@BOOK.add("shf2_excess_risk")
+_ERRORS = """er AS (SELECT idx, (h.yy - 2*(t1*h.b1+t2*h.b2) + t1*t1*h.g11 + 2*t1*t2*h.g12 + t2*t2*h.g22)/h.n AS naive,
+  ((t1-i1)*(t1-i1)*t.g11 + 2*(t1-i1)*(t2-i2)*t.g12 + (t2-i2)*(t2-i2)*t.g22)/t.n AS pseudo, (t.yy - 2*(t1*t.b1+t2*t.b2) + t1*t1*t.g11 + 2*t1*t2*t.g12 + t2*t2*t.g22)/t.n AS real FROM th, h, t, imp),
+  pick AS (SELECT 'naive' AS method, arg_min(idx, naive) AS idx FROM er UNION ALL SELECT 'pseudo', arg_min(idx, pseudo) FROM er UNION ALL SELECT 'real', arg_min(idx, real) FROM er)"""
+
+
+@BOOK.add(
+    "shf2_excess_risk",
+    f"""WITH {_TWO}, {_ERRORS}, e AS (SELECT method, (z.y - t1*z1 - t2*z2) * (z.y - t1*z1 - t2*z2) AS e FROM pick JOIN th USING (idx), z WHERE z.part='target')
+    SELECT method, {q("avg(e)")} AS mean, {q("stddev_pop(e) / sqrt(count(*))")} AS se FROM e GROUP BY method""",
+)
 def shf2(spark, sf):
     rows = _parts(spark, sf)
-    path = H.penalty_path(rows, "part", H.step_features("x", [k / 16 for k in range(1, 17)]), "y")
+    path = H.penalty_path(rows, "part", H.step_features("x", [0.25, 0.5]), "y")
     out = H.excess_risk(path.predictions(rows.where(F.col("part") == "target")), "y", ["naive", "pseudo", "real"])
     return out.select("method", r("mean").alias("mean"), r("se").alias("se"))
 

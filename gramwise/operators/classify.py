@@ -82,4 +82,4 @@ def neighbour_cv(
 
 def choose_k(cv: DataFrame) -> int:
     """The most accurate k, the smallest on ties."""
-    return cv.agg(F.max_by("k", F.struct("accuracy", -F.col("k")))).first()[0]
+    return cv.agg(F.max_by("k", F.struct(F.round("accuracy", 12), -F.col("k")))).first()[0]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gramwise.functions.hashing import hash_uniform
 from gramwise.operators.ranks import attach, hash_rank, prefix
+from gramwise.session import settle
 
 _GRID = 4096
 _FINISH_ROWS = 20_000
@@ -73,7 +74,8 @@ def _group_cuts(slim: DataFrame, key: list[str], by: list[str], take: Column) ->
     counts = counts.withColumn("__take", F.least(take, F.col("__n")))
     cells = counts.where((F.col("__through") >= F.col("__take")) & (F.col("__through") - F.col("c") < F.col("__take")))
     cells = cells.select(*by, "__cell", (F.col("__take") - F.col("__through") + F.col("c")).alias("__need"))
-    edge = prefix(attach(slim, cells, [*by, "__cell"]), ["__u", *key], by=by)
+    # Stored first: ranking would otherwise scan the whole table again to find its ranges.
+    edge = prefix(settle(attach(slim, cells, [*by, "__cell"])), ["__u", *key], by=by)
     return edge.where(F.col("rank") == F.col("__need")).select(*by, F.struct("__u", *key).alias("__cut"))
 
 
