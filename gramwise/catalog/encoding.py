@@ -64,6 +64,17 @@ def prj5(spark, sf):
     return _level_sums(df, "c_mktsegment_", "c_custkey")
 
 
+@BOOK.add(
+    "prj5_dummy_rows",
+    """SELECT "column", level, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS keys FROM (SELECT 'p_brand' AS "column", p_brand AS level, p_partkey FROM part UNION ALL SELECT 'p_type', p_type, p_partkey FROM part)
+    WHERE level <> CASE WHEN "column" = 'p_brand' THEN (SELECT min(p_brand) FROM part) ELSE (SELECT min(p_type) FROM part) END GROUP BY 1, 2""",
+)
+def prj5_rows(spark, sf):
+    """The encoding for columns with too many levels to become table columns."""
+    rows = E.dummy_rows(table(spark, sf, "part").select("p_partkey", "p_brand", "p_type"), ["p_partkey"], ["p_brand", "p_type"], drop_first=True)
+    return rows.groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("keys"))
+
+
 @BOOK.add("prj6_dummies_all_levels", _level_sql("orders", "o_orderpriority", "o_orderkey", False))
 def prj6(spark, sf):
     df = E.dummies(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority"], drop_first=False)

@@ -148,19 +148,21 @@ def ssl2_quantile(spark, sf):
     return _terms(fit, ["x"], 4)
 
 
-def _sandwich_sql(theta: str, factor: str) -> str:
+def _sandwich_sql(theta: str, factor: str, logistic: bool = False) -> str:
     """CTEs of the cross-fitted errors on the basis (1, x): ``theta`` is a relation (a, b), the result se(s0, s1)."""
+    p = "1.0/(1.0+exp(-(a+b*x)))" if logistic else "(a+b*x)"
+    c = f"{p}*(1-{p})" if logistic else "1.0"
     w = [f"(s{i} - f*(oa{i} + ob{i}*x))" for i in (0, 1)]
     w2 = [f"(f*(ta{i} + tb{i}*x))" for i in (0, 1)]
     pairs = ((0, 0), (0, 1), (1, 1))
     return f"""fl AS (SELECT doc_id, x, y, has_label, CAST(floor({u("doc_id", 16)} * 5) AS INTEGER) AS fold FROM docs),
   nn AS (SELECT count(*) FILTER (has_label) AS n, count(*) FILTER (NOT has_label) AS nu, {factor} AS f FROM fl),
-  sc AS (SELECT x, fold, a + b*x - y AS s0, (a + b*x - y)*x AS s1 FROM fl, {theta} WHERE has_label),
+  sc AS (SELECT x, fold, {p} - y AS s0, ({p} - y)*x AS s1 FROM fl, {theta} WHERE has_label),
   ak AS (SELECT k.fold, regr_intercept(s0, x) AS oa0, regr_slope(s0, x) AS ob0, regr_intercept(s1, x) AS oa1, regr_slope(s1, x) AS ob1 FROM sc JOIN range(5) k(fold) ON sc.fold <> k.fold GROUP BY k.fold),
   al AS (SELECT regr_intercept(s0, x) AS ta0, regr_slope(s0, x) AS tb0, regr_intercept(s1, x) AS ta1, regr_slope(s1, x) AS tb1 FROM sc),
   v1 AS (SELECT {", ".join(f"avg({w[i]} * {w[j]}) AS v{i}{j}" for i, j in pairs)} FROM sc JOIN ak USING (fold), nn),
-  v2 AS (SELECT {", ".join(f"avg({w2[i]} * {w2[j]}) AS v{i}{j}" for i, j in pairs)}, avg(x) AS h1, avg(x*x) AS h2 FROM fl, al, nn WHERE NOT has_label),
-  vv AS (SELECT n, v1.v00 + n*1.0/nu*v2.v00 AS c00, v1.v01 + n*1.0/nu*v2.v01 AS c01, v1.v11 + n*1.0/nu*v2.v11 AS c11, h2/(h2-h1*h1) AS i00, -h1/(h2-h1*h1) AS i01, 1/(h2-h1*h1) AS i11 FROM v1, v2, nn),
+  v2 AS (SELECT {", ".join(f"avg({w2[i]} * {w2[j]}) AS v{i}{j}" for i, j in pairs)}, avg({c}) AS h0, avg({c}*x) AS h1, avg({c}*x*x) AS h2 FROM fl, al, nn, {theta} WHERE NOT has_label),
+  vv AS (SELECT n, v1.v00 + n*1.0/nu*v2.v00 AS c00, v1.v01 + n*1.0/nu*v2.v01 AS c01, v1.v11 + n*1.0/nu*v2.v11 AS c11, h2/(h0*h2-h1*h1) AS i00, -h1/(h0*h2-h1*h1) AS i01, h0/(h0*h2-h1*h1) AS i11 FROM v1, v2, nn),
   se AS (SELECT sqrt((i00*i00*c00 + 2*i00*i01*c01 + i01*i01*c11)/n) AS s0, sqrt((i01*i01*c00 + 2*i01*i11*c01 + i11*i11*c11)/n) AS s1 FROM vv)"""
 
 
@@ -177,6 +179,14 @@ def ssl3(spark, sf):
     return _vector(spark, ["x"], se).withColumnRenamed("theta", "se")
 
 
+@BOOK.add("ssl3_standard_errors_logistic", f"WITH {_CAL1.split(', th AS')[0]}, {newton_chain('s', 12)}, {_sandwich_sql('n_fit', 'count(*) FILTER (NOT has_label) * 1.0 / count(*)', True)} {_line_sql('se', 's0', 's1', digits=5).replace('AS theta', 'AS se')}")
+def ssl3_logistic(spark, sf):
+    docs = kfold(documents(spark, sf), "doc_id", 5, 16)
+    fit, _ = P.calibrated_fit(docs, ["x"], "y", "has_label", order=1, loss="logistic")
+    se = P.sandwich_errors(docs, ["x"], "y", "has_label", "fold", fit.first()["theta"], 1, "logistic")
+    return _vector(spark, ["x"], se, 5).withColumnRenamed("theta", "se")
+
+
 @BOOK.add("ssl3_standard_errors_quantile")
 def ssl3_quantile(spark, sf):
     rows = kfold(study(spark, sf).withColumn("has_label", hash_uniform("id", 15) < 0.2), "id", 5, 16)
@@ -338,6 +348,30 @@ def ssl14_coefficients(spark, sf):
     return _terms(coefficients_by_seed(study(spark, sf), "id", ["x"], "y", ["x", "t"], _SEEDS, 10), ["x"], 5)
 
 
+_LOGIT_SEEDS = f"""{STUDY}, n AS (SELECT least(5000, CAST(floor(30 * count(*) / 100) AS BIGINT)) AS k FROM study),
+z AS (SELECT s.x, s.y / 250.0 AS v, CAST(s.t AS DOUBLE) AS y, seed, row_number() OVER (PARTITION BY seed ORDER BY {u("id", "seed")}, id) <= (SELECT k FROM n) AS lab FROM study s, (VALUES (1), (2)) g(seed)),
+li AS (SELECT seed, v, y, 1.0 AS w FROM z WHERE lab), {newton_chain("li", 8, ["seed"], x="v", prefix="i")}, i AS (SELECT z.*, 1.0/(1.0+exp(-(a+b*v))) AS h FROM z JOIN i_fit USING (seed)),
+vs AS (SELECT seed, 'supervised' AS variant, x, y, 1.0 AS w FROM i WHERE lab UNION ALL SELECT seed, 'imputed', x, CASE WHEN lab THEN y ELSE h END, 1.0 FROM i UNION ALL SELECT seed, 'train', x, h, 1.0 FROM i WHERE lab UNION ALL SELECT seed, 'every', x, h, 1.0 FROM i),
+{newton_chain("vs", 8, ["seed", "variant"], prefix="f")},
+w AS (SELECT seed, max(a) FILTER (variant='supervised') AS sa, max(b) FILTER (variant='supervised') AS sb, max(a) FILTER (variant='imputed') AS ia, max(b) FILTER (variant='imputed') AS ib,
+  max(a) FILTER (variant='train') AS ta, max(b) FILTER (variant='train') AS tb, max(a) FILTER (variant='every') AS ea, max(b) FILTER (variant='every') AS eb FROM f_fit GROUP BY seed),
+c AS (SELECT seed, count(*) FILTER (lab) * 1.0 / count(*) AS c1, avg(x) FILTER (lab) AS l1, avg(x) FILTER (NOT lab) AS u1, var_pop(x) FILTER (lab) AS v1 FROM i GROUP BY seed),
+cw AS (SELECT i.seed, i.x, i.y, c1 + (1 - c1) * (1 + (u1 - l1) / v1 * (i.x - l1)) AS w FROM i JOIN c USING (seed) WHERE lab), {newton_chain("cw", 8, ["seed"], prefix="c")},
+o AS (SELECT seed, 'supervised' AS method, sa AS a, sb AS b FROM w UNION ALL SELECT seed, 'imputed', ia, ib FROM w UNION ALL SELECT seed, 'debiased', ea - (ta - sa), eb - (tb - sb) FROM w UNION ALL SELECT seed, 'calibrated', a, b FROM c_fit),
+tr AS (SELECT x, y, 1.0 AS w FROM z WHERE seed = 1), {newton_chain("tr", 8, prefix="t")}"""
+
+
+@BOOK.add(
+    "ssl14_logistic_comparison",
+    f"""WITH {_LOGIT_SEEDS} SELECT method, 'intercept' AS term, {q("avg((o.a-t_fit.a)*(o.a-t_fit.a))")} AS mse, count(*) AS fits FROM o, t_fit GROUP BY method
+    UNION ALL SELECT method, 'x', {q("avg((o.b-t_fit.b)*(o.b-t_fit.b))")}, count(*) FROM o, t_fit GROUP BY method""",
+)
+def ssl14_logistic(spark, sf):
+    rows = study(spark, sf).withColumn("v", F.col("y") / 250.0)
+    out = compare(rows, "id", ["x"], "t", ["v"], (1, 2), 30, loss="logistic")
+    return out.select("method", "term", r("mse").alias("mse"), "fits")
+
+
 @BOOK.add("ssl14_status_counts", "SELECT method, 'ok' AS status, CAST(3 AS BIGINT) AS n FROM (VALUES ('supervised'), ('imputed'), ('debiased'), ('calibrated')) v(method)")
 def ssl14_status(spark, sf):
     return status_counts(coefficients_by_seed(study(spark, sf), "id", ["x"], "y", ["x", "t"], _SEEDS, 10))

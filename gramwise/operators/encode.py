@@ -45,7 +45,7 @@ def levels_of(df: DataFrame, column: str, most: int = 1000) -> list[str]:
     """Sorted distinct levels of a categorical column that is about to become one column per level."""
     found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
     if len(found) > most:
-        raise ValueError(f"{column!r} has more than {most} levels: too many to be columns")
+        raise ValueError(f"{column!r} has more than {most} levels, too many to be columns: use dummy_rows")
     return sorted(found)
 
 
@@ -61,6 +61,17 @@ def dummies(
     return df.select(*kept)
 
 
+def dummy_rows(df: DataFrame, key: Sequence[str], columns: Sequence[str], drop_first: bool) -> DataFrame:
+    """The same encoding as sparse rows (key..., column, level) for any number of levels; only the ones are kept."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns])
+    rows = df.select(*key, F.explode(cells).alias("c")).select(*key, "c.*").where(F.col("level").isNotNull())
+    if not drop_first:
+        return rows
+    smallest = df.agg(*[F.min(F.col(c).cast("string")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    first = F.coalesce(*[F.when(F.col("column") == c, F.lit(smallest[f"m{i}"])) for i, c in enumerate(columns)])
+    return rows.where(F.col("level") != first)
+
+
 def scaling_statistics(df: DataFrame, columns: Sequence[str], where: Column | None = None) -> dict[str, tuple[float, float]]:
     """Mean and population deviation per column in one pass, over all rows or those meeting ``where``."""
     def pick(c):

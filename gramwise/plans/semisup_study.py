@@ -6,10 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from gramwise.functions.scalars import logistic
+from gramwise.operators.iterate import logistic_regression
 from gramwise.operators.metrics import term_errors
-from gramwise.operators.moments import coefficient_rows, least_squares, score_with
+from gramwise.operators.moments import coefficient_rows, least_squares, linear_score, score_with
+from gramwise.operators.ranks import attach
 from gramwise.operators.sampling import labelled_size, seed_samples
-from gramwise.operators.semisup import debiased_linear, grouped_calibrated_fit
+from gramwise.operators.semisup import debiased_linear, debiased_logistic, grouped_calibrated_fit, grouped_calibration
 
 
 def coefficients_by_seed(
@@ -29,10 +32,32 @@ def coefficients_by_seed(
     return three.unionByName(fourth)
 
 
-def compare(df: DataFrame, key: str, xs, y, imputer_xs, seeds, percent: float, cap: int = 5000) -> DataFrame:
+def logistic_coefficients_by_seed(
+    df: DataFrame, key: str, xs: Sequence[str], y: str, imputer_xs: Sequence[str], seeds: Sequence[int], percent: float, cap: int = 5000
+) -> DataFrame:
+    """The same for a 0/1 response: class probabilities are imputed and enter as fractional labels."""
+    kept = df.select(key, *dict.fromkeys([*xs, *imputer_xs, y]))
+    rows = seed_samples(kept, key, labelled_size(df.count(), percent, cap), seeds)
+    on = rows.where("is_labelled")
+    imputer = logistic_regression(on, imputer_xs, y, by=["seed"])
+    imputed = score_with(rows, imputer, imputer_xs, "eta", ["seed"]).withColumn("p1", logistic("eta"))
+    three = debiased_logistic(imputed, xs, y, "p1", "is_labelled", ["seed"])
+    forms = grouped_calibration(rows, xs, "is_labelled", ["seed"]).select("seed", "form")
+    weighted = attach(on, forms, ["seed"]).withColumn("w", linear_score(F.col("form"), xs))
+    fourth = logistic_regression(weighted, xs, y, "w", ["seed"], start="linear").select(
+        "seed", F.lit("calibrated").alias("method"), "theta", "status"
+    )
+    return three.unionByName(fourth)
+
+
+def compare(df: DataFrame, key: str, xs, y, imputer_xs, seeds, percent: float, cap: int = 5000, loss: str = "linear") -> DataFrame:
     """(method, term, mse, fits): mean squared error against the full-data fit, over the seeds that could be fitted."""
-    fits = coefficients_by_seed(df, key, xs, y, imputer_xs, seeds, percent, cap)
-    truth = coefficient_rows(least_squares(df, xs, y), xs).select("term", "theta")
+    if loss == "linear":
+        fits, full = coefficients_by_seed(df, key, xs, y, imputer_xs, seeds, percent, cap), least_squares(df, xs, y)
+    else:
+        fits = logistic_coefficients_by_seed(df, key, xs, y, imputer_xs, seeds, percent, cap)
+        full = logistic_regression(df, xs, y)
+    truth = coefficient_rows(full, xs).select("term", "theta")
     errors = term_errors(coefficient_rows(fits.where(F.col("status") == "ok"), xs), truth)
     return errors.groupBy("method", "term").agg(F.avg("sq_error").alias("mse"), F.count(F.lit(1)).alias("fits"))
 
