@@ -98,7 +98,18 @@ def cls2_chosen(spark, sf):
     return joined.groupBy("k").agg(r(F.avg((F.col("predicted") == F.col("y")).cast("double"))).alias("accuracy"))
 
 
-@BOOK.add("cls3_noisy_label_neighbours")
+@BOOK.add(
+    "cls3_noisy_label_neighbours",
+    f"""WITH {_VEC}, tr AS (SELECT id, e, rho, CASE WHEN {u("id", 73)} < rho THEN 1 - y ELSE y END AS noisy, CAST(floor({u("id", 73)} * 3) AS INTEGER) AS part FROM l, (VALUES (0.0::DOUBLE), (0.2::DOUBLE)) r(rho)),
+    kk AS (SELECT * FROM (VALUES (1), (5)) t(k)),
+    p AS (SELECT a.rho, a.id, a.part, a.noisy AS truth, b.noisy, row_number() OVER (PARTITION BY a.rho, a.id ORDER BY round(power(list_distance(a.e, b.e), 2), 9), b.id) AS place FROM tr a JOIN tr b ON a.rho = b.rho AND a.part <> b.part),
+    hits AS (SELECT rho, k, id, any_value(part) AS part, CASE WHEN (CASE WHEN sum(noisy) * 2 > k THEN 1 ELSE 0 END) = any_value(truth) THEN 1.0 ELSE 0.0 END AS hit FROM p JOIN kk ON place <= k GROUP BY rho, k, id),
+    per AS (SELECT rho, k, part, avg(hit) AS a FROM hits GROUP BY 1, 2, 3), cv AS (SELECT rho, k, round(avg(a), 12) AS a FROM per GROUP BY 1, 2),
+    best AS (SELECT rho, k FROM (SELECT *, row_number() OVER (PARTITION BY rho ORDER BY a DESC, k) AS i FROM cv) WHERE i = 1),
+    o AS (SELECT tr.rho, n.id AS qid, n.y AS truth, tr.noisy, row_number() OVER (PARTITION BY tr.rho, n.id ORDER BY round(power(list_distance(n.e, tr.e), 2), 9), tr.id) AS place FROM n, tr),
+    c AS (SELECT rho, qid, any_value(k) AS k, CASE WHEN (CASE WHEN sum(noisy) * 2 > any_value(k) THEN 1 ELSE 0 END) = any_value(truth) THEN 1.0 ELSE 0.0 END AS hit FROM o JOIN best USING (rho) WHERE place <= k GROUP BY rho, qid)
+    SELECT rho, any_value(k) AS k, {q("avg(hit)")} AS accuracy FROM c GROUP BY rho""",
+)
 def cls3(spark, sf):
     out = neighbour_accuracy(_vectors(spark, sf), "id", "embedding", "y", "lab", [0.0, 0.2], 73, [1, 5], [0, 1], 3)
     return out.select("rho", "k", r("accuracy").alias("accuracy"))

@@ -135,7 +135,7 @@ def snk2(spark, sf):
 
 @BOOK.add(
     "snk3_csv_four_decimals",
-    "SELECT p_brand, CAST(p_size AS INTEGER) AS p_size, CAST(printf('%.4f', avg(p_retailprice)) AS VARCHAR) AS price FROM part GROUP BY p_brand, p_size",
+    "SELECT p_brand, CAST(p_size AS INTEGER) AS p_size, CAST(printf('%.4f', round(avg(p_retailprice), 9)) AS VARCHAR) AS price FROM part GROUP BY p_brand, p_size",
 )
 def snk3(spark, sf):
     path = scratch_path(spark, "csv")

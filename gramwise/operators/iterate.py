@@ -21,8 +21,8 @@ from gramwise.operators.moments import (
     solve_small,
     solved,
 )
-from gramwise.operators.ranks import attach, prefix, value_counts
-from gramwise.session import settle
+from gramwise.operators.ranks import prefix, value_counts
+from gramwise.session import BROADCAST_BYTES, settle
 
 
 def _c(x) -> Column:
@@ -105,10 +105,12 @@ def _grouped_newton(slim, names, by, start, tol, max_iter) -> DataFrame:
     else:
         fits = slim.select(*by).distinct().withColumn("theta", zero)
     open_fits = settle(fits)
-    finished = None
+    remaining, finished = open_fits.count(), None
     for step_number in range(1, max_iter + 1):
-        table = open_fits.withColumnRenamed("theta", "__theta")
-        rows = attach(slim, table, by)
+        # The table of open fits is stored and counted, so its size is known before it is broadcast.
+        small = remaining * (len(names) + len(by) + 8) * 16 <= BROADCAST_BYTES
+        table = F.broadcast(open_fits) if small else open_fits
+        rows = slim.join(table.withColumnRenamed("theta", "__theta"), by)
         sums = _newton_moments(rows, names, linear_score(F.col("__theta"), names), by)
         stepped = solved(sums).select(*by, F.col("theta").alias("__step"), "status")
         moved = (
@@ -127,13 +129,16 @@ def _grouped_newton(slim, names, by, start, tol, max_iter) -> DataFrame:
             .withColumn("iterations", F.lit(step_number))
         )
         moved = settle(moved)
-        closed = moved.where(F.col("status").isNotNull())
-        finished = closed if finished is None else finished.unionByName(closed)
+        counts = {bool(r["done"]): r["count"] for r in moved.groupBy(F.col("status").isNotNull().alias("done")).count().collect()}
+        if counts.get(True):
+            closed = moved.where(F.col("status").isNotNull())
+            finished = closed if finished is None else finished.unionByName(closed)
+        remaining = counts.get(False, 0)
         open_fits = moved.where(F.col("status").isNull()).select(*by, "theta")
-        if open_fits.isEmpty():
+        if not remaining:
             return finished
     rest = open_fits.withColumns({"status": F.lit("not converged"), "iterations": F.lit(max_iter)})
-    return finished.unionByName(rest)
+    return rest if finished is None else finished.unionByName(rest)
 
 
 def score_vector(y, prediction, xs: Sequence[str | Column], loss: str, tau: float = 0.5) -> list[Column]:

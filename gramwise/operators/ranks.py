@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gramwise.functions.hashing import hash_uniform
-from gramwise.session import BROADCAST_ROWS, at_most, settle
+from gramwise.session import joinable, settle
 
 _BUCKET = "__bucket"
 
@@ -23,11 +23,10 @@ def _buckets(df: DataFrame) -> int:
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a table of statistics or coefficients that was derived from much larger data.
 
-    It is computed once and stored; it is broadcast when its counted rows are few, else joined by shuffle. Rows
+    It is computed once and stored; it is broadcast when its measured size is small, else joined by shuffle. Rows
     with a null key have no match.
     """
-    table = settle(table)
-    return df.join(F.broadcast(table) if at_most(table, BROADCAST_ROWS) else table, list(keys), how)
+    return df.join(joinable(table), list(keys), how)
 
 
 def _within_buckets(df: DataFrame, by: list[str], order: list[Column], value: Column | None) -> DataFrame:

@@ -5,13 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
-BROADCAST_ROWS = 200_000
-"""Row bound under which a keyed table of coefficients, levels or statistics is hinted for broadcast."""
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-"""Byte bound under which a reference table is shipped to every task; larger ones are joined in blocks."""
+"""Measured size up to which a table is shipped to every task; larger ones are joined by shuffle or in blocks."""
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -65,6 +62,23 @@ def settle(df: DataFrame) -> DataFrame:
     return done
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether the table has no more than ``rows`` rows, reading only as many as needed."""
-    return df.limit(rows + 1).count() <= rows
+def measured_bytes(df: DataFrame) -> int:
+    """An upper bound of the table's size from its row count and its widest values; one pass over a stored table."""
+    parts, fixed = [F.count(F.lit(1)).alias("n")], 32
+    for i, field in enumerate(df.schema):
+        kind = field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            parts.append(F.max(F.octet_length(field.name)).alias(f"w{i}"))
+        elif isinstance(kind, T.ArrayType):
+            element = 8 if isinstance(kind.elementType, T.NumericType) else 64
+            parts.append((F.max(F.size(field.name)) * element).alias(f"w{i}"))
+        else:
+            fixed += 8 if isinstance(kind, T.NumericType) else 64
+    row = df.agg(*parts).first()
+    return row["n"] * (fixed + sum(16 + max(v or 0, 0) for v in row[1:]))
+
+
+def joinable(df: DataFrame) -> DataFrame:
+    """The stored table, marked for broadcast when its measured size allows."""
+    stored = settle(df)
+    return F.broadcast(stored) if measured_bytes(stored) <= BROADCAST_BYTES else stored
