@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from gramwise.functions.scalars import logistic
@@ -13,6 +14,12 @@ from gramwise.operators.moments import coefficient_rows, least_squares, linear_s
 from gramwise.operators.ranks import attach
 from gramwise.operators.sampling import labelled_size, seed_samples
 from gramwise.operators.semisup import debiased_linear, debiased_logistic, grouped_calibrated_fit, grouped_calibration
+from gramwise.session import settle
+
+
+def _kept(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """The columns in use, kept for the handful of passes that follow: one row per unit, not per seed."""
+    return df.select(key, *dict.fromkeys(columns)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def coefficients_by_seed(
@@ -23,31 +30,37 @@ def coefficients_by_seed(
     The seed is a grouping column: every fit of every seed comes from the same grouped passes. The imputer is
     least squares on ``imputer_xs`` over the labelled rows of the seed.
     """
-    kept = df.select(key, *dict.fromkeys([*xs, *imputer_xs, y]))
-    rows = seed_samples(kept, key, labelled_size(df.count(), percent, cap), seeds)
-    imputer = least_squares(rows.where("is_labelled"), imputer_xs, y, by=["seed"])
-    imputed = score_with(rows, imputer, imputer_xs, "imputed", ["seed"])
-    three = debiased_linear(imputed, xs, y, "imputed", "is_labelled", ["seed"])
-    fourth = grouped_calibrated_fit(rows, xs, y, "is_labelled", ["seed"]).withColumn("method", F.lit("calibrated"))
-    return three.unionByName(fourth)
+    kept = _kept(df, key, [*xs, *imputer_xs, y])
+    try:
+        rows = seed_samples(kept, key, labelled_size(kept.count(), percent, cap), seeds)
+        imputer = least_squares(rows.where("is_labelled"), imputer_xs, y, by=["seed"])
+        imputed = score_with(rows, imputer, imputer_xs, "imputed", ["seed"])
+        three = debiased_linear(imputed, xs, y, "imputed", "is_labelled", ["seed"])
+        fourth = grouped_calibrated_fit(rows, xs, y, "is_labelled", ["seed"]).withColumn("method", F.lit("calibrated"))
+        return settle(three.unionByName(fourth))
+    finally:
+        kept.unpersist()
 
 
 def logistic_coefficients_by_seed(
     df: DataFrame, key: str, xs: Sequence[str], y: str, imputer_xs: Sequence[str], seeds: Sequence[int], percent: float, cap: int = 5000
 ) -> DataFrame:
     """The same for a 0/1 response: class probabilities are imputed and enter as fractional labels."""
-    kept = df.select(key, *dict.fromkeys([*xs, *imputer_xs, y]))
-    rows = seed_samples(kept, key, labelled_size(df.count(), percent, cap), seeds)
-    on = rows.where("is_labelled")
-    imputer = logistic_regression(on, imputer_xs, y, by=["seed"])
-    imputed = score_with(rows, imputer, imputer_xs, "eta", ["seed"]).withColumn("p1", logistic("eta"))
-    three = debiased_logistic(imputed, xs, y, "p1", "is_labelled", ["seed"])
-    forms = grouped_calibration(rows, xs, "is_labelled", ["seed"]).select("seed", "form")
-    weighted = attach(on, forms, ["seed"]).withColumn("w", linear_score(F.col("form"), xs))
-    fourth = logistic_regression(weighted, xs, y, "w", ["seed"], start="linear").select(
-        "seed", F.lit("calibrated").alias("method"), "theta", "status"
-    )
-    return three.unionByName(fourth)
+    kept = _kept(df, key, [*xs, *imputer_xs, y])
+    try:
+        rows = seed_samples(kept, key, labelled_size(kept.count(), percent, cap), seeds)
+        on = rows.where("is_labelled")
+        imputer = logistic_regression(on, imputer_xs, y, by=["seed"])
+        imputed = score_with(rows, imputer, imputer_xs, "eta", ["seed"]).withColumn("p1", logistic("eta"))
+        three = debiased_logistic(imputed, xs, y, "p1", "is_labelled", ["seed"])
+        forms = grouped_calibration(rows, xs, "is_labelled", ["seed"]).select("seed", "form")
+        weighted = attach(on, forms, ["seed"]).withColumn("w", linear_score(F.col("form"), xs))
+        fourth = logistic_regression(weighted, xs, y, "w", ["seed"], start="linear").select(
+            "seed", F.lit("calibrated").alias("method"), "theta", "status"
+        )
+        return settle(three.unionByName(fourth))
+    finally:
+        kept.unpersist()
 
 
 def compare(df: DataFrame, key: str, xs, y, imputer_xs, seeds, percent: float, cap: int = 5000, loss: str = "linear") -> DataFrame:
