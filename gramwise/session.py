@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -28,6 +31,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python functions find it there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gramwise_shipped", False):
+        return
+    top, raw = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as archive:
+        for path in sorted(top.rglob("*.py")):
+            archive.writestr(str(path.relative_to(top.parent)), path.read_bytes())
+    target = Path(tempfile.mkdtemp(prefix="gramwise-")) / "gramwise.zip"
+    target.write_bytes(raw.getvalue())
+    sc.addPyFile(str(target))
+    sc._gramwise_shipped = True
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder shared by the cluster (``spark.checkpoint.dir``); a temporary one only in local mode."""
     sc = spark.sparkContext
@@ -47,8 +65,27 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; ``clear_scratch`` deletes what was written there."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    sc._gramwise_scratch = [*getattr(sc, "_gramwise_scratch", []), path]
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this application; call it once the results that read them are stored."""
+    sc = spark.sparkContext
+    for path in getattr(sc, "_gramwise_scratch", []):
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+    sc._gramwise_scratch = []
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a compressed table in the shared folder, read back: cuts the lineage of wide rows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settle(df: DataFrame) -> DataFrame:
