@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gramwise.catalog.support import Book, table
-from gramwise.llm import simhash
+from gramwise.llm import linedup, neardup_vectors, simhash
 
 BOOK = Book()
 
 
+@BOOK.add("op2_line_dedup", linedup.DEDUP_SQL)
+def op2(spark, sf_dir):
+    deduped = linedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@BOOK.add("op4_embedding_near_dedup")
+def op4(spark, sf_dir):
+    return neardup_vectors.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 @BOOK.add("op6_simhash_near_dedup")
 def op6(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
