@@ -7,6 +7,7 @@ from gramwise.llm import neardup_vectors
 
 def slow(rows, threshold=0.9):
     good = {i: np.array(v, float) for i, v in rows if v is not None and None not in v and np.all(np.isfinite(np.array(v, float))) and np.any(v)}
+    good = {i: v / np.abs(v).max() for i, v in good.items()}
     ids = sorted(good)
     links, root = {i: set() for i, _ in rows}, {i: i for i, _ in rows}
 
@@ -34,7 +35,7 @@ def cases():
             rows.append((centre + rng.normal(size=16) * 0.22).tolist())
     rows += [[1.0] + [0.0] * 15] * 40 + [(np.array([1.0] + [0.0] * 15) * 3).tolist()]
     # one pair just above and one just below the threshold
-    rows += [[0.0, 1.0] + [0.0] * 14, [0.0, 0.9 + 1e-6, np.sqrt(1 - (0.9 + 1e-6) ** 2)] + [0.0] * 13, [0.0] * 4 + [1.0] + [0.0] * 11, [0.0] * 4 + [0.9 - 1e-6, np.sqrt(1 - (0.9 - 1e-6) ** 2)] + [0.0] * 10]
+    rows += [[0.0, 1.0] + [0.0] * 14, [0.0, 0.9 + 1e-6, float(np.sqrt(1 - (0.9 + 1e-6) ** 2))] + [0.0] * 13, [0.0] * 4 + [1.0] + [0.0] * 11, [0.0] * 4 + [0.9 - 1e-6, float(np.sqrt(1 - (0.9 - 1e-6) ** 2))] + [0.0] * 10]
     rows += [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1e-200] * 16, [1e200] * 16]
     return [(3 * i + 1, v) for i, v in enumerate(rows)]
 
