@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from gramwise.catalog.support import Book, table
-from gramwise.llm import linedup, neardup_vectors, simhash
+from gramwise.llm import linedup, neardup_vectors, packing, simhash
 
 BOOK = Book()
 
@@ -16,6 +17,11 @@ def op2(spark, sf_dir):
     return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@BOOK.add("op3_best_fit_packing")
+def op3(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @BOOK.add("op4_embedding_near_dedup")
 def op4(spark, sf_dir):
     return neardup_vectors.embedding_groups(table(spark, sf_dir, "embeddings"))

@@ -27,7 +27,7 @@ class WordTokenizer:
 
         self.library, self.most = Tokenizer.from_file(path), most
         self.library.encode_special_tokens = not special
-        self.units: dict[str, bytes] = {"": b""}
+        self.units: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
@@ -38,13 +38,11 @@ class WordTokenizer:
         return np.array(self.library.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn_words(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > self.most:
-            self.words.clear()
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part) or (len(ids) and ends[-1] != len(ids)):
+            if len(ends) != len(part) or ends[-1] != len(ids):
                 self.words.update((w, self._whole(w)) for w in part)
                 continue
             raw, start = ids.tobytes(), 0
@@ -53,34 +51,32 @@ class WordTokenizer:
                 start = end
 
     def _learn(self, units: set[str]) -> None:
-        if len(self.units) + len(units) > self.most:
-            self.units.clear()
-            self.units[""] = b""
-        split, missing = {}, set()
+        split, words = {}, set()
         for unit in units:
             if "<|" not in unit and _PLAIN.fullmatch(unit):
-                split[unit] = words = _PIECES.findall(unit.lower())
-                missing.update(words)
+                split[unit] = parts = _PIECES.findall(unit.lower())
+                words.update(parts)
             else:
                 self.units[unit] = self._whole(unit)
-        missing = missing.difference(self.words)
-        if len(missing) + len(self.words) > self.most:
-            missing = {w for words in split.values() for w in words}
-        if missing:
-            self._learn_words(list(missing))
         known = self.words
-        for unit, words in split.items():
-            self.units[unit] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+        missing = words.difference(known)
+        if len(known) + len(missing) > self.most:
+            known.clear()
+            missing = words
+        self._learn_words(list(missing))
+        for unit, parts in split.items():
+            self.units[unit] = known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts])
 
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of the whole text; of null none."""
-        units = (text or "").split(" ")
-        known = self.units
-        missing = set(units).difference(known)
+        units, known = (text or "").split(" "), self.units
+        needed = set(units)
+        missing = needed.difference(known)
         if missing:
+            if len(known) + len(missing) > self.most:
+                known.clear()
+                missing = needed
             self._learn(missing)
-            if not missing.issuperset(units) and len(known) <= len(missing) + 1:
-                self._learn(set(units).difference(known))  # the cache was emptied in between
         return np.frombuffer(b"".join([known[u] for u in units]), "<u4")
 
 
