@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from gramwise.catalog.support import Book, table
-from gramwise.llm import linedup, neardup_vectors, packing, simhash
+from gramwise.llm import bytebpe, linedup, neardup_vectors, packing, simhash
 
 BOOK = Book()
 
@@ -27,6 +27,12 @@ def op4(spark, sf_dir):
     return neardup_vectors.embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+@BOOK.add("op5_byte_bpe")
+def op5(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bytebpe.encoding_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 @BOOK.add("op6_simhash_near_dedup")
 def op6(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
