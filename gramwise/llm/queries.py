@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from gramwise.catalog.support import Book, table
-from gramwise.llm import bytebpe, linedup, neardup_vectors, packing, simhash
+from gramwise.llm import bytebpe, langid, linedup, neardup_vectors, packing, simhash, token_rollups
+from gramwise.session import scratch_path
 
 BOOK = Book()
 
@@ -36,3 +37,26 @@ def op5(spark, sf_dir):
 @BOOK.add("op6_simhash_near_dedup")
 def op6(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@BOOK.add("op8_token_counts")
+def op8(spark, sf_dir):
+    """Load all documents, delete the toxic ones, move those of low quality to a version that counts an end id; the
+    delete batch comes twice, as after a lost answer."""
+    rollup = token_rollups.TokenRollup(spark, scratch_path(spark, "rollup"))
+    counted = token_rollups.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "word_bpe_49k")
+    rollup.commit("load", counted.withColumn("op", F.lit("put")))
+    held = rollup.state()
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    toxic = held.join(marks.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").withColumn("op", F.lit("delete"))
+    rollup.commit("toxic", toxic)
+    low = rollup.state().join(marks.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    revised = low.withColumns({"version": F.lit("word_bpe_49k+end"), "n_tokens": F.col("n_tokens") + 1, "op": F.lit("put")})
+    rollup.commit("end-id", revised.unionByName(low.withColumn("op", F.lit("delete"))))
+    rollup.commit("toxic", toxic)
+    return rollup.totals()
+
+
+@BOOK.add("op9_language_id")
+def op9(spark, sf_dir):
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
