@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from gramwise.catalog.support import Book, table
-from gramwise.llm import bytebpe, langid, linedup, neardup_vectors, packing, simhash, token_rollups
+from gramwise.llm import bytebpe, curves, langid, linedup, neardup_vectors, packing, simhash, token_rollups
 from gramwise.session import scratch_path
 
 BOOK = Book()
@@ -60,3 +60,8 @@ def op8(spark, sf_dir):
 @BOOK.add("op9_language_id")
 def op9(spark, sf_dir):
     return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
+@BOOK.add("op10_nearest_neighbours")
+def op10(spark, sf_dir):
+    return curves.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
