@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -176,6 +176,18 @@ def predict_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id"
     return narrow.mapInPandas(each, "doc_id long, lang_pred string, score double, accepted boolean")
 
 
+def accepts(model: LanguageModel):
+    """A column function of the text: whether its language is accepted. Where no language could be learnt, any letter is enough."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def accepted(text: pd.Series) -> pd.Series:
+        known = shared.value
+        return pd.Series([known.predict(t)[2] if known.languages else bool(letters_only(t)) for t in text], dtype=bool)
+
+    return accepted
+
+
 def held_out(key: str = "doc_id") -> Column:
     """The fold that is never learnt from: crc32 of the key's text divisible by 5, and rows without key."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(True))
