@@ -78,7 +78,7 @@ class PerfectHash:
 class ByteBPE:
     """Encoder and decoder of one rank file; ``most`` bounds the cache of units already encoded."""
 
-    def __init__(self, path: str, pattern: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, pattern: str, most: int = 600_000) -> None:
         self.ranks = read_ranks(path)
         self.tokens = list(self.ranks)
         self.numbers = list(self.ranks.values())
