@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from gramwise.catalog.support import Book, table
-from gramwise.llm import bytebpe, chat, curves, langid, linedup, neardup_vectors, packing, simhash, token_rollups
+from gramwise.llm import bytebpe, chat, curves, langid, linedup, mixing, neardup_vectors, packing, simhash, token_rollups
 from gramwise.session import scratch_path
 
 BOOK = Book()
@@ -74,3 +74,8 @@ def op1(spark, sf_dir):
     extra = spark.createDataFrame([(-1, 0, "user", attack), (-1, 1, "assistant", attack)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_back(chat.chat_windows(turns, public_tokenizers.path("word_bpe_49k.json")))
+
+
+@BOOK.add("op7_lm_score")
+def op7(spark, sf_dir):
+    return mixing.score_documents(table(spark, sf_dir, "documents"))
