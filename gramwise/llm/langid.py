@@ -143,9 +143,12 @@ def learn(docs: DataFrame, trainable: Column, key: str = "doc_id", text: str = "
     rows = docs.where(trainable & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(
         F.xxhash64(F.col(key).cast("string")).alias("order"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")
     )
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    # hashes are even: four times the documents wanted lie below this part of the range, so few texts are sent on
+    low = F.pmod("order", F.lit(1 << 30)) < F.lit(4.0 * per_language * (1 << 30)) / F.col("count")
+    rows = rows.join(F.broadcast(common), "lang").where(low)
     first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))).where(f"rank <= {per_language}")
-    sample = first.join(F.broadcast(common), "lang").select("order", "lang", "text").coalesce(1)
+    sample = first.select("order", "lang", "text").repartition(1)
 
     def train(batches):
         frame = pd.concat([pd.DataFrame({"order": [], "lang": [], "text": []}), *batches]).sort_values(["order", "lang", "text"])
