@@ -319,7 +319,7 @@ def ssl13(spark, sf):
 
 _SEEDS = (1, 2, 3)
 _CAL_LINE_S, _CAL_LINE_I = weighted_line("w")
-_STUDY_SEEDS = f"""{STUDY}, n AS (SELECT least(5000, CAST(floor(10 * count(*) / 100) AS BIGINT)) AS k FROM study),
+_STUDY_SEEDS = f"""{STUDY}, n AS (SELECT CAST(floor(10 * count(*) / 100) AS BIGINT) AS k FROM study),
 z AS (SELECT s.*, seed, row_number() OVER (PARTITION BY seed ORDER BY {u("id", "seed")}, id) <= (SELECT k FROM n) AS lab FROM study s, (VALUES (1), (2), (3)) g(seed)),
 p AS (SELECT seed, {_P0} AS p0, {_P1} AS p1, {_P2} AS p2 FROM z WHERE lab GROUP BY seed), i AS (SELECT z.*, p0 + p1 * x + p2 * t AS h FROM z JOIN p USING (seed)),
 v AS (SELECT seed, 'supervised' AS variant, x, y AS r FROM i WHERE lab UNION ALL SELECT seed, 'imputed', x, CASE WHEN lab THEN y ELSE h END FROM i UNION ALL SELECT seed, 'train', x, h FROM i WHERE lab UNION ALL SELECT seed, 'every', x, h FROM i),
@@ -348,7 +348,7 @@ def ssl14_coefficients(spark, sf):
     return _terms(coefficients_by_seed(study(spark, sf), "id", ["x"], "y", ["x", "t"], _SEEDS, 10), ["x"], 5)
 
 
-_LOGIT_SEEDS = f"""{STUDY}, n AS (SELECT least(5000, CAST(floor(30 * count(*) / 100) AS BIGINT)) AS k FROM study),
+_LOGIT_SEEDS = f"""{STUDY}, n AS (SELECT CAST(floor(30 * count(*) / 100) AS BIGINT) AS k FROM study),
 z AS (SELECT s.x, s.y / 250.0 AS v, CAST(s.t AS DOUBLE) AS y, seed, row_number() OVER (PARTITION BY seed ORDER BY {u("id", "seed")}, id) <= (SELECT k FROM n) AS lab FROM study s, (VALUES (1), (2)) g(seed)),
 li AS (SELECT seed, v, y, 1.0 AS w FROM z WHERE lab), {newton_chain("li", 8, ["seed"], x="v", prefix="i")}, i AS (SELECT z.*, 1.0/(1.0+exp(-(a+b*v))) AS h FROM z JOIN i_fit USING (seed)),
 vs AS (SELECT seed, 'supervised' AS variant, x, y, 1.0 AS w FROM i WHERE lab UNION ALL SELECT seed, 'imputed', x, CASE WHEN lab THEN y ELSE h END, 1.0 FROM i UNION ALL SELECT seed, 'train', x, h, 1.0 FROM i WHERE lab UNION ALL SELECT seed, 'every', x, h, 1.0 FROM i),

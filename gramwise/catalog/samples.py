@@ -24,7 +24,7 @@ def smp1(spark, sf):
 
 @BOOK.add(
     "smp2_labelled_sample",
-    f"""WITH s AS (SELECT least(5000, CAST(floor(10 * count(*) / 100) AS BIGINT)) AS k FROM orders), ranked AS
+    f"""WITH s AS (SELECT CAST(floor(10 * count(*) / 100) AS BIGINT) AS k FROM orders), ranked AS
     (SELECT o_orderkey, row_number() OVER (ORDER BY {u("o_orderkey", 2)}, o_orderkey) AS rn FROM orders)
     SELECT o_orderkey, rn <= k AS is_labelled FROM ranked, s""",
 )

@@ -8,12 +8,15 @@
 * ``rr`` for every pair of responses r <= s: sum(r s), when asked for.
 
 The weight belongs to ``g`` only; a response carries its own weight (``w * y`` for least squares). Signed
-weights are fine.
+weights are fine. A row with a null or NaN among its inputs, responses or weight is left out of every sum, and
+``n`` does not count it: whatever the number of columns, the sums are those of the complete rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -46,12 +49,16 @@ def moments(
     r = [_c(y).cast("double") for y in responses]
     w = None if weight is None else _c(weight).cast("double")
     k, m = len(z), len(r)
-    sums = k * (k + 1) // 2 + k * m + (m * (m + 1) // 2 if cross else 0)
-    if sums > EXPLICIT_SUMS:
-        return _block_moments(df, z, r, w, list(by), cross)
     # Name the inputs once, so that no expression is evaluated again inside every product.
     names = [f"__z{i}" for i in range(k)] + [f"__r{i}" for i in range(m)]
     flat = df.select(*by, *[c.alias(a) for c, a in zip(z + r, names, strict=True)], *([w.alias("__w")] if w is not None else []))
+    used = names + (["__w"] if w is not None else [])
+    complete = reduce(and_, [F.col(a).isNotNull() & ~F.isnan(a) for a in used], F.lit(True))
+    flat = flat.withColumn("__ok", complete)
+    flat = flat.select(*by, "__ok", *[F.when(F.col("__ok"), F.col(a)).otherwise(0.0).alias(a) for a in used])
+    sums = k * (k + 1) // 2 + k * m + (m * (m + 1) // 2 if cross else 0)
+    if sums > EXPLICIT_SUMS:
+        return _block_moments(flat, [F.col(a) for a in names[:k]], [F.col(a) for a in names[k:]], None if w is None else F.col("__w"), list(by), cross)
     zc = [F.col(a) for a in names[:k]]
     rc = [F.col(a) for a in names[k:]]
     wz = [c if w is None else F.col("__w") * c for c in zc]
@@ -60,7 +67,7 @@ def moments(
     rr = [F.sum(rc[i] * rc[j]) for i in range(m) for j in range(i, m)] if cross else []
     empty = F.array().cast("array<double>")
     return flat.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count_if("__ok").alias("n"),
         F.array(*g).alias("g"),
         (F.array(*b) if b else empty).alias("b"),
         (F.array(*rr) if rr else empty).alias("rr"),
@@ -71,7 +78,7 @@ def _block_moments(df, z, r, w, by, cross) -> DataFrame:
     """The same sums for wide tables: a matrix product per Arrow batch, summed within the task, then once across tasks."""
     k, m = len(z), len(r)
     w = F.lit(1.0) if w is None else w
-    slim = df.select(*by, F.array(*z, *r, w).alias("v"))
+    slim = df.select(*by, F.array(*z, *r, w, F.col("__ok").cast("double")).alias("v"))
     upper = np.triu_indices(k)
     cross_upper = np.triu_indices(m)
     sizes = (len(upper[0]), k * m, len(cross_upper[0]) if cross else 0)
@@ -83,7 +90,7 @@ def _block_moments(df, z, r, w, by, cross) -> DataFrame:
             for key, part in groups:
                 v = np.stack(part["v"].to_numpy())
                 zz, rm, wm = v[:, :k], v[:, k : k + m], v[:, k + m]
-                vals = [np.array([float(len(part))]), (zz.T @ (zz * wm[:, None]))[upper], (rm.T @ zz).ravel()]
+                vals = [np.array([v[:, k + m + 1].sum()]), (zz.T @ (zz * wm[:, None]))[upper], (rm.T @ zz).ravel()]
                 if cross:
                     vals.append((rm.T @ rm)[cross_upper])
                 vec = np.concatenate(vals)

@@ -25,8 +25,14 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 
 
 def _tiles(query: np.ndarray, reference: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-    """Squared distances of slices of query rows to all reference rows, rounded so that ties are exact."""
+    """Squared distances of slices of query rows to all reference rows, rounded so that ties are exact.
+
+    Both sides are shifted by the reference mean first: far from the origin the expanded square loses all digits.
+    """
     step = max(1, _TILE_CELLS // max(1, len(reference)))
+    if len(reference):
+        centre = reference.mean(axis=0)
+        query, reference = query - centre, reference - centre
     ref_sq = (reference * reference).sum(axis=1)
     for start in range(0, len(query), step):
         part = query[start : start + step]
@@ -232,7 +238,8 @@ def kernel_expansion(
             if kernel == "min":
                 weights = np.minimum(part[:, :1], rv[:, 0][None, :]) / scale
             else:
-                d = (part * part).sum(1)[:, None] + (rv * rv).sum(1)[None, :] - 2.0 * part @ rv.T
+                near, far = part - rv.mean(axis=0), rv - rv.mean(axis=0)
+                d = (near * near).sum(1)[:, None] + (far * far).sum(1)[None, :] - 2.0 * near @ far.T
                 weights = np.exp(-gamma * np.maximum(d, 0.0))
             value[start : start + step] = weights @ c
         return pd.DataFrame({"qid": qp["qid"].to_numpy(), "value": value})

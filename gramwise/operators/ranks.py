@@ -7,6 +7,8 @@ partition are a small table; each row then needs only a window inside its own pa
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -20,13 +22,25 @@ def _buckets(df: DataFrame) -> int:
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _joined(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equal keys, nulls equal to nulls; the keys once and first, as in a join by name."""
+    keys = list(keys)
+    if not keys:
+        return df.crossJoin(table)
+    renamed = table.select(*[F.col(k).alias(f"__key_{k}") for k in keys], *[c for c in table.columns if c not in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    joined = df.join(renamed, same, how).drop(*[f"__key_{k}" for k in keys])
+    rest = [c for c in joined.columns if c not in keys]
+    return joined.select(*keys, *rest) if len(set(rest)) == len(rest) else joined
+
+
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a table of statistics or coefficients that was derived from much larger data.
 
-    It is computed once and stored; it is broadcast when its measured size is small, else joined by shuffle. Rows
-    with a null key have no match.
+    It is computed once and stored; it is broadcast when its measured size is small, else joined by shuffle. A null
+    key is a group like any other.
     """
-    return df.join(joinable(table), list(keys), how)
+    return _joined(df, joinable(table), keys, how)
 
 
 def _within_buckets(df: DataFrame, by: list[str], order: list[Column], value: Column | None) -> DataFrame:
@@ -50,7 +64,7 @@ def _within_buckets(df: DataFrame, by: list[str], order: list[Column], value: Co
     inside = Window.partitionBy(*keys).orderBy(*order)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    joined = df.join(totals, keys)
+    joined = _joined(df, totals, keys)
     number = F.row_number().over(inside)
     # The last row of a bucket takes the next bucket's start, so neighbouring rows always share one number.
     return joined.select(
@@ -94,9 +108,10 @@ def hash_rank(df: DataFrame, key: Sequence[str], seed: int, by: Sequence[str] =
 
 
 def value_counts(df: DataFrame, column: str | Column, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct values with counts; hot values collapse before the shuffle."""
+    """Distinct values with counts; hot values collapse before the shuffle. Nulls and NaN are no values."""
     column = F.col(column) if isinstance(column, str) else column
-    return df.groupBy(*by, column.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(*by, column.alias("value")).agg(F.count(F.lit(1)).alias("n")).where("value is not null")
+    return counts.where(~F.isnan("value")) if dict(counts.dtypes)["value"] in ("double", "float") else counts
 
 
 def order_statistic_edges(df: DataFrame, column: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
@@ -134,10 +149,13 @@ def level_quantiles(df: DataFrame, column: str, levels: Sequence[float], by: Seq
 
 
 def auc(df: DataFrame, label: str, score: str | Column, by: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve by mid-ranks: (by..., auc). Equal scores collapse before ranking."""
+    """Area under the ROC curve by mid-ranks: (by..., auc). Equal scores collapse before ranking.
+
+    Rows without a label or a score take no part.
+    """
     by = list(by)
     score = F.col(score) if isinstance(score, str) else score
-    tallies = df.groupBy(*by, score.alias("value")).agg(
+    tallies = df.where(F.col(label).isNotNull() & score.isNotNull() & ~F.isnan(score.cast("double"))).groupBy(*by, score.alias("value")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"),
     )

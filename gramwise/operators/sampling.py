@@ -100,14 +100,16 @@ def cap_rows(df: DataFrame, key: str | Sequence[str], cap: int, seed: int = 0) -
     return df.where(within_hash_rank(df, key, cap, seed))
 
 
-def labelled_size(n: int, percent: float, cap: int = 5000) -> int:
-    return min(cap, int(percent * n / 100))
+def labelled_size(n: int, percent: float, cap: int | None = None) -> int:
+    """That percentage of the rows, or ``cap`` if given and smaller."""
+    size = int(percent * n / 100)
+    return size if cap is None else min(cap, size)
 
 
 def flag_labelled(
-    df: DataFrame, key: str | Sequence[str], percent: float, cap: int = 5000, seed: int = 0, name: str = "is_labelled"
+    df: DataFrame, key: str | Sequence[str], percent: float, cap: int | None = None, seed: int = 0, name: str = "is_labelled"
 ) -> DataFrame:
-    """Mark a labelled sample of min(cap, int(percent * n / 100)) rows; the complement is the flag's negation."""
+    """Mark a labelled sample of ``labelled_size`` rows; the complement is the flag's negation."""
     return df.withColumn(name, within_hash_rank(df, key, labelled_size(df.count(), percent, cap), seed))
 
 

@@ -223,6 +223,11 @@ def debiased_logistic(
     return _combine_variants(fits, by)
 
 
+def _worst(*statuses: str) -> str:
+    """The first status that is not ``ok``."""
+    return next((s for s in statuses if s != "ok"), "ok")
+
+
 def debiased_quantile(df: DataFrame, xs: Sequence[str], y: str, imputed: str, labelled: str, tau: float) -> DataFrame:
     """The three fits for linear quantile regression."""
     on = df.where(_c(labelled))
@@ -231,7 +236,7 @@ def debiased_quantile(df: DataFrame, xs: Sequence[str], y: str, imputed: str, la
     mix, s1 = quantile_regression(mixed, xs, "__m", tau)
     train, s2 = quantile_regression(on, xs, imputed, tau)
     every, s3 = quantile_regression(df, xs, imputed, tau)
-    rows = [("supervised", sup, s0), ("imputed", mix, s1), ("debiased", every - (train - sup), max(s0, s2, s3))]
+    rows = [("supervised", sup, s0), ("imputed", mix, s1), ("debiased", every - (train - sup), _worst(s0, s2, s3))]
     return df.sparkSession.createDataFrame(
         [(m, [float(v) for v in t], s) for m, t, s in rows], "method string, theta array<double>, status string"
     )
@@ -466,7 +471,8 @@ def density_ratio(
 ) -> DensityRatio:
     """Newton moment matching; one weighted aggregate over the labelled rows per step.
 
-    A badly scaled system (a singular value above 99999 or below tol) falls back to equal weights, ``error`` set.
+    A badly scaled system (a singular value above 99999 or below tol), or no convergence within ``max_iter`` steps,
+    falls back to equal weights, ``error`` set.
     """
     terms = polynomial_columns(xs, order, intercept=False)
     names = [f"__t{i}" for i in range(len(terms))]
@@ -485,22 +491,31 @@ def density_ratio(
             step = -np.linalg.solve(second, second[0] - goal)
             alpha = alpha + step
             if np.linalg.norm(step) <= tol:
-                break
+                return DensityRatio(alpha, terms, False, steps)
     finally:
         on.unpersist()
-    return DensityRatio(alpha, terms, False, steps)
+    return DensityRatio(np.zeros(len(terms) + 1), terms, True, steps)
 
 
 def density_ratio_fit(
     df: DataFrame, xs: Sequence[str], y: str, labelled: str, order: int = 1, loss: str = "linear", tau: float = 0.5
 ) -> tuple[DataFrame, DensityRatio]:
-    """Weighted linear, logistic or quantile fit under density-ratio weights."""
+    """Weighted linear, logistic or quantile fit under density-ratio weights.
+
+    Where the weights fell back to equal ones, an otherwise good fit has the status ``equal weights``.
+    """
+    if loss not in ("linear", "logistic", "quantile"):
+        raise ValueError(f"unknown loss {loss!r}")
     ratio = density_ratio(df, xs, labelled, order)
     rows = df.where(_c(labelled))
     if loss == "linear":
-        return least_squares(rows, xs, y, ratio.weight).select("theta", "status"), ratio
-    if loss == "logistic":
-        return logistic_regression(rows, xs, y, ratio.weight).select("theta", "status"), ratio
-    theta, status = quantile_regression(rows, xs, y, tau, ratio.weight)
-    return fit_frame(df.sparkSession, theta, status), ratio
+        fit = least_squares(rows, xs, y, ratio.weight).select("theta", "status")
+    elif loss == "logistic":
+        fit = logistic_regression(rows, xs, y, ratio.weight).select("theta", "status")
+    else:
+        theta, status = quantile_regression(rows, xs, y, tau, ratio.weight)
+        fit = fit_frame(df.sparkSession, theta, status)
+    if ratio.error:
+        fit = fit.withColumn("status", F.when(F.col("status") == "ok", "equal weights").otherwise(F.col("status")))
+    return fit, ratio
 

@@ -14,9 +14,10 @@ from gramwise.operators.ranks import density_histogram, uniform_ks
 from gramwise.operators.sampling import cap_rows, train_test_split
 
 
-def capped_split(df: DataFrame, key: str, xs: Sequence[str], y: str, cap: int, test_fraction: float, seed: int) -> DataFrame:
-    """At most ``cap`` rows, split, with covariates and response scaled by the training rows."""
-    rows = cap_rows(df.select(key, *xs, y), key, cap, seed)
+def capped_split(df: DataFrame, key: str, xs: Sequence[str], y: str, cap: int | None, test_fraction: float, seed: int) -> DataFrame:
+    """All rows, or ``cap`` of them if given, split, with covariates and response scaled by the training rows."""
+    rows = df.select(key, *xs, y)
+    rows = rows if cap is None else cap_rows(rows, key, cap, seed)
     split = train_test_split(rows, key, test_fraction=test_fraction, seed=seed + 1)
     return standardise(split, [*xs, y], F.col("split") == "train")
 
@@ -31,7 +32,7 @@ def linear_gaussian_quantiles(rows: DataFrame, xs: Sequence[str], y: str, levels
     return test.withColumn(name, gaussian_quantiles(linear_score(theta, xs), F.lit(variance), noise, levels))
 
 
-def run_one(df: DataFrame, key: str, xs: Sequence[str], y: str, levels: Sequence[float], cap: int = 1250, test_fraction: float = 0.3, seed: int = 0) -> DataFrame:
+def run_one(df: DataFrame, key: str, xs: Sequence[str], y: str, levels: Sequence[float], cap: int | None = None, test_fraction: float = 0.3, seed: int = 0) -> DataFrame:
     """One row of interval scores for one table and seed."""
     rows = capped_split(df, key, xs, y, cap, test_fraction, seed)
     return interval_summary(linear_gaussian_quantiles(rows, xs, y, levels), y, "q", levels)

@@ -23,7 +23,7 @@ def _kept(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 
 def coefficients_by_seed(
-    df: DataFrame, key: str, xs: Sequence[str], y: str, imputer_xs: Sequence[str], seeds: Sequence[int], percent: float, cap: int = 5000
+    df: DataFrame, key: str, xs: Sequence[str], y: str, imputer_xs: Sequence[str], seeds: Sequence[int], percent: float, cap: int | None = None
 ) -> DataFrame:
     """(seed, method, theta, status) of the supervised, imputed, debiased and calibrated fits.
 
@@ -43,7 +43,7 @@ def coefficients_by_seed(
 
 
 def logistic_coefficients_by_seed(
-    df: DataFrame, key: str, xs: Sequence[str], y: str, imputer_xs: Sequence[str], seeds: Sequence[int], percent: float, cap: int = 5000
+    df: DataFrame, key: str, xs: Sequence[str], y: str, imputer_xs: Sequence[str], seeds: Sequence[int], percent: float, cap: int | None = None
 ) -> DataFrame:
     """The same for a 0/1 response: class probabilities are imputed and enter as fractional labels."""
     kept = _kept(df, key, [*xs, *imputer_xs, y])
@@ -63,8 +63,10 @@ def logistic_coefficients_by_seed(
         kept.unpersist()
 
 
-def compare(df: DataFrame, key: str, xs, y, imputer_xs, seeds, percent: float, cap: int = 5000, loss: str = "linear") -> DataFrame:
+def compare(df: DataFrame, key: str, xs, y, imputer_xs, seeds, percent: float, cap: int | None = None, loss: str = "linear") -> DataFrame:
     """(method, term, mse, fits): mean squared error against the full-data fit, over the seeds that could be fitted."""
+    if loss not in ("linear", "logistic"):
+        raise ValueError(f"unknown loss {loss!r}: linear or logistic")
     if loss == "linear":
         fits, full = coefficients_by_seed(df, key, xs, y, imputer_xs, seeds, percent, cap), least_squares(df, xs, y)
     else:
