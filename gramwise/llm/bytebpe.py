@@ -76,16 +76,16 @@ class PerfectHash:
 
 
 class ByteBPE:
-    """Encoder and decoder of one rank file; ``most`` bounds the cache of units already encoded."""
+    """Encoder and decoder of one rank file; the caches are emptied at ``most`` units or ``most_pieces`` pieces."""
 
-    def __init__(self, path: str, pattern: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, pattern: str, most: int = 400_000, most_pieces: int = 1_000_000) -> None:
         self.ranks = read_ranks(path)
         self.tokens = list(self.ranks)
         self.numbers = list(self.ranks.values())
         self.whole = PerfectHash(self.tokens)
         self.bytes = {rank: token for token, rank in self.ranks.items()}
         # a backslash s of the pattern is Unicode white space, without the four separators that Python adds
-        self.pattern, self.most = regex.compile(pattern), most
+        self.pattern, self.most, self.most_pieces = regex.compile(pattern), most, most_pieces
         self.known: dict[str, tuple[str, bytes]] = {}
         self.seen: dict[str, list[int]] = {}
 
@@ -124,7 +124,7 @@ class ByteBPE:
         for match in self.pattern.findall(unit):
             found = seen.get(match)
             if found is None:
-                if len(seen) >= self.most:
+                if len(seen) >= self.most_pieces:
                     seen.clear()
                 found = seen[match] = self.piece(match.encode("utf-8"))
             ids += found

@@ -18,14 +18,14 @@ class WordTokenizer:
 
     A text is cut at blanks; each unit's ids are looked up, and units not seen yet are split into words that the library
     encodes together in one call. ``special`` says whether strings of special tokens in a text become those tokens, as
-    the library does by default. The caches are emptied when they reach ``most`` entries.
+    the library does by default. The caches are emptied when they reach ``most`` units or ``most_words`` words.
     """
 
-    def __init__(self, path: str, special: bool = True, most: int = 400_000) -> None:
+    def __init__(self, path: str, special: bool = True, most: int = 400_000, most_words: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.most = Tokenizer.from_file(path), most
+        self.library, self.most, self.most_words = Tokenizer.from_file(path), most, most_words
         self.library.encode_special_tokens = not special
         self.units: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -60,7 +60,7 @@ class WordTokenizer:
                 self.units[unit] = self._whole(unit)
         known = self.words
         missing = words.difference(known)
-        if len(known) + len(missing) > self.most:
+        if len(known) + len(missing) > self.most_words:
             known.clear()
             missing = words
         self._learn_words(list(missing))

@@ -15,7 +15,7 @@ TEXTS = [None, "", " ", "  \n two  blanks\n ", "Don't I'LL we've", "été Straß
 
 @pytest.fixture(scope="module")
 def both():
-    own = bytebpe.ByteBPE(PATH, PATTERN, most=500)
+    own = bytebpe.ByteBPE(PATH, PATTERN, most=500, most_pieces=300)
     return own, tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own.ranks, special_tokens={})
 
 
