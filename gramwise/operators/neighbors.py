@@ -127,20 +127,25 @@ def nearest_join(
         qv, rv = _matrix(qp["qv"], width), _matrix(rp["rv"], width)
         rid, pay = rp["rid"].to_numpy(), rp["payload"].to_numpy(dtype=float)
         qid, qm, rm = qp["qid"].to_numpy(), qp["mask"].to_numpy(), rp["mask"].to_numpy()
-        found: list[list[dict]] = [[] for _ in range(len(qp))]
+        hits = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
         if len(rp):
             for where, d in _tiles(qv, rv):
                 if mask:
                     d[qm[where][:, None] == rm[None, :]] = np.inf
                 if skip_same_key:
                     d[qid[where][:, None] == rid[None, :]] = np.inf
-                for i, j, v in zip(*_nearest(d, k), strict=True):
-                    if np.isfinite(v):
-                        found[where.start + i].append({"dist": v, "rid": rid[j], "payload": pay[j]})
-        return pd.DataFrame({"qid": qid, "neighbours": found})
-
-    schema = "qid long, neighbours array<struct<dist:double,rid:long,payload:double>>"
+                i, j, v = _nearest(d, k)
+                real = np.isfinite(v)
+                hits.append((where.start + i[real], j[real], v[real]))
+        i, j, v = (np.concatenate(c) for c in zip(*hits, strict=True))
+        ends = np.cumsum(np.bincount(i, minlength=len(qp)))[:-1]
+        return pd.DataFrame({"qid": qid, "dist": np.split(v, ends), "rid": np.split(rid[j], ends), "payload": np.split(pay[j], ends)}) if len(qp) else pd.DataFrame(
+            {"qid": [], "dist": [], "rid": [], "payload": []}
+        )
+
+    schema = "qid long, dist array<double>, rid array<long>, payload array<double>"
     out, whole = _scan(q, r, work, schema, width, block_rows, broadcast_bytes)
+    out = out.select("qid", F.arrays_zip("dist", "rid", "payload").alias("neighbours"))
     if whole:
         return out
     merged = F.slice(F.array_sort(F.flatten(F.collect_list("neighbours"))), 1, k)
