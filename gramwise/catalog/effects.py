@@ -196,7 +196,7 @@ def udf2(spark, sf):
 
 @BOOK.add("udf6_fit_per_group", f"SELECT event_type, {q('regr_intercept(value, hour(ts))', 5)} AS intercept, {q('regr_slope(value, hour(ts))', 5)} AS slope FROM events GROUP BY event_type")
 def udf6(spark, sf):
-    """Small groups are fitted as pandas frames, oversized ones from moments; here the bound splits the types."""
+    """Groups are fitted as pandas frames while all are small, else all from moments; here one type is over the bound."""
     rows = table(spark, sf, "events").select("event_type", "value", F.hour("ts").cast("double").alias("h"))
     schema = "event_type string, intercept double, slope double"
 

@@ -82,13 +82,13 @@ def _descent_chain(source: str, steps: int, rate: float, slope: str) -> str:
 @BOOK.add("mod5_descent_logistic", f"WITH {STUDY}, s AS (SELECT x, CAST(t AS DOUBLE) AS y, {u('id', 14)} - 0.1 AS w FROM study), {_descent_chain('s', 10, 0.05, '1.0/(1.0+exp(-e)) - y')} {_line_sql('d10', 'a', 'b')}")
 def mod5(spark, sf):
     rows = study(spark, sf).withColumn("w", hash_uniform("id", 14) - 0.1)
-    theta, _ = I.gradient_descent(rows, ["x"], "t", [0.0, 0.0], 0.05, "logistic", "w", max_iter=10)
+    theta, _, _ = I.gradient_descent(rows, ["x"], "t", [0.0, 0.0], 0.05, "logistic", "w", max_iter=10)
     return _vector(spark, ["x"], theta)
 
 
 @BOOK.add("mod5_descent_quantile", f"WITH {STUDY}, s AS (SELECT x, y, 1.0 AS w FROM study), {_descent_chain('s', 6, 20.0, 'CASE WHEN y <= e THEN 0.5 ELSE -0.5 END')} {_line_sql('d6', 'a', 'b')}")
 def mod5_quantile(spark, sf):
-    theta, _ = I.gradient_descent(study(spark, sf), ["x"], "y", [0.0, 0.0], 20.0, "quantile", max_iter=6)
+    theta, _, _ = I.gradient_descent(study(spark, sf), ["x"], "y", [0.0, 0.0], 20.0, "quantile", max_iter=6)
     return _vector(spark, ["x"], theta)
 
 

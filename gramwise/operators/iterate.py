@@ -165,10 +165,10 @@ def gradient_descent(
     tau: float = 0.5,
     tol: float = 1e-5,
     max_iter: int = 50,
-) -> tuple[np.ndarray, int]:
-    """Weighted descent on the mean loss; at most ``max_iter`` steps, one aggregate each. Returns (theta, steps)."""
+) -> tuple[np.ndarray, int, str]:
+    """Weighted descent on the mean loss; at most ``max_iter`` steps, one aggregate each. Returns (theta, steps, status)."""
     slim, names = _slim(df, xs, y, weight, [])
-    theta, steps = np.asarray(start, dtype=float), 0
+    theta, steps, status = np.asarray(start, dtype=float), 0, "not converged"
     try:
         for steps in range(1, max_iter + 1):
             parts = score_vector("__y", linear_score(theta, names), names, loss, tau)
@@ -176,10 +176,11 @@ def gradient_descent(
             step = -rate * np.array([float(v) for v in row])
             theta = theta + step
             if np.linalg.norm(step) <= tol:
+                status = "ok"
                 break
     finally:
         slim.unpersist()
-    return theta, steps
+    return theta, steps, status
 
 
 def weighted_quantile(df: DataFrame, column: str, tau: float, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:

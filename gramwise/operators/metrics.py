@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gramwise.operators.ranks import auc
+from gramwise.session import settle
 
 
 def _c(x) -> Column:
@@ -147,10 +148,10 @@ def wide_table(df: DataFrame, rows: str, columns: str, names: Sequence[str], val
 def slice_table(df: DataFrame, slice_column: str, columns: Sequence[str], weights: str = "share") -> DataFrame:
     """Slice weight and slice means. 'share' weighs by rows, 'equal' gives every slice 1 / #slices."""
     counts = df.groupBy(slice_column).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
-    w = Window.partitionBy()
-    total = F.sum("n").over(w) if weights == "share" else None
-    share = F.col("n") / total if weights == "share" else F.lit(1.0) / F.count(F.lit(1)).over(w)
-    return counts.withColumn("share", share)
+    counts = settle(counts)
+    whole = counts.agg(F.sum("n").alias("__rows"), F.count(F.lit(1)).alias("__slices"))
+    share = F.col("n") / F.col("__rows") if weights == "share" else F.lit(1.0) / F.col("__slices")
+    return counts.crossJoin(F.broadcast(whole)).withColumn("share", share).drop("__rows", "__slices")
 
 
 def fold_mean_score(df: DataFrame, fold: str, score: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -79,23 +79,19 @@ def fit_groups(
     by: Sequence[str],
     fit: Callable[[pd.DataFrame], pd.DataFrame],
     schema: str,
-    fit_large: Callable[[DataFrame], DataFrame],
+    fit_large: Callable[[DataFrame], DataFrame] | None = None,
     most_rows: int = 500_000,
 ) -> DataFrame:
-    """A model per group. Groups up to ``most_rows`` go through ``fit`` as pandas; larger ones through ``fit_large``,
+    """A model per group, by one definition for all groups of a call.
 
-    which receives the rows of all large groups as a DataFrame and must return the same schema (grouped moments,
-    for instance), so that no task ever holds an oversized group.
+    If every group has at most ``most_rows`` rows, each goes through ``fit`` as a pandas frame. Otherwise all groups go
+    through ``fit_large``, which receives the rows as a DataFrame and must return the same schema (grouped moments, for
+    instance); without it the call is refused, so that no task ever holds an oversized group.
     """
     by = list(by)
-    sizes = df.groupBy(*by).count()
-    large = sizes.where(F.col("count") > most_rows).select(*by).persist()
-    try:
-        hot = large.limit(10_001).count()
-    finally:
-        large.unpersist()
-    if not hot:
+    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest <= most_rows:
         return df.groupBy(*by).applyInPandas(fit, schema)
-    marker = F.broadcast(large) if hot <= 10_000 else large
-    small = df.join(marker, by, "left_anti").groupBy(*by).applyInPandas(fit, schema)
-    return small.unionByName(fit_large(df.join(marker, by, "left_semi")))
+    if fit_large is None:
+        raise ValueError(f"a group has {largest} rows, more than {most_rows}: pass fit_large, a fit on DataFrames")
+    return fit_large(df)

@@ -139,7 +139,8 @@ def calibrated_fit(
         # Negative weights are left out of the first fit and enter the refinement with their sign.
         theta, status = quantile_regression(rows, xs, y, tau, F.greatest(cal.weight, F.lit(0.0)))
         if rows.where(cal.weight < 0).limit(1).count():
-            theta, _ = gradient_descent(rows, xs, y, theta, rate, "quantile", cal.weight, tau, max_iter=100)
+            theta, _, refined = gradient_descent(rows, xs, y, theta, rate, "quantile", cal.weight, tau, max_iter=100)
+            status = _worst(status, refined)
         return fit_frame(df.sparkSession, theta, status), cal
     raise ValueError(f"unknown loss {loss!r}")
 

@@ -91,7 +91,7 @@ def test_weighted_quantile(spark):
 
 def test_descent_agrees_with_newton(data):
     _, df = data
-    theta, _ = I.gradient_descent(df, ["a"], "bin", [0.0, 0.0], 3.0, "logistic", max_iter=60)
+    theta, _, _ = I.gradient_descent(df, ["a"], "bin", [0.0, 0.0], 3.0, "logistic", max_iter=60)
     assert theta == pytest.approx(I.logistic_regression(df, ["a"], "bin").first()["theta"], abs=1e-3)
 
 
@@ -300,4 +300,9 @@ def test_large_groups_do_not_go_through_pandas(data):
 
     large = lambda rows: rows.groupBy("g").agg(F.avg("y").alias("m"), F.lit("moments").alias("how"))
     out = {r["g"]: r for r in fit_groups(df.select("g", "y"), ["g"], fit, "g string, m double, how string", large, 100).collect()}
-    assert out["u"]["how"] == "pandas" and out["v"]["how"] == "moments"
+    assert {r["how"] for r in out.values()} == {"moments"}
+    small = fit_groups(df.select("g", "y"), ["g"], fit, "g string, m double, how string", most_rows=10**6).collect()
+    assert {r["how"] for r in small} == {"pandas"}
+    assert {r["g"]: r["m"] for r in small} == pytest.approx({g: r["m"] for g, r in out.items()})
+    with pytest.raises(ValueError):
+        fit_groups(df.select("g", "y"), ["g"], fit, "g string, m double, how string", most_rows=100)
