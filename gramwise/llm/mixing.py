@@ -35,8 +35,7 @@ class Code:
     weights: np.ndarray
     counts: np.ndarray
     starts: np.ndarray
-    nodes: np.ndarray
-    bits: np.ndarray
+    steps: np.ndarray
 
     @staticmethod
     def of(frequent: list[tuple[bytes, int]], rest: int) -> Code:
@@ -62,24 +61,31 @@ class Code:
         counts = np.zeros((max(1, leaves - 1), 2), np.int64)
         inner = np.flatnonzero(parent >= 0)
         np.add.at(counts, (parent[inner] - leaves, side[inner]), np.array(sums)[inner])
-        return Code({w: k for k, (w, _) in enumerate(frequent)}, np.array(weights[:-1], np.int64), counts, starts, walk[real] - leaves, turns[real])
+        depth = np.minimum(np.cumsum(real, axis=1)[real] - 1, 15)
+        steps = ((walk[real] - leaves) << 5 | depth << 1 | turns[real]).astype(np.int32)
+        return Code({w: k for k, (w, _) in enumerate(frequent)}, np.array(weights[:-1], np.int64), counts, starts.astype(np.int32), steps)
 
     @property
     def escape(self) -> int:
         return len(self.starts) - 2
 
-    def walks(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(position among ``symbols``, depth, node, bit) of every bit of the symbols."""
-        first, sizes = self.starts[symbols], self.starts[symbols + 1] - self.starts[symbols]
-        owner = np.repeat(np.arange(len(symbols)), sizes)
-        depth = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = first[owner] + depth
-        return owner, depth, self.nodes[at], self.bits[at]
+    def walks(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of bits of each symbol, step of every bit: node, depth and bit packed)."""
+        first = self.starts[symbols]
+        sizes = self.starts[symbols + 1] - first
+        at = np.arange(sizes.sum(), dtype=np.int32)
+        at += np.repeat(first - (np.cumsum(sizes, dtype=np.int32) - sizes), sizes)
+        return sizes, self.steps[at]
 
 
-def _slot(context: np.ndarray, node: np.ndarray, salt: int, size: int) -> np.ndarray:
-    mixed = (context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + node.astype(np.uint64) + np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93)
-    return ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - size)).astype(np.int64)
+def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """32-bit hash of two 32-bit arrays."""
+    mixed = (a * np.uint32(0x9E3779B1) ^ b) * np.uint32(0x85EBCA77)
+    return (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0xC2B2AE3D)
+
+
+def _slot(context: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
+    return _hash(node, context) >> np.uint32(32 - size)
 
 
 @dataclass
@@ -95,30 +101,46 @@ class Events:
 
 def code_events(code: Code, symbols: np.ndarray, before: np.ndarray, before2: np.ndarray, size: int) -> Events:
     """Tables: the node itself, the node after the last symbol, the node after the last two."""
-    owner, depth, node, bit = code.walks(symbols)
-    one, two = before[owner], before[owner] * np.int64(1 << 20) + before2[owner] + 7
-    return Events(owner, bit, [node, _slot(one, node, 1, size), _slot(two, node, 2, size)], np.minimum(depth, 15), False)
+    sizes, steps = code.walks(symbols)
+    node = (steps >> 5).view(np.uint32)
+    one = _hash(before.astype(np.uint32), np.uint32(1))
+    two = _hash(before2.astype(np.uint32), one)
+    slots = [node, _slot(np.repeat(one, sizes), node, size), _slot(np.repeat(two, sizes), node, size)]
+    return Events(np.repeat(np.arange(len(symbols), dtype=np.int32), sizes), (steps & 1).astype(np.uint8), slots, steps >> 1 & 15, False)
+
+
+_BYTE_BITS = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(np.uint8)
+_BYTE_NODES = (1 << np.arange(8) | np.arange(256)[:, None] >> np.arange(8, 0, -1)).astype(np.uint32)
 
 
 def spelling_events(unknown: list[bytes], size: int) -> Events:
     """Eight bits a byte and for a final blank, after the two, three and four bytes before in the word."""
-    text = np.frombuffer(b" ".join(unknown) + b" ", np.uint8).astype(np.int64)
+    text = np.frombuffer(b" ".join(unknown) + b" ", np.uint8)
     sizes = np.array([len(w) + 1 for w in unknown])
-    owner = np.repeat(np.arange(len(unknown)), sizes)
     place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    last = [np.where(place >= k, np.concatenate((np.full(k, 32), text))[: len(text)], 32) for k in (1, 2, 3, 4)]
-    depth = np.tile(np.arange(8), len(text))
-    byte = np.repeat(text, 8)
-    bit = (byte >> (7 - depth)) & 1
-    node = (1 << depth) | (byte >> (8 - depth))
-    contexts = [last[0] | last[1] << 8, last[0] | last[1] << 8 | last[2] << 16, last[0] | last[1] << 8 | last[2] << 16 | last[3] << 24]
-    return Events(np.repeat(owner, 8), bit.astype(np.uint8), [_slot(np.repeat(c, 8), node, 11 + k, size) for k, c in enumerate(contexts)], 16 + depth, True)
+    last = [np.where(place >= k, np.concatenate((np.full(k, 32, np.uint8), text))[: len(text)], 32).astype(np.uint32) for k in (1, 2, 3, 4)]
+    two = last[0] | last[1] << np.uint32(8)
+    three = two | last[2] << np.uint32(16)
+    contexts = [_hash(two, np.uint32(11)), _hash(three, np.uint32(12)), _hash(three | last[3] << np.uint32(24), np.uint32(13))]
+    node = _BYTE_NODES[text].ravel()
+    slots = [_slot(np.repeat(c, 8), node, size) for c in contexts]
+    owner = np.repeat(np.arange(len(unknown), dtype=np.int32), 8 * sizes)
+    return Events(owner, _BYTE_BITS[text].ravel(), slots, np.tile(np.arange(16, 24, dtype=np.int32), len(text)), True)
 
 
 def _stretch(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32)
 
 
+_SCALE = np.float32(600)
+
+
+def _packed_predictions(table: np.ndarray) -> np.ndarray:
+    """Stretched predictions in steps of 1/600 with two bits of trust, as 16-bit numbers."""
+    stretched = np.clip(_stretch(table[:, 0], table[:, 1]), -12, 12)
+    return (np.rint(stretched * _SCALE).astype(np.int32) << 2 | _trust(table.sum(axis=1))).astype(np.int16)
+
+
 def _trust(n: np.ndarray) -> np.ndarray:
     return np.digitize(n, (1, 4, 32)).astype(np.uint8)
 
@@ -134,28 +156,25 @@ class Model:
         self.weights[:16, 0] = 1.0
         self.weights[16:, 1:3] = 0.3
         self.refine = np.tile(np.linspace(-_LIMIT, _LIMIT, _STEPS), (_DEPTHS, 1))
-        self._ready = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_ready": None}
-
-    def _inputs(self, e: Events, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(stretched predictions, gate) of each bit; ``leave_out`` takes the bit itself out of the counts."""
-        if not leave_out:
-            if self._ready is None:
-                self._ready = [[(_stretch(t[:, 0], t[:, 1]), _trust(t.sum(axis=1))) for t in group] for group in self.counts]
-            own = self._ready[e.spelt]
-            columns = [table[slot] for (table, _), slot in zip(own, e.slots, strict=True)]
-            trust = [own[k][1][e.slots[k]] for k in (1, 2)]
-        else:
-            columns, trust = [], []
-            for table, slot in zip(self.counts[e.spelt], e.slots, strict=True):
-                pair = table[slot].astype(np.float64)
-                pair[np.arange(len(pair)), e.bit] = np.maximum(0, pair[np.arange(len(pair)), e.bit] - 1)
-                columns.append(_stretch(pair[:, 0], pair[:, 1]))
-                trust.append(_trust(pair.sum(axis=1)))
-            trust = trust[1:]
-        gate = 16 * e.spelt + 4 * trust[0].astype(np.int64) + trust[1]
+        self.predictions: list[list[np.ndarray]] = []
+
+    def frozen(self) -> Model:
+        """This model for scoring only: predictions in place of counts."""
+        out = Model(self.code, [], [], self.sizes)
+        out.weights, out.refine = self.weights.astype(np.float32), self.refine.astype(np.float32)
+        out.predictions = [[_packed_predictions(t) for t in group] for group in self.counts]
+        out.counts = []
+        return out
+
+    def _left_out(self, e: Events) -> tuple[np.ndarray, np.ndarray]:
+        """(stretched predictions, gate) of each bit, the bit itself taken out of the counts."""
+        columns, trust = [], []
+        for table, slot in zip(self.counts[e.spelt], e.slots, strict=True):
+            pair = table[slot].astype(np.float64)
+            pair[np.arange(len(pair)), e.bit] = np.maximum(0, pair[np.arange(len(pair)), e.bit] - 1)
+            columns.append(_stretch(pair[:, 0], pair[:, 1]))
+            trust.append(_trust(pair.sum(axis=1)))
+        gate = 16 * e.spelt + 4 * trust[1].astype(np.int64) + trust[2]
         return np.column_stack([*columns, np.full(len(gate), 0.3, np.float32)]), gate
 
     def _mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -170,14 +189,26 @@ class Model:
         return 0.5 * mixed + 0.5 * (table[at] * (1 - part) + table[at + 1] * part), at, part
 
     def bits(self, e: Events) -> np.ndarray:
-        """log2 of the probability of each bit."""
-        x, gate = self._inputs(e, False)
-        final, _, _ = self._refined(self._mixed(x, gate), e.depth)
-        return -np.logaddexp(0, np.where(e.bit, -final, final)) / np.log(2)
+        """log2 of the probability of each bit, by a frozen model."""
+        packed = [table[slot] for table, slot in zip(self.predictions[e.spelt], e.slots, strict=True)]
+        gate = ((packed[1] & 3) << 2 | packed[2] & 3) + np.int16(16 * e.spelt)
+        final = np.float32(0.3) * self.weights[:, 3].take(gate)
+        for k, values in enumerate(packed):
+            final += (self.weights[:, k] / _SCALE).take(gate) * (values >> 2)
+        np.clip(final, -_LIMIT + 1e-4, _LIMIT - 1e-4, out=final)
+        place = (final + np.float32(_LIMIT)) * np.float32((_STEPS - 1) / (2 * _LIMIT))
+        low = place.astype(np.int32)
+        place -= low
+        low += e.depth * np.int32(_STEPS)
+        table = self.refine.ravel()
+        here = table.take(low)
+        final += here + place * (table.take(low + 1) - here)
+        final *= np.float32(-0.5) * (2 * e.bit.astype(np.float32) - 1)  # half of both, signed by the bit
+        return (np.maximum(final, 0) + np.log1p(np.exp(-np.abs(final)))) * np.float32(-1 / np.log(2))
 
     def learn(self, e: Events, rate: float) -> None:
         """One online step: weights and refinement move along the error of bits left out of their own counts."""
-        x, gate = self._inputs(e, True)
+        x, gate = self._left_out(e)
         mixed = self._mixed(x, gate)
         final, at, part = self._refined(mixed, e.depth)
         step, n = np.zeros_like(self.weights), np.bincount(gate, minlength=_GATES)
@@ -201,16 +232,21 @@ class Model:
             part = slice(at, at + _CHUNK)
             yield at, symbols[part], before[part], before2[part]
 
-    def score_all(self, documents: list[list[bytes]]) -> tuple[np.ndarray, list[list[bytes]]]:
-        """log10 probability of each document, and its escaped words; documents go through in stretches of many tokens."""
-        total, escaped = np.zeros(len(documents)), []
+    def score_all(self, documents: list[list[bytes]], spelt: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+        """(log10 probability, sum of log10(count + 1) of the tokens with a code, escaped words) of each document.
+
+        Documents go through in stretches of many tokens; ``spelt`` remembers words spelt before.
+        """
+        total, base, escaped = np.zeros(len(documents)), np.zeros(len(documents)), []
+        gain = np.append(np.log10(self.code.weights + 1.0), 0.0)
         held: list[tuple[np.ndarray, ...]] = []
-        size, unknown = 0, Counter()
+        size = 0
 
         def flush() -> None:
             owner, symbols, before, before2 = (np.concatenate(c) for c in zip(*held, strict=True))
             e = code_events(self.code, symbols, before, before2, self.sizes[0])
-            np.add.at(total, owner[e.owner], self.bits(e))
+            np.add.at(total, owner, np.bincount(e.owner, self.bits(e), len(symbols)))
+            np.add.at(base, owner, gain[symbols])
 
         for k, tokens in enumerate(documents):
             own = []
@@ -224,14 +260,15 @@ class Model:
             escaped.append(own)
         if held:
             flush()
-        unknown = list({w for own in escaped for w in own})
-        spelt: dict[bytes, float] = {}
+        if len(spelt) > 200_000:
+            spelt.clear()
+        unknown = list({w for own in escaped for w in own}.difference(spelt))
         for at in range(0, len(unknown), 4096):
             part = unknown[at : at + 4096]
             e = spelling_events(part, self.sizes[1])
             spelt.update(zip(part, np.bincount(e.owner, self.bits(e), len(part)).tolist(), strict=True))
         extra = [sum(map(spelt.__getitem__, own)) for own in escaped]
-        return (total + np.array(extra)) * np.log10(2), escaped
+        return (total + np.array(extra)) * np.log10(2), base, escaped
 
 
 def _count_words(batches):
@@ -307,7 +344,7 @@ def learn(training: DataFrame, frequent: int = 131_071, sizes: tuple[int, int] =
                 for _, symbols, before, before2 in model.chunks(words(text)):
                     e = code_events(known.value, symbols, before, before2, sizes[0])
                     for table, slot in zip(tables, e.slots[1:], strict=True):
-                        np.add.at(table.ravel(), 2 * slot + e.bit, np.uint32(1))
+                        np.add.at(table.ravel(), 2 * slot.astype(np.int64) + e.bit, np.uint32(1))
         yield _packed(tables)
 
     def spellings(batches):
@@ -319,7 +356,7 @@ def learn(training: DataFrame, frequent: int = 131_071, sizes: tuple[int, int] =
                 if seen:
                     e = spelling_events(seen, sizes[1])
                     for table, slot in zip(tables, e.slots, strict=True):
-                        np.add.at(table.ravel(), 2 * slot + e.bit, np.uint64(1))
+                        np.add.at(table.ravel(), 2 * slot.astype(np.int64) + e.bit, np.uint64(1))
         yield _packed(tables)
 
     model = Model(code, _gathered(texts, contexts, 2, sizes[0]), _gathered(counts, spellings, 3, sizes[1]), sizes)
@@ -339,11 +376,17 @@ def learn(training: DataFrame, frequent: int = 131_071, sizes: tuple[int, int] =
                     own.learn(spelling_events(rare, sizes[1]), rate)
         yield pd.DataFrame({"weights": [own.weights.tobytes()], "refine": [own.refine.tobytes()]})
 
-    found = training.orderBy("order", "text").limit(sample).coalesce(1).mapInPandas(mixer, "weights binary, refine binary").collect()
+    texts_seen = next((n for w, n in head if w == END), 0)
+    # hashes are even: four times the texts wanted lie below this part of the range, so few texts are sent on
+    low = F.pmod("order", F.lit(1 << 30)) < F.lit(4.0 * sample * (1 << 30) / max(1, texts_seen))
+    few = training.where(low).withColumn("place", F.pmod("order", F.lit(1 << 30)))
+    found = few.orderBy("place", "text").limit(sample).select("order", "text").coalesce(1).mapInPandas(mixer, "weights binary, refine binary").collect()
     if found:
         model.weights = np.frombuffer(bytes(found[0]["weights"])).reshape(_GATES, _INPUTS).copy()
         model.refine = np.frombuffer(bytes(found[0]["refine"])).reshape(_DEPTHS, _STEPS).copy()
-    return model, counts, tokens, distinct
+    known.destroy()
+    shared.destroy()
+    return model.frozen(), counts, tokens, distinct
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -367,18 +410,14 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **
 
     def each(batches):
         model = shared.value
-        high, serial = TaskContext.get().partitionId() << 40, 0
+        high, serial, spelt = TaskContext.get().partitionId() << 40, 0, {}
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.iloc[at : at + 1024]
                 documents = [words(t) for t in part["text"]]
-                scores, escaped = model.score_all(documents)
+                scores, base, escaped = model.score_all(documents, spelt)
                 ids = np.arange(serial, serial + len(part)) + high
                 serial += len(part)
-                get, base = model.code.numbers.get, []
-                for tokens_here in documents:
-                    found = np.fromiter((get(w, -1) for w in tokens_here), np.int64, len(tokens_here))
-                    base.append(np.log10(model.code.weights[found[found >= 0]] + 1.0).sum())
                 n = np.array([len(d) for d in documents])
                 missing = np.array([len(x) for x in escaped])
                 size = np.array([len(t.encode()) for t in part["text"]])

@@ -32,7 +32,7 @@ def test_counts_equal_brute_force(spark, frequent):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(None, "the of unseenword"), (7001, None), (7002, ""), (7003, "the " * 60_000 + "x" * 5000), (7003, "again")]
     table = spark.createDataFrame([(d, t, 0, 0.5) for d, t in rows], "doc_id long, text string, n int, score double")
-    got = mixing.score_documents(table, frequent=frequent, sizes=(16, 14), sample=40).collect()
+    got = mixing.score_documents(table, frequent=frequent, sizes=(20, 18), sample=40).collect()
     own = sorted(((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=str)
     assert own == slow_base(rows)
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
@@ -40,8 +40,9 @@ def test_counts_equal_brute_force(spark, frequent):
         held = [r for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 7000]
         # the base takes all unknown words for one; the model spells them, in about three more digits on this little text
         unknown = sum(r["n_tokens"] - r["n_known"] for r in held)
-        assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) - 4 * unknown
-        assert np.mean([r["bits_per_byte"] for r in held]) < 5
+        gap = (sum(r["base_score"] for r in held) - sum(r["score"] for r in held)) / unknown
+        bits = np.mean([r["bits_per_byte"] for r in held])
+        assert gap < 4 and bits < 5, (gap, bits)
 
 
 def test_probabilities_add_up():
@@ -53,13 +54,14 @@ def test_probabilities_add_up():
     model = mixing.Model(code, tables, [rng.integers(0, 50, (1 << 9, 2)) for _ in range(3)], sizes)
     model.weights = rng.normal(0.3, 0.3, model.weights.shape)
     model.refine += rng.normal(0, 0.5, model.refine.shape)
+    model = model.frozen()
     symbols = np.arange(31)
     e = mixing.code_events(code, symbols, np.full(31, 4), np.full(31, 9), 10)
-    assert abs((2 ** np.bincount(e.owner, model.bits(e), 31)).sum() - 1) < 1e-9
+    assert abs((2 ** np.bincount(e.owner, model.bits(e), 31)).sum() - 1) < 1e-5
     endings = [bytes([65, k]) for k in range(256)]
     e = mixing.spelling_events(endings, 9)
     second = 2 ** np.bincount(e.owner, np.where((np.arange(len(e.owner)) // 8) % 3 == 1, model.bits(e), 0), 256)
-    assert abs(second.sum() - 1) < 1e-9
+    assert abs(second.sum() - 1) < 1e-5
 
 
 def test_no_text_to_learn_from(spark):
