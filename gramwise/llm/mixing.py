@@ -315,7 +315,7 @@ def _gathered(rows: DataFrame, counter, tables: int, size: int) -> list[np.ndarr
         k, at = divmod(r["place"], 1_000_000)
         part = np.frombuffer(zlib.decompress(bytes(r["cells"])), "<u8").reshape(-1, 2)
         out[k][at * _ROW : at * _ROW + len(part)] += part.astype(np.int64)
-    return out
+    return [t.astype(np.uint32) if t.max() < 1 << 32 else t for t in out]
 
 
 def learn(training: DataFrame, frequent: int = 131_071, sizes: tuple[int, int] = (20, 18), sample: int = 300, rate: float = 0.02):
