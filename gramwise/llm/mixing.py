@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import heapq
 import zlib
 from collections import Counter
@@ -170,10 +171,11 @@ class Model:
         """(stretched predictions, gate) of each bit, the bit itself taken out of the counts."""
         columns, trust = [], []
         for table, slot in zip(self.counts[e.spelt], e.slots, strict=True):
-            pair = table[slot].astype(np.float64)
-            pair[np.arange(len(pair)), e.bit] = np.maximum(0, pair[np.arange(len(pair)), e.bit] - 1)
+            pair = table.take(slot, axis=0).astype(np.float64)
+            own = pair.ravel()[2 * np.arange(len(pair)) + e.bit] - 1
+            pair.ravel()[2 * np.arange(len(pair)) + e.bit] = np.maximum(0, own)
             columns.append(_stretch(pair[:, 0], pair[:, 1]))
-            trust.append(_trust(pair.sum(axis=1)))
+            trust.append(_trust(pair[:, 0] + pair[:, 1]))
         gate = 16 * e.spelt + 4 * trust[1].astype(np.int64) + trust[2]
         return np.column_stack([*columns, np.full(len(gate), 0.3, np.float32)]), gate
 
@@ -206,20 +208,24 @@ class Model:
         final *= np.float32(-0.5) * (2 * e.bit.astype(np.float32) - 1)  # half of both, signed by the bit
         return (np.maximum(final, 0) + np.log1p(np.exp(-np.abs(final)))) * np.float32(-1 / np.log(2))
 
-    def learn(self, e: Events, rate: float) -> None:
-        """One online step: weights and refinement move along the error of bits left out of their own counts."""
+    def learn(self, e: Events, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """One online step: weights and refinement move along the error of bits left out of their own counts.
+
+        Returns how many bits moved the weights of each gate and each cell of the refinement.
+        """
         x, gate = self._left_out(e)
         mixed = self._mixed(x, gate)
         final, at, part = self._refined(mixed, e.depth)
-        step, n = np.zeros_like(self.weights), np.bincount(gate, minlength=_GATES)
-        np.add.at(step, gate, x * (e.bit - 1 / (1 + np.exp(-mixed)))[:, None])
+        n, missed = np.bincount(gate, minlength=_GATES), e.bit - 1 / (1 + np.exp(-mixed))
+        step = np.column_stack([np.bincount(gate, x[:, k] * missed, _GATES) for k in range(_INPUTS)])
         self.weights += rate * step / np.sqrt(np.maximum(n, 1))[:, None] / 16
         error, table = e.bit - 1 / (1 + np.exp(-final)), self.refine.ravel()
         moved, weight = np.zeros_like(table), np.zeros_like(table)
         for where, share in ((at, 1 - part), (at + 1, part)):
-            np.add.at(moved, where, share * error)
-            np.add.at(weight, where, share)
+            moved += np.bincount(where, share * error, len(table))
+            weight += np.bincount(where, share, len(table))
         table += rate * moved / np.sqrt(weight + 1)
+        return n, weight
 
     def chunks(self, tokens: list[bytes]):
         """(first, symbols, last symbols, last but one) of stretches of a document; its start looks like an end."""
@@ -318,13 +324,15 @@ def _gathered(rows: DataFrame, counter, tables: int, size: int) -> list[np.ndarr
     return [t.astype(np.uint32) if t.max() < 1 << 32 else t for t in out]
 
 
-def learn(training: DataFrame, frequent: int = 131_071, sizes: tuple[int, int] = (20, 18), sample: int = 300, rate: float = 0.02):
+def learn(training: DataFrame, frequent: int = 131_071, sizes: tuple[int, int] = (20, 18), sample: int | None = None, rate: float = 0.02, share: int = 2_000_000):
     """(model, counts(word, n), tokens, distinct) learnt from the texts of ``training(order, text)``.
 
     Counts of all words of all texts, of the bits of the ``frequent`` most frequent tokens after their hashed contexts,
     and of the bits that spell each distinct word. Tables have 2^sizes entries whatever the corpus; their bits per entry
-    grow with it. The mixing weights and the refinement are a small classifier: it learns online, in one task, from the
-    ``sample`` texts of smallest order, each bit left out of the counts that predict it.
+    grow with it. The mixing weights and the refinement learn from all texts (from the ``sample`` texts of smallest order
+    where one is asked for), each bit left out of the counts that predict it: texts are dealt by hash of ``order`` to tasks
+    of about ``share`` tokens, each task makes online steps over its own from the same start, and the mean over tasks,
+    weighted by the bits that moved a gate or a cell, is kept. Dealing depends on the texts only, not on their partitions.
     """
     spark = training.sparkSession
     texts = training.select("text")
@@ -363,27 +371,41 @@ def learn(training: DataFrame, frequent: int = 131_071, sizes: tuple[int, int] =
     shared = spark.sparkContext.broadcast(model)
 
     def mixer(batches):
-        own = shared.value
-        frame = pd.concat([pd.DataFrame({"order": [], "text": []}), *batches]).sort_values(["order", "text"])
-        for text in frame["text"]:
-            tokens = words(text)
-            for at, symbols, before, before2 in own.chunks(tokens):
-                for cut in range(0, len(symbols), 512):
-                    part = slice(cut, cut + 512)
-                    own.learn(code_events(own.code, symbols[part], before[part], before2[part], sizes[0]), rate)
-                rare = sorted({tokens[at + i] for i, s in enumerate(symbols.tolist()) if s == own.code.escape or own.code.weights[s] < 3} - {END})
-                if rare:
-                    own.learn(spelling_events(rare, sizes[1]), rate)
-        yield pd.DataFrame({"weights": [own.weights.tobytes()], "refine": [own.refine.tobytes()]})
-
-    texts_seen = next((n for w, n in head if w == END), 0)
-    # hashes are even: four times the texts wanted lie below this part of the range, so few texts are sent on
-    low = F.pmod("order", F.lit(1 << 30)) < F.lit(4.0 * sample * (1 << 30) / max(1, texts_seen))
-    few = training.where(low).withColumn("place", F.pmod("order", F.lit(1 << 30)))
-    found = few.orderBy("place", "text").limit(sample).select("order", "text").coalesce(1).mapInPandas(mixer, "weights binary, refine binary").collect()
-    if found:
-        model.weights = np.frombuffer(bytes(found[0]["weights"])).reshape(_GATES, _INPUTS).copy()
-        model.refine = np.frombuffer(bytes(found[0]["refine"])).reshape(_DEPTHS, _STEPS).copy()
+        own = copy.copy(shared.value)  # a worker keeps the shared one for its next task
+        own.weights, own.refine = own.weights.copy(), own.refine.copy()
+        bits, cells = np.zeros(_GATES), np.zeros(own.refine.size)
+
+        def step(e: Events) -> None:
+            for seen, more in zip((bits, cells), own.learn(e, rate), strict=True):
+                seen += more
+
+        for batch in batches:
+            for text in batch["text"]:
+                tokens = words(text)
+                for at, symbols, before, before2 in own.chunks(tokens):
+                    for cut in range(0, len(symbols), 512):
+                        part = slice(cut, cut + 512)
+                        step(code_events(own.code, symbols[part], before[part], before2[part], sizes[0]))
+                    unsure = (symbols == own.code.escape) | (np.append(own.code.weights, 0)[symbols] < 3)
+                    rare = sorted({tokens[at + i] for i in np.flatnonzero(unsure).tolist()} - {END})
+                    if rare:
+                        step(spelling_events(rare, sizes[1]))
+        weight = np.concatenate((np.repeat(bits, _INPUTS), cells))
+        used = np.flatnonzero(weight)
+        yield pd.DataFrame({"cell": used, "moved": (np.concatenate((own.weights.ravel(), own.refine.ravel())) * weight)[used], "bits": weight[used]})
+
+    seen = training
+    if sample is not None:
+        texts_seen = next((n for w, n in head if w == END), 0)
+        # hashes are even: four times the texts wanted lie below this part of the range, so few texts are sent on
+        low = F.pmod("order", F.lit(1 << 30)) < F.lit(4.0 * sample * (1 << 30) / max(1, texts_seen))
+        seen = training.where(low).withColumn("place", F.pmod("order", F.lit(1 << 30))).orderBy("place", "text").limit(sample)
+    tasks = 1 if sample is not None else 1 + tokens // share
+    dealt = seen.select("order", "text").repartition(tasks, "order").sortWithinPartitions("order", "text")
+    means = dealt.mapInPandas(mixer, "cell long, moved double, bits double").groupBy("cell").agg((F.sum("moved") / F.sum("bits")).alias("mean")).collect()
+    learnt = np.concatenate((model.weights.ravel(), model.refine.ravel()))
+    learnt[[r["cell"] for r in means]] = [r["mean"] for r in means]
+    model.weights, model.refine = learnt[: _GATES * _INPUTS].reshape(_GATES, _INPUTS), learnt[_GATES * _INPUTS :].reshape(_DEPTHS, _STEPS)
     known.destroy()
     shared.destroy()
     return model.frozen(), counts, tokens, distinct

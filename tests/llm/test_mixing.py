@@ -70,3 +70,21 @@ def test_no_text_to_learn_from(spark):
     out = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
     got = mixing.score_documents(spark.createDataFrame([(out, "some words")], kind)).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got] == [(3, 0, 0, 0.0)] and math.isfinite(got[0]["score"])
+
+
+def test_weights_learn_from_every_text(spark):
+    """Only texts behind the 300 of smallest order hold rare words, so the gates of spelling move only where these are read."""
+    from pyspark.sql import functions as F
+
+    place = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30))
+    ids = [r["id"] for r in spark.range(330).orderBy(place).collect()]
+    rows = [(k, "the house of the town" if n < 300 else f"the house rare{k} of word{k}x") for n, k in enumerate(ids)]
+    training = spark.createDataFrame(rows, "id long, text string").select(F.xxhash64(F.col("id").cast("string")).alias("order"), "text")
+    start = mixing.Model(mixing.Code.of([], 1), [], [], (10, 9))
+    model, *_ = mixing.learn(training, sizes=(10, 9))
+    assert np.abs(model.weights[:16] - start.weights[:16]).max() > 1e-3
+    assert np.abs(model.weights[16:] - start.weights[16:]).max() > 1e-3
+    several, *_ = mixing.learn(training.repartition(5), sizes=(10, 9), share=300)
+    again, *_ = mixing.learn(training, sizes=(10, 9), share=300)
+    assert np.abs(several.weights[16:] - start.weights[16:]).max() > 1e-3
+    assert np.allclose(several.weights, again.weights, atol=1e-6) and np.allclose(several.refine, again.refine, atol=1e-5)
