@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gramwise.catalog.support import Book, long_form, long_sql, q, r, table, u
 from gramwise.operators import intervals as V
-from gramwise.operators.ranks import attach, level_quantiles
+from gramwise.operators.ranks import attach, level_quantiles, other_folds_quantiles
 from gramwise.operators.sampling import kfold
 from gramwise.plans import calibration as K
 from gramwise.session import scratch_path
@@ -78,6 +78,28 @@ def uq1(spark, sf):
     return long_form(V.interval_summary(_empirical(spark, sf), "value", "q", LEVELS, ["event_type"]), ["event_type"])
 
 
+# Every fold is judged by the quantiles of the other folds, so all events are scored, each out of sample.
+_OTHERS = f"eo AS (SELECT event_type, CAST(v.fold AS INTEGER) AS fold, [{', '.join(f'quantile_disc(value, {a})' for a in LEVELS)}] AS q FROM ev JOIN range(4) v(fold) ON ev.fold <> v.fold GROUP BY 1, 2)"
+_OUT_OF_FOLD = _scored("ev", "eo", "TRUE").replace("USING (event_type)", "USING (event_type, fold)")
+
+
+def _out_of_fold(spark, sf):
+    events = _events(spark, sf)
+    quantiles = other_folds_quantiles(events, "value", LEVELS, "fold", 4, ["event_type"])
+    return attach(events, quantiles, ["event_type", "fold"])
+
+
+@BOOK.add("win4_pit_and_crps_of_every_fold", f"WITH {_SPLIT}, {_OTHERS} SELECT event_id, {q('pit')} AS pit, {q('crps')} AS crps FROM ({_OUT_OF_FOLD})")
+def win4_every_fold(spark, sf):
+    rows = V.scored_rows(_out_of_fold(spark, sf), "value", "q", LEVELS)
+    return rows.select("event_id", r("pit").alias("pit"), r("crps").alias("crps"))
+
+
+@BOOK.add("uq1_interval_scores_of_every_fold", f"WITH {_SPLIT}, {_OTHERS}, s AS (SELECT event_type, {_AGGS} FROM ({_OUT_OF_FOLD}) GROUP BY event_type) {long_sql('s', ['event_type'], _COLS)}")
+def uq1_every_fold(spark, sf):
+    return long_form(V.interval_summary(_out_of_fold(spark, sf), "value", "q", LEVELS, ["event_type"]), ["event_type"])
+
+
 @BOOK.add("uq2_gaussian_quantiles", f"WITH {_SPLIT}, {_GAU}, s AS (SELECT event_type, fold, {_AGGS} FROM ({_scored('ev', 'ga', 'TRUE')}) GROUP BY 1, 2) {long_sql('s', ['event_type', 'fold'], _COLS)}")
 def uq2(spark, sf):
     return long_form(V.interval_summary(_gaussian(spark, sf), "value", "q", LEVELS, ["event_type", "fold"]), ["event_type", "fold"])

@@ -148,6 +148,13 @@ def level_quantiles(df: DataFrame, column: str, levels: Sequence[float], by: Seq
     )
 
 
+def other_folds_quantiles(df: DataFrame, column: str, levels: Sequence[float], fold: str, folds: int, by: Sequence[str] = (), name: str = "q") -> DataFrame:
+    """(by..., fold, q): for every fold from 0 to ``folds`` - 1 the level quantiles of all rows of the other folds."""
+    others = F.filter(F.array(*[F.lit(k) for k in range(folds)]), lambda k: k != F.col(fold))
+    rows = df.select(*by, column, F.explode(others).alias(fold))
+    return level_quantiles(rows, column, levels, [*by, fold], name)
+
+
 def auc(df: DataFrame, label: str, score: str | Column, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by mid-ranks: (by..., auc). Equal scores collapse before ranking.
 
