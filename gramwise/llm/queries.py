@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from gramwise.catalog.support import Book, table
-from gramwise.llm import bytebpe, chat, curves, langid, linedup, mixing, neardup_vectors, packing, simhash, token_rollups
+from gramwise.llm import bytebpe, chat, curves, langid, linedup, mixing, neardup_vectors, packing, periodic, simhash, token_rollups
 from gramwise.session import scratch_path
 
 BOOK = Book()
@@ -79,3 +79,8 @@ def op1(spark, sf_dir):
 @BOOK.add("op7_lm_score")
 def op7(spark, sf_dir):
     return mixing.score_documents(table(spark, sf_dir, "documents"))
+
+
+@BOOK.add("op12_periodic_runs")
+def op12(spark, sf_dir):
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), planted=True)
