@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from gramwise.catalog.support import Book, table
-from gramwise.llm import bytebpe, chat, curves, langid, linedup, mixing, neardup_vectors, packing, periodic, simhash, token_rollups
+from gramwise.llm import bytebpe, chat, collocations, curves, langid, linedup, mixing, neardup_vectors, packing, periodic, simhash, token_rollups
 from gramwise.session import scratch_path
 
 BOOK = Book()
@@ -84,3 +84,8 @@ def op7(spark, sf_dir):
 @BOOK.add("op12_periodic_runs")
 def op12(spark, sf_dir):
     return periodic.periodic_runs(table(spark, sf_dir, "documents"), planted=True)
+
+
+@BOOK.add("op13_phrase_collocations", collocations.collocations_sql())
+def op13(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
