@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from gramwise.catalog.support import Book, table
-from gramwise.llm import bytebpe, chat, collocations, curves, langid, linedup, mixing, neardup_vectors, packing, periodic, simhash, token_rollups
+from gramwise.llm import bytebpe, chat, collocations, curves, langid, linedup, mixing, neardup_vectors, packing, periodic, quality_rules, simhash, token_rollups
 from gramwise.session import scratch_path
 
 BOOK = Book()
@@ -89,3 +89,8 @@ def op12(spark, sf_dir):
 @BOOK.add("op13_phrase_collocations", collocations.collocations_sql())
 def op13(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@BOOK.add("op11_quality_rules")
+def op11(spark, sf_dir):
+    return quality_rules.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
