@@ -26,7 +26,7 @@ from gramwise.session import stored
 LONGEST, SUPPORT, SHARDS, REPORTED = 5, 100, 8, 2000
 _MOST_BITS = 28
 _CHUNK_BYTES = 6 << 20
-_PIECE_ENDS = "[.,;:!?\n\x0b\x0c\r]"
+_PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -35,44 +35,81 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_FOLDED = bytes(10 if chr(b) in _PIECE_ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+"""Byte table: A-Z lower-cased, tabs to blanks, all piece ends to line feeds; bytes of other characters as they are."""
+
+
+def _string_hash(values: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings, from their bytes."""
+    values = values.cast(pa.large_string())
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    ends = ends - ends[0]
+    sizes = np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(ends[:-1], sizes)
+    powers = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * powers[place])))
+    return _mix(sums[ends[1:]] - sums[ends[:-1]])
+
+
 class _Text:
     """The words of some documents end to end, with their pieces, groups and hashes."""
 
     def __init__(self, langs: pa.Array, texts: pa.Array, extra: np.ndarray):
-        pieces = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), _PIECE_ENDS)
-        parts = pc.split_pattern(pc.replace_substring(pieces.flatten(), "\t", " "), " ")
-        coded = parts.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
-        counts = lambda lists: np.diff(lists.offsets.to_numpy().astype(np.int64))
-        piece = np.repeat(np.arange(len(parts)), counts(parts))
-        blank = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
-        real = codes != blank
-        self.words, self.codes, self.piece = coded.dictionary, codes[real], piece[real]
-        self.doc = np.repeat(np.arange(len(texts)), counts(pieces))[self.piece]
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer((texts.buffers()[2] or pa.py_buffer(b"")).to_pybytes()[ends[0] : ends[-1]].translate(_FOLDED), np.uint8)
+        ends = ends - ends[0]
+        stop = raw == 10
+        inside = ~(stop | (raw == 32))
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[ends] = True
+        edge[1:] |= ~np.append(inside[:-1], False) if len(raw) else edge[1:]
+        starts = np.flatnonzero(inside & edge[:-1])
+        letters = np.concatenate(([0], np.cumsum(inside)))
+        offsets = np.append(letters[starts], letters[-1])
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[inside]))
+        coded = words.dictionary_encode()
+        self.words, self.codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.doc = np.searchsorted(ends, starts, "right") - 1
+        piece = np.cumsum(stop)[starts] if len(starts) else starts
+        self.joined = (piece[1:] == piece[:-1]) & (self.doc[1:] == self.doc[:-1])
         lang = langs.dictionary_encode()
-        self.lang_names, self.lang = lang.dictionary, lang.indices.to_numpy().astype(np.int64)[self.doc]
-        self.extra = extra
-        # one group for each language and value of ``extra``, which counts are kept apart by
-        self.group = np.unique(np.stack([lang.indices.to_numpy().astype(np.int64), extra]), axis=1, return_inverse=True)[1].reshape(-1)[self.doc] if len(texts) else self.doc
-        hashed = lambda values: pd.util.hash_array(np.asarray(values.to_pylist(), object), categorize=False).astype(np.uint64) if len(values) else np.zeros(0, np.uint64)
-        self.word_hash = hashed(self.words)[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
-        self.keys = [_mix(self.word_hash ^ (hashed(self.lang_names) * np.uint64(3))[self.lang])] if len(self.codes) else [np.zeros(0, np.uint64)]
-        self.joined = self.piece[:-1] == self.piece[1:]
+        self.lang_names, of_doc = lang.dictionary, lang.indices.to_numpy().astype(np.int64)
+        self.lang, self.extra = of_doc[self.doc], extra
+        self.of_doc = of_doc
+        self.keys: list[np.ndarray] = []
+
+    @property
+    def group(self) -> np.ndarray:
+        """Per word a number for its language and value of ``extra``, which counts are kept apart by."""
+        return np.unique(np.stack([self.of_doc, self.extra]), axis=1, return_inverse=True)[1].reshape(-1)[self.doc]
 
     def key(self, k: int) -> np.ndarray:
         """Hash of language and k words from every position on."""
+        if not self.keys:
+            self.word_hash = _string_hash(self.words)[self.codes]
+            self.keys.append(_mix(self.word_hash ^ (_string_hash(self.lang_names) * np.uint64(3))[self.lang]))
         while len(self.keys) < k:
             shorter, at = self.keys[-1], len(self.keys)
             self.keys.append(_mix(shorter[:-1] * np.uint64(0xA0761D6478BD642F) + self.word_hash[at:]) if len(shorter) else shorter)
         return self.keys[k - 1]
 
-    def counted(self, at: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def counted(self, at: np.ndarray, names: np.ndarray, k: int, named: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Names of the k-word phrases at positions ``at`` from those of their first k - 1 words; exact, no hashes.
 
-        Returns (name of every position, one position for each name, count of each name).
+        Returns (name of every position, one position for each name, count of each name); the first empty unless ``named``.
         """
-        _, first, inverse, counts = np.unique(names * (len(self.words) + 1) + self.codes[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
-        return inverse, at[first], counts
+        values = names * (len(self.words) + 1) + self.codes[at + k - 1]
+        order = np.argsort(values)
+        values = values[order]
+        fresh = np.ones(len(values), bool)
+        fresh[1:] = values[1:] != values[:-1]
+        first = np.flatnonzero(fresh)
+        inverse = np.zeros(len(values) if named else 0, np.int64)
+        if named:
+            inverse[order] = np.cumsum(fresh) - 1
+        return inverse, at[order[first]], np.diff(np.append(first, len(values)))
 
 
 def _per_chunk(work: Callable[[_Text], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -151,7 +188,7 @@ def _shard_key() -> Callable[[pd.Series, pd.Series], pd.Series]:
 def _word_key(lang: Column, word: Column) -> Column:
     @F.pandas_udf("long")
     def key(lang: pd.Series, word: pd.Series) -> pd.Series:
-        hashed = lambda s: pd.util.hash_array(s.to_numpy(object), categorize=False).astype(np.uint64)
+        hashed = lambda s: _string_hash(pa.array(s, pa.string()))
         return pd.Series(_mix(hashed(word) ^ hashed(lang) * np.uint64(3)).view(np.int64))
 
     return key(lang, word)
@@ -163,7 +200,7 @@ def _pairs(words: _Found) -> Callable[[_Text], Iterator[pa.RecordBatch]]:
     def work(text: _Text) -> Iterator[pa.RecordBatch]:
         frequent = words.holds(text.key(1))
         at = np.flatnonzero(text.joined & frequent[:-1] & frequent[1:])
-        _, first, counts = text.counted(at, text.group[at] * (len(text.words) + 1) + text.codes[at], 2)
+        _, first, counts = text.counted(at, text.group[at] * (len(text.words) + 1) + text.codes[at], 2, named=False)
         yield _mined(text, first, counts, 2)
 
     return work
