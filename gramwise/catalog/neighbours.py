@@ -153,3 +153,58 @@ def jon7_min(spark, sf):
     )
     out = N.kernel_expansion(rows.where("not s"), rows.where("s"), "id", "id", "v", "a", "min", scale=100.0)
     return out.select("qid", r("value", 5).alias("value"))
+
+
+# Orders in the plane: price in 997s and days since 1992 in hundreds; a hash sample is the reference side.
+_PLANE = f"""o AS (SELECT o_orderkey AS id, o_totalprice / 997.0 AS a, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) / 100.0 AS b, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y,
+  {u("o_orderkey", 75)} < 0.2 AS ref, CAST(floor({u("o_orderkey", 76)} * 4) AS INTEGER) AS fold FROM orders)"""
+_PLANE_PAIRS = f"""WITH {_PLANE}, d AS (SELECT n.id AS qid, l.id AS rid, l.y, round(power(n.a - l.a, 2) + power(n.b - l.b, 2), 9) AS dist FROM o n, o l WHERE l.ref AND NOT n.ref),
+  p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS place FROM d)
+  SELECT qid, CAST(place AS INTEGER) AS place, rid, {q("dist", 5)} AS dist FROM p WHERE place <= 4"""
+
+
+def _plane(spark, sf):
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.array((F.col("o_totalprice") / 997.0).cast("double"), (days / 100.0).cast("double")).alias("v"), (F.col("o_orderstatus") == "F").cast("int").alias("y"),
+        (hash_uniform("o_orderkey", 75) < 0.2).alias("ref"), F.floor(hash_uniform("o_orderkey", 76) * 4).cast("int").alias("fold"),
+    )
+
+
+@BOOK.add("srt2_nearest_orders", _PLANE_PAIRS)
+def nearest_orders(spark, sf):
+    """Four nearest orders in the plane, most cells of which no order has to visit."""
+    rows = _plane(spark, sf)
+    near = N.neighbour_rows(N.nearest_join(rows.where("not ref"), rows.where("ref"), 4, "id", "id", "v", "y"))
+    return near.select("qid", "place", "rid", r("dist", 5).alias("dist"))
+
+
+@BOOK.add("srt2_nearest_orders_by_visits", _PLANE_PAIRS)
+def nearest_orders_by_visits(spark, sf):
+    """The same rows along the path of a large reference table: visits dealt by cell, in two rounds."""
+    rows = _plane(spark, sf)
+    near = N.neighbour_rows(N.nearest_join(rows.where("not ref"), rows.where("ref"), 4, "id", "id", "v", "y", block_rows=1000, broadcast_bytes=0))
+    return near.select("qid", "place", "rid", r("dist", 5).alias("dist"))
+
+
+@BOOK.add(
+    "cls2_neighbour_cv_of_orders",
+    f"""WITH {_PLANE}, l AS (SELECT * FROM o WHERE ref), p AS (SELECT a.id, a.fold, a.y AS truth, b.y, row_number() OVER (PARTITION BY a.id ORDER BY round(power(a.a - b.a, 2) + power(a.b - b.b, 2), 9), b.id) AS place FROM l a JOIN l b ON a.fold <> b.fold),
+    {_VOTES}, hits AS (SELECT k, id, any_value(fold) AS fold, CASE WHEN (CASE WHEN sum(y) * 2 > k THEN 1 ELSE 0 END) = any_value(truth) THEN 1.0 ELSE 0.0 END AS hit FROM p JOIN k ON place <= k GROUP BY k, id),
+    per AS (SELECT k, fold, avg(hit) AS a FROM hits GROUP BY 1, 2) SELECT k, {q("avg(a)")} AS accuracy FROM per GROUP BY k""",
+)
+def cls2_orders(spark, sf):
+    rows = _plane(spark, sf).where("ref")
+    return neighbour_cv(rows, "id", "v", "y", "fold", _KS, [0, 1]).select("k", r("accuracy").alias("accuracy"))
+
+
+@BOOK.add(
+    "jon6_smooth_orders",
+    f"""WITH {_PLANE}, l AS (SELECT a, b, y FROM o WHERE ref), w AS (SELECT n.id AS qid, l.y, exp(-round(power(n.a - l.a, 2) + power(n.b - l.b, 2), 9) / (2 * 0.25)) / sqrt(2 * pi()) AS kern FROM o n, l WHERE NOT n.ref)
+    SELECT qid, {q("sum(kern * y) / (sum(kern) + 1e-6)", 5)} AS smooth FROM w GROUP BY qid""",
+)
+def jon6_orders(spark, sf):
+    """A bandwidth of half a unit: cells beyond the kernel's reach are not visited."""
+    rows = _plane(spark, sf)
+    out = N.kernel_smooth(rows.where("not ref"), rows.where("ref"), "id", "id", "v", "y", [0.5])
+    return out.select("qid", r(F.get("smooth", 0), 5).alias("smooth"))

@@ -1,94 +1,43 @@
 """Joins by distance: nearest rows and kernel-weighted sums.
 
-A distance join has to look at every reference row, but no pair is ever emitted: a matrix product per block
-of rows keeps the k nearest (or the kernel sums) per query row. A reference table whose measured size is
-small is sent to every task once. A larger one is cut into blocks that meet the query blocks in a cogroup, and
-the per-block results are merged.
+Reference rows are kept in pivot cells (``gramwise.operators.cells``). A query row visits the cells that surely hold k
+rows near it; the k-th distance found there rules out all cells that lie further away, and only the rest is visited.
+Kernel sums visit the cells within the distance at which the kernel becomes zero. Results are those of comparing all
+pairs: cells are left out by the triangle inequality alone, and distances that decide are computed from differences.
+
+A reference table whose measured size is small is sent to every task once, laid out by cell. A larger one stays where it
+is: visits are rows, dealt by cell together with its reference rows, and large cells are cut into parts of bounded size.
+
+A reference row with a null, NaN or infinite component is no neighbour of anything; a query row with one has none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gramwise.session import BROADCAST_BYTES
+from gramwise.operators.cells import Cells, exact_squares, pivot_cells, slices, squared_bounds, usable, visit_lists
+from gramwise.operators.ranks import prefix
+from gramwise.session import BROADCAST_BYTES, joinable, stored
 
 BLOCK_ROWS = 20_000
-_TILE_CELLS = 4_000_000
+_TILE_CELLS = 2_000_000
+_NONE = np.iinfo(np.int64).max
+_ZERO_EXPONENT = 745.2
+"""exp(-x) is zero in double precision from here on."""
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, width))
-
-
-def _tiles(query: np.ndarray, reference: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-    """Squared distances of slices of query rows to all reference rows, rounded so that ties are exact.
-
-    Both sides are shifted by the reference mean first: far from the origin the expanded square loses all digits.
-    """
-    step = max(1, _TILE_CELLS // max(1, len(reference)))
-    if len(reference):
-        centre = reference.mean(axis=0)
-        query, reference = query - centre, reference - centre
-    ref_sq = (reference * reference).sum(axis=1)
-    for start in range(0, len(query), step):
-        part = query[start : start + step]
-        d = (part * part).sum(axis=1)[:, None] + ref_sq[None, :] - 2.0 * (part @ reference.T)
-        yield slice(start, start + len(part)), np.round(np.maximum(d, 0.0), 9)
-
-
-def _nearest(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, distance) of the k smallest per row, ties to the smaller column, sorted within the row."""
-    k = min(k, dist.shape[1])
-    if k == 0:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    kth = np.partition(dist, k - 1, axis=1)[:, k - 1]
-    rows, cols = np.nonzero(dist <= kth[:, None])
-    d = dist[rows, cols]
-    order = np.lexsort((cols, d, rows))
-    rows, cols, d = rows[order], cols[order], d[order]
-    starts = np.searchsorted(rows, np.arange(dist.shape[0]))
-    keep = np.arange(len(rows)) - starts[rows] < k
-    return rows[keep], cols[keep], d[keep]
-
-
-def _scan(
-    query: DataFrame,
-    reference: DataFrame,
-    work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-    schema: str,
-    width: int,
-    block_rows: int,
-    broadcast_bytes: int,
-) -> tuple[DataFrame, bool]:
-    """Run ``work(query rows, reference rows)`` so that every query row meets every reference row once.
-
-    Returns (result, whole): ``whole`` says that each query row met the reference in a single piece.
-    """
-    n_ref = reference.count()
-    if n_ref * (width + 4) * 8 <= broadcast_bytes:
-        held = query.sparkSession.sparkContext.broadcast(reference.toPandas().sort_values("rid", ignore_index=True))
-
-        def apply(batches):
-            for pdf in batches:
-                if len(pdf):
-                    yield work(pdf, held.value)
-
-        return query.mapInPandas(apply, schema), True
-    n_query = query.count()
-    ref_blocks, query_blocks = -(-n_ref // block_rows), max(1, -(-n_query // block_rows))
-    place = lambda key, blocks: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = query.withColumn("qb", place("qid", query_blocks)).withColumn("rb", every(ref_blocks))
-    right = reference.withColumn("rb", place("rid", ref_blocks)).withColumn("qb", every(query_blocks))
-
-    def pair(q, r):
-        return work(q.drop(columns=["qb", "rb"]), r.drop(columns=["qb", "rb"]).sort_values("rid", ignore_index=True))
-
-    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(pair, schema), False
+    """The vectors as rows; a missing vector or one of another length becomes NaN."""
+    out = np.full((len(column), width), np.nan)
+    for i, v in enumerate(column):
+        if v is not None and len(v) == width:
+            out[i] = v
+    return out
 
 
 def _prepare(df: DataFrame, key: str, features: str | Column, extra: dict[str, Column | str], prefix: str) -> DataFrame:
@@ -100,6 +49,120 @@ def _prepare(df: DataFrame, key: str, features: str | Column, extra: dict[str, C
     )
 
 
+@dataclass
+class _Best:
+    """The k nearest rows so far of some query rows: rounded squared distance, key and payload, nearest first."""
+
+    dist: np.ndarray
+    rid: np.ndarray
+    payload: np.ndarray
+
+    @staticmethod
+    def empty(n: int, k: int) -> _Best:
+        return _Best(np.full((n, k), np.inf), np.full((n, k), _NONE), np.full((n, k), np.nan))
+
+    def meet(self, rows: np.ndarray, q: dict, r: dict, where: slice, masked: bool, skip_same_key: bool) -> None:
+        """Compare the given query rows with one stretch of reference rows."""
+        v, rid = r["v"][where], r["rid"][where]
+        k = self.dist.shape[1]
+        step = max(1, _TILE_CELLS // max(1, len(v)))
+        for at in range(0, len(rows) if len(v) else 0, step):
+            own = rows[at : at + step]
+            d, slack = squared_bounds(q["v"][own], v, v[0])
+            low, high = d - slack, d + slack
+            barred = np.zeros(d.shape, bool)
+            if masked:
+                barred |= q["mask"][own][:, None] == r["mask"][where][None, :]
+            if skip_same_key:
+                barred |= q["id"][own][:, None] == rid[None, :]
+            high[barred] = np.inf
+            limit = self.dist[own, k - 1]
+            if k <= len(v):
+                limit = np.minimum(limit, np.partition(high, k - 1, axis=1)[:, k - 1])
+            # distances are rounded to nine digits, so that ties are exact and go to the smaller key
+            i, j = np.nonzero((low <= (limit + 2e-9)[:, None]) & ~barred)
+            found = np.round(exact_squares(q["v"][own[i]], v[j]), 9)
+            row = np.concatenate((np.repeat(np.arange(len(own)), k), i))
+            dist = np.concatenate((self.dist[own].ravel(), found))
+            key = np.concatenate((self.rid[own].ravel(), rid[j]))
+            payload = np.concatenate((self.payload[own].ravel(), r["payload"][where][j]))
+            order = np.lexsort((key, dist, row))
+            first = np.searchsorted(row[order], np.arange(len(own)))
+            kept = order[first[:, None] + np.arange(k)]
+            self.dist[own], self.rid[own], self.payload[own] = dist[kept], key[kept], payload[kept]
+
+    def frame(self, qid: np.ndarray, compared: np.ndarray) -> pd.DataFrame:
+        real = self.rid != _NONE
+        ends = np.cumsum(real.sum(axis=1))[:-1]
+        cut = lambda x: np.split(x[real], ends) if len(x) else []
+        return pd.DataFrame({"qid": qid, "dist": cut(self.dist), "rid": cut(self.rid), "payload": cut(self.payload), "compared": compared})
+
+
+def _arrays(pdf: pd.DataFrame, names: dict[str, str], width: int) -> dict[str, np.ndarray]:
+    return {new: _matrix(pdf[old], width) if new == "v" else pdf[old].to_numpy(dtype=float if new in ("payload", "weight") else np.int64) for new, old in names.items()}
+
+
+_QUERY = {"id": "qid", "v": "qv", "mask": "mask"}
+
+
+@dataclass
+class _Held:
+    """A small reference table laid out by cell."""
+
+    cells: Cells
+    starts: np.ndarray
+    rows: dict[str, np.ndarray]
+
+    def stretch(self, cell: int) -> slice:
+        return slice(int(self.starts[cell]), int(self.starts[cell + 1]))
+
+
+def _hold(pdf: pd.DataFrame, names: dict[str, str], width: int, masked: bool) -> _Held:
+    rows = _arrays(pdf, names, width)
+    order = np.argsort(rows["rid"], kind="stable")
+    rows = {name: values[order] for name, values in rows.items()}
+    drawn = np.linspace(0, len(order) - 1, max(1, int(np.ceil(np.sqrt(len(order)))))).astype(int)
+    pivots = np.unique(rows["v"][np.random.default_rng(0).permutation(len(order))[drawn]], axis=0)
+    cells = Cells(pivots, np.zeros(len(pivots)), np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64))
+    cell, far = cells.nearest(rows["v"])
+    order = np.lexsort((rows["rid"], cell))
+    rows, cell = {name: values[order] for name, values in rows.items()}, cell[order]
+    np.maximum.at(cells.radius, cell, far[order])
+    cells.rows = np.bincount(cell, minlength=len(pivots))
+    cells.safe = cells.rows.copy()
+    if masked:
+        pairs, counts = np.unique(np.stack([cell, rows["mask"]]), axis=1, return_counts=True)
+        most = np.zeros(len(pivots), np.int64)
+        np.maximum.at(most, pairs[0], counts)
+        cells.safe = cells.rows - most
+    return _Held(cells, np.concatenate(([0], np.cumsum(cells.rows))), rows)
+
+
+def _dealt(visits: DataFrame, reference: DataFrame, work: Callable, schema: str, block_rows: int) -> DataFrame:
+    """``work(query rows, reference rows)`` for all visits (query columns, cell), in groups of bounded size on both sides."""
+    reference = reference.withColumn("cell", F.col("cell").cast("int"))
+    ref_sizes = reference.groupBy("cell").agg(F.count(F.lit(1)).alias("nr"))
+    visit_sizes = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
+    parts = lambda n: F.ceil(F.col(n) / F.lit(float(block_rows))).cast("int")
+    sizes = joinable(ref_sizes.join(visit_sizes, "cell").select("cell", parts("nr").alias("parts"), parts("nq").alias("buckets")))
+    one = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = visits.join(sizes, "cell").withColumn("bucket", one("qid", "buckets")).withColumn("part", every("parts")).drop("parts", "buckets")
+    right = reference.join(sizes, "cell").withColumn("part", one("rid", "parts")).withColumn("bucket", every("buckets")).drop("parts", "buckets")
+    keys = ["cell", "part", "bucket"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda q, r: work(q, r), schema)
+
+
+def _usable_rows(reference: DataFrame) -> tuple[DataFrame, int]:
+    """The rows that can be neighbours, and the length of their vectors; rows of another length than most are left out."""
+    sound = reference.where(usable("rv") & F.col("rid").isNotNull())
+    width = sound.agg(F.mode(F.size("rv"))).first()[0] or 0
+    return sound.where(F.size("rv") == width), width
+
+
+_LISTS = "qid long, dist array<double>, rid array<long>, payload array<double>, compared long"
+
+
 def nearest_join(
     query: DataFrame,
     reference: DataFrame,
@@ -112,44 +175,100 @@ def nearest_join(
     skip_same_key: bool = False,
     block_rows: int = BLOCK_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
+    with_compared: bool = False,
 ) -> DataFrame:
     """(qid, neighbours): the k nearest reference rows as array<struct<dist, rid, payload>>, nearest first.
 
     ``features`` names an array column of both tables; equal distances go to the smaller reference key. With
     ``mask`` (a column of both tables) a query row ignores reference rows of the same value: held-out folds.
+    ``with_compared`` adds the number of reference rows each query row was compared with.
     """
-    extra = {"mask": F.col(mask).cast("int") if mask else F.lit(-1)}
+    extra = {"mask": F.coalesce(F.col(mask).cast("int"), F.lit(-(1 << 31))) if mask else F.lit(-1)}
     q = _prepare(query, query_key, features, extra, "q")
-    r = _prepare(reference, reference_key, features, {**extra, "payload": F.col(payload).cast("double") if isinstance(payload, str) else payload.cast("double")}, "r")
-    width = len(reference.select((F.col(features) if isinstance(features, str) else features).alias("v")).first()["v"])
+    payload = (F.col(payload) if isinstance(payload, str) else payload).cast("double")
+    r = _prepare(reference, reference_key, features, {**extra, "payload": payload}, "r")
+    need = k + (1 if skip_same_key else 0)
+    r, width = _usable_rows(r)
+    n_ref = r.count()
+    names = {"rid": "rid", "v": "rv", "mask": "mask", "payload": "payload"}
+    masked = mask is not None
+    if n_ref * (width + 5) * 8 <= broadcast_bytes:
+        held = query.sparkSession.sparkContext.broadcast(_hold(r.toPandas(), names, width, masked) if n_ref else None)
+
+        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    yield _search_held(held.value, _arrays(pdf, _QUERY, width), k, need, masked, skip_same_key)
+
+        out = q.mapInPandas(local, _LISTS)
+        return _listed(out, with_compared)
+    # of equal vectors only the k smallest keys (and one more for the row itself) can ever be neighbours
+    copies = Window.partitionBy("rv", "mask").orderBy("rid")
+    r = stored(r.withColumn("__copy", F.row_number().over(copies)).where(F.col("__copy") <= need).drop("__copy"), "reference")
+    cells, placed = pivot_cells(r, "rv", "rid", width, "mask" if masked else None, r.count())
+    placed = stored(placed, "cells")
+    shared = query.sparkSession.sparkContext.broadcast(cells)
 
     def work(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        qv, rv = _matrix(qp["qv"], width), _matrix(rp["rv"], width)
-        rid, pay = rp["rid"].to_numpy(), rp["payload"].to_numpy(dtype=float)
-        qid, qm, rm = qp["qid"].to_numpy(), qp["mask"].to_numpy(), rp["mask"].to_numpy()
-        hits = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
-        if len(rp):
-            for where, d in _tiles(qv, rv):
-                if mask:
-                    d[qm[where][:, None] == rm[None, :]] = np.inf
-                if skip_same_key:
-                    d[qid[where][:, None] == rid[None, :]] = np.inf
-                i, j, v = _nearest(d, k)
-                real = np.isfinite(v)
-                hits.append((where.start + i[real], j[real], v[real]))
-        i, j, v = (np.concatenate(c) for c in zip(*hits, strict=True))
-        ends = np.cumsum(np.bincount(i, minlength=len(qp)))[:-1]
-        return pd.DataFrame({"qid": qid, "dist": np.split(v, ends), "rid": np.split(rid[j], ends), "payload": np.split(pay[j], ends)}) if len(qp) else pd.DataFrame(
-            {"qid": [], "dist": [], "rid": [], "payload": []}
-        )
-
-    schema = "qid long, dist array<double>, rid array<long>, payload array<double>"
-    out, whole = _scan(q, r, work, schema, width, block_rows, broadcast_bytes)
-    out = out.select("qid", F.arrays_zip("dist", "rid", "payload").alias("neighbours"))
-    if whole:
-        return out
-    merged = F.slice(F.array_sort(F.flatten(F.collect_list("neighbours"))), 1, k)
-    return out.groupBy("qid").agg(merged.alias("neighbours"))
+        own, best = _arrays(qp, _QUERY, width), _Best.empty(len(qp), k)
+        if len(qp):
+            best.meet(np.arange(len(qp)), own, _arrays(rp, names, width), slice(0, len(rp)), masked, skip_same_key)
+        return best.frame(own["id"], np.full(len(qp), len(rp), np.int64))
+
+    def first(vectors: pd.Series) -> pd.Series:
+        v = _matrix(vectors, width)
+        return pd.Series([c for s in slices(len(v), len(shared.value.rows)) for c in visit_lists(shared.value.first_visits(v[s], need))], dtype=object)
+
+    def later(vectors: pd.Series, reach: pd.Series, visited: pd.Series) -> pd.Series:
+        v, out = _matrix(vectors, width), []
+        limit = reach.to_numpy(dtype=float)
+        for s in slices(len(v), len(shared.value.rows)):
+            seen = np.zeros((s.stop - s.start, len(shared.value.rows)), bool)
+            for i, c in enumerate(visited.iloc[s]):
+                seen[i, np.asarray(c, int)] = True
+            out += visit_lists(shared.value.later_visits(v[s], limit[s], seen))
+        return pd.Series(out, dtype=object)
+
+    sound = q.where(usable("qv") & (F.size("qv") == width))
+    planned = stored(sound.withColumn("first", F.pandas_udf(first, "array<int>")("qv")), "visits")
+    visits = planned.select("qid", "qv", "mask", F.explode("first").alias("cell"))
+    near = _merged(_dealt(visits, placed, work, _LISTS, block_rows), k)
+    near = stored(near, "near")
+    reach = F.when(F.size("dist") >= k, F.get("dist", k - 1)).otherwise(F.lit(float("inf")))
+    again = planned.join(near.select(F.col("qid").alias("__q"), reach.alias("reach")), F.col("qid").eqNullSafe(F.col("__q"))).drop("__q")
+    again = again.select("qid", "qv", "mask", F.explode(F.pandas_udf(later, "array<int>")("qv", "reach", "first")).alias("cell"))
+    rest = _dealt(again, placed, work, _LISTS, block_rows)
+    lost = q.select("qid").withColumns({"dist": F.array().cast("array<double>"), "rid": F.array().cast("array<long>"), "payload": F.array().cast("array<double>"), "compared": F.lit(0).cast("long")})
+    return _listed(_merged(near.unionByName(rest).unionByName(lost), k), with_compared)
+
+
+def _search_held(held: _Held | None, q: dict, k: int, need: int, masked: bool, skip_same_key: bool) -> pd.DataFrame:
+    n = len(q["id"])
+    best, compared = _Best.empty(n, k), np.zeros(n, np.int64)
+    sound = np.flatnonzero(np.isfinite(q["v"]).all(axis=1) & (q["v"].shape[1] > 0)) if held is not None else np.zeros(0, int)
+    for s in slices(len(sound), len(held.cells.rows) if held is not None else 1):
+        rows = sound[s]
+        vectors = q["v"][rows]
+        visited = held.cells.first_visits(vectors, need)
+        for needed in (visited, None):
+            if needed is None:
+                needed = held.cells.later_visits(vectors, best.dist[rows, k - 1], visited)
+            for cell in np.flatnonzero(needed.any(axis=0)):
+                here = rows[needed[:, cell]]
+                best.meet(here, q, held.rows, held.stretch(cell), masked, skip_same_key)
+                compared[here] += held.cells.rows[cell]
+    return best.frame(q["id"], compared)
+
+
+def _merged(lists: DataFrame, k: int) -> DataFrame:
+    """One row per query row of the lists that several groups found for it; each list has k entries at most."""
+    entries = F.flatten(F.collect_list(F.arrays_zip("dist", "rid", "payload")))
+    found = lists.groupBy("qid").agg(F.slice(F.array_sort(entries), 1, k).alias("n"), F.sum("compared").alias("compared"))
+    return found.select("qid", *[F.col(f"n.{c}").alias(c) for c in ("dist", "rid", "payload")], "compared")
+
+
+def _listed(lists: DataFrame, with_compared: bool) -> DataFrame:
+    return lists.select("qid", F.arrays_zip("dist", "rid", "payload").alias("neighbours"), *(["compared"] if with_compared else []))
 
 
 def neighbour_rows(joined: DataFrame) -> DataFrame:
@@ -175,6 +294,75 @@ def vote(neighbours: str | Column, k: int, classes: Sequence[int]) -> Column:
     return -F.array_max(tally)["c"]
 
 
+def _cell_sums(q: DataFrame, r: DataFrame, weigh: Callable[[np.ndarray], list[np.ndarray]], outputs: int, cutoff: float, masked: bool, block_rows: int, broadcast_bytes: int) -> DataFrame:
+    """(qid, top, bottom): for every kernel of ``weigh`` the sums of kernel * payload and of kernel over all reference rows.
+
+    Cells further than ``cutoff`` are left out: there all kernels are zero. Equal vectors are added up first. A query row
+    without a usable vector gets null.
+    """
+    r = r.where(usable("rv")).groupBy("rv", "mask").agg(F.sum("payload").alias("payload"), F.sum(F.when(F.col("payload").isNotNull(), 1.0).otherwise(0.0)).alias("weight"))
+    r = stored(r.select(F.xxhash64("rv", "mask").alias("rid"), "rv", "mask", F.coalesce("payload", F.lit(0.0)).alias("payload"), "weight"), "reference")
+    r, width = _usable_rows(r)
+    n_ref = r.count()
+    names = {"rid": "rid", "v": "rv", "mask": "mask", "payload": "payload", "weight": "weight"}
+    schema = "qid long, top array<double>, bottom array<double>"
+
+    def add(sums: np.ndarray, rows: np.ndarray, own: dict, ref: dict, where: slice) -> None:
+        v = ref["v"][where]
+        both = np.stack([ref["payload"][where], ref["weight"][where]], axis=1)
+        step = max(1, _TILE_CELLS // max(1, len(v)))
+        for at in range(0, len(rows) if len(v) else 0, step):
+            some = rows[at : at + step]
+            d, _ = squared_bounds(own["v"][some], v, v[0])
+            other = (own["mask"][some][:, None] != ref["mask"][where][None, :]).astype(float) if masked else 1.0
+            for i, kernel in enumerate(weigh(d)):
+                sums[some, i] += (kernel * other) @ both
+
+    def frame(own: dict, sums: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"qid": own["id"], "top": list(sums[:, :, 0]), "bottom": list(sums[:, :, 1])})
+
+    if n_ref * (width + 5) * 8 <= broadcast_bytes:
+        held = q.sparkSession.sparkContext.broadcast(_hold(r.toPandas(), names, width, False) if n_ref else None)
+
+        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                own, known = _arrays(pdf, _QUERY, width), held.value
+                sums = np.zeros((len(pdf), outputs, 2))
+                sound = np.isfinite(own["v"]).all(axis=1)
+                sums[~sound] = np.nan
+                rows = np.flatnonzero(sound) if known is not None else np.zeros(0, int)
+                for s in slices(len(rows), len(known.cells.rows) if known is not None else 1):
+                    needed = known.cells.floors(own["v"][rows[s]]) <= cutoff
+                    for cell in np.flatnonzero(needed.any(axis=0)):
+                        add(sums, rows[s][needed[:, cell]], own, known.rows, known.stretch(cell))
+                yield frame(own, sums)
+
+        out = q.mapInPandas(local, schema)
+    else:
+        cells, placed = pivot_cells(r, "rv", "rid", width, None, n_ref)
+        shared = q.sparkSession.sparkContext.broadcast(cells)
+
+        def within(vectors: pd.Series) -> pd.Series:
+            v = _matrix(vectors, width)
+            return pd.Series([c for s in slices(len(v), len(shared.value.rows)) for c in visit_lists(shared.value.floors(v[s]) <= cutoff)], dtype=object)
+
+        def work(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+            own, sums = _arrays(qp, _QUERY, width), np.zeros((len(qp), outputs, 2))
+            if len(qp):
+                add(sums, np.arange(len(qp)), own, _arrays(rp, names, width), slice(0, len(rp)))
+            return frame(own, sums)
+
+        sound = usable("qv") & (F.size("qv") == width)
+        visits = q.where(sound).select("qid", "qv", "mask", F.explode(F.pandas_udf(within, "array<int>")("qv")).alias("cell"))
+        found = _dealt(stored(visits, "visits"), placed, work, schema, block_rows)
+        blank = F.array(*[F.when(sound, 0.0).otherwise(float("nan"))] * outputs)
+        found = found.unionByName(q.select("qid", blank.alias("top"), blank.alias("bottom")))
+        sums = lambda c: F.array(*[F.sum(F.get(F.col(c), i)) for i in range(outputs)]).alias(c)
+        out = found.groupBy("qid").agg(sums("top"), sums("bottom"))
+    known = lambda c: F.transform(c, lambda x: F.when(~F.isnan(x), x)).alias(c)
+    return out.select("qid", known("top"), known("bottom"))
+
+
 def kernel_smooth(
     query: DataFrame,
     reference: DataFrame,
@@ -188,29 +376,21 @@ def kernel_smooth(
     block_rows: int = BLOCK_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """(qid, smooth): sum(K y) / (sum(K) + floor) with K the normal density of distance / width, one entry per width."""
+    """(qid, smooth): sum(K y) / (sum(K) + floor) with K the normal density of distance / width, one entry per width.
+
+    Reference rows without a response are left out; a query row without a usable vector gets nulls.
+    """
     widths = np.asarray([float(h) for h in widths])
-    extra = {"mask": F.col(mask).cast("int") if mask else F.lit(-1)}
+    extra = {"mask": F.coalesce(F.col(mask).cast("int"), F.lit(-(1 << 31))) if mask else F.lit(-1)}
     q = _prepare(query, query_key, features, extra, "q")
-    r = _prepare(reference, reference_key, features, {**extra, "payload": F.col(response).cast("double")}, "r")
-    width = len(reference.select((F.col(features) if isinstance(features, str) else features).alias("v")).first()["v"])
+    given = F.when(~F.isnan(F.col(response).cast("double")), F.col(response).cast("double"))
+    r = _prepare(reference, reference_key, features, {**extra, "payload": given}, "r")
 
-    def work(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        qv, rv, y = _matrix(qp["qv"], width), _matrix(rp["rv"], width), rp["payload"].to_numpy(dtype=float)
-        qm, rm = qp["mask"].to_numpy(), rp["mask"].to_numpy()
-        top, bottom = np.zeros((len(qp), len(widths))), np.zeros((len(qp), len(widths)))
-        if len(rp):
-            for where, d in _tiles(qv, rv):
-                other = (qm[where][:, None] != rm[None, :]).astype(float) if mask else 1.0
-                for i, h in enumerate(widths):
-                    kernel = np.exp(-d / (2.0 * h * h)) / np.sqrt(2.0 * np.pi) * other
-                    top[where, i], bottom[where, i] = kernel @ y, kernel.sum(axis=1)
-        return pd.DataFrame({"qid": qp["qid"].to_numpy(), "top": list(top), "bottom": list(bottom)})
-
-    out, whole = _scan(q, r, work, "qid long, top array<double>, bottom array<double>", width, block_rows, broadcast_bytes)
-    if not whole:
-        sums = lambda c: F.array(*[F.sum(F.get(F.col(c), i)) for i in range(len(widths))]).alias(c)
-        out = out.groupBy("qid").agg(sums("top"), sums("bottom"))
+    def weigh(d: np.ndarray) -> list[np.ndarray]:
+        return [np.exp(-d / (2.0 * h * h)) / np.sqrt(2.0 * np.pi) for h in widths]
+
+    cutoff = float(widths.max()) * np.sqrt(2.0 * _ZERO_EXPONENT)
+    out = _cell_sums(q, r, weigh, len(widths), cutoff, mask is not None, block_rows, broadcast_bytes)
     return out.select("qid", F.zip_with("top", "bottom", lambda a, b: a / (b + F.lit(floor))).alias("smooth"))
 
 
@@ -227,27 +407,32 @@ def kernel_expansion(
     block_rows: int = BLOCK_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """(qid, value): sum over support points of coefficient * kernel(query, point). 'rbf', or 'min' on one feature."""
-    q = _prepare(query, query_key, features, {}, "q")
-    r = _prepare(support, support_key, features, {"payload": F.col(coefficient).cast("double")}, "r")
-    width = len(support.select((F.col(features) if isinstance(features, str) else features).alias("v")).first()["v"])
-    if kernel not in ("rbf", "min"):
+    """(qid, value): sum over support points of coefficient * kernel(query, point). 'rbf', or 'min' on one feature.
+
+    The normal kernel visits cells within its reach; the min kernel needs two running sums and no pair at all. A query
+    row without a usable vector gets null.
+    """
+    q = _prepare(query, query_key, features, {"mask": F.lit(-1)}, "q")
+    r = _prepare(support, support_key, features, {"mask": F.lit(-1), "payload": F.col(coefficient).cast("double")}, "r")
+    if kernel == "min":
+        return _min_kernel(q, r, scale)
+    if kernel != "rbf":
         raise ValueError(f"unknown kernel {kernel!r}")
+    out = _cell_sums(q, r, lambda d: [np.exp(-gamma * d)], 1, float(np.sqrt(_ZERO_EXPONENT / gamma)), False, block_rows, broadcast_bytes)
+    return out.select("qid", F.get("top", 0).alias("value"))
 
-    def work(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        qv, rv, c = _matrix(qp["qv"], width), _matrix(rp["rv"], width), rp["payload"].to_numpy(dtype=float)
-        value = np.zeros(len(qp))
-        step = max(1, _TILE_CELLS // max(1, len(rp)))
-        for start in range(0, len(qp) if len(rp) else 0, step):
-            part = qv[start : start + step]
-            if kernel == "min":
-                weights = np.minimum(part[:, :1], rv[:, 0][None, :]) / scale
-            else:
-                near, far = part - rv.mean(axis=0), rv - rv.mean(axis=0)
-                d = (near * near).sum(1)[:, None] + (far * far).sum(1)[None, :] - 2.0 * near @ far.T
-                weights = np.exp(-gamma * np.maximum(d, 0.0))
-            value[start : start + step] = weights @ c
-        return pd.DataFrame({"qid": qp["qid"].to_numpy(), "value": value})
-
-    out, whole = _scan(q, r, work, "qid long, value double", width, block_rows, broadcast_bytes)
-    return out if whole else out.groupBy("qid").agg(F.sum("value").alias("value"))
+
+def _min_kernel(q: DataFrame, r: DataFrame, scale: float) -> DataFrame:
+    """sum(c min(x, t)) = sum of c t over t <= x, plus x times the sum of c over the other t, from running sums.
+
+    Points and distinct query values are ranked together by range partitions; values then go back to the query rows.
+    """
+    points = r.where(usable("rv")).select(F.get("rv", 0).alias("x"), "payload").where("payload is not null and not isnan(payload)")
+    asked = q.where(usable("qv")).select(F.get("qv", 0).alias("x"), F.lit(0.0).alias("payload")).distinct()
+    mass = points.unionByName(asked).groupBy((F.col("x") + F.lit(0.0)).alias("x")).agg(F.sum("payload").alias("c"))
+    weights, products = prefix(mass, ["x"], "c"), prefix(mass, ["x"], F.col("c") * F.col("x"))
+    beyond = weights.select("x", (F.col("total") - F.col("through")).alias("beyond"))
+    values = products.select("x", "through").join(beyond, "x")
+    values = values.select("x", ((F.col("through") + F.col("x") * F.col("beyond")) / F.lit(float(scale))).alias("value"))
+    asking = q.select("qid", F.when(usable("qv"), F.get("qv", 0) + F.lit(0.0)).alias("x"))
+    return asking.join(joinable(values), "x", "left").select("qid", "value")
