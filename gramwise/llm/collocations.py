@@ -25,7 +25,7 @@ from gramwise.session import stored
 
 LONGEST, SUPPORT, SHARDS, REPORTED = 5, 100, 8, 2000
 _MOST_BITS = 28
-_CHUNK_BYTES = 6 << 20
+_CHUNK_BYTES, _SMALL_CHUNK_BYTES = 6 << 20, 1 << 20
 _PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
 
 
@@ -112,7 +112,7 @@ class _Text:
         return inverse, at[order[first]], np.diff(np.append(first, len(values)))
 
 
-def _per_chunk(work: Callable[[_Text], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _per_chunk(work: Callable[[_Text], Iterator[pa.RecordBatch]], most_bytes: int = _CHUNK_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Call ``work`` on some megabytes of text at a time; a document is never cut."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def _per_chunk(work: Callable[[_Text], Iterator[pa.RecordBatch]]) -> Callable[[I
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < len(sizes):
-                stop = max(at + 1, int(np.searchsorted(sizes, (int(sizes[at - 1]) if at else 0) + _CHUNK_BYTES, "right")))
+                stop = max(at + 1, int(np.searchsorted(sizes, (int(sizes[at - 1]) if at else 0) + most_bytes, "right")))
                 part = batch.slice(at, stop - at)
                 yield from work(_Text(part.column(0), part.column(1), part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)))
                 at = stop
@@ -283,7 +283,7 @@ def frequent_phrases(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     of_pairs = broadcast(pairs.select(_shard_key()("key", "cell").alias("key")))
     longer = mined(_longer(of_pairs, longest)) if longest > 2 else pairs.limit(0)
     found = broadcast(pairs.select("key").union(longer.select("key")).distinct())
-    whole = source.select("lang", "text", F.lit(0).alias("cell")).mapInArrow(_per_chunk(_exact(found, longest)), "lang string, phrase string, c long")
+    whole = source.select("lang", "text", F.lit(0).alias("cell")).mapInArrow(_per_chunk(_exact(found, longest), _SMALL_CHUNK_BYTES), "lang string, phrase string, c long")
     whole = whole.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= support)
     return stored(whole.union(words.select("lang", "word", "c")), "phrases"), totals
 
