@@ -21,7 +21,8 @@ from gramwise.operators.moments import (
     solve_small,
     solved,
 )
-from gramwise.operators.ranks import prefix, value_counts
+from gramwise.operators.digits import select_ranks
+from gramwise.operators.ranks import attach, prefix
 from gramwise.session import BROADCAST_BYTES, settle
 
 
@@ -43,6 +44,18 @@ def _slim(df: DataFrame, xs, y, weight, by) -> tuple[DataFrame, list[str]]:
     return slim.persist(StorageLevel.MEMORY_AND_DISK), names
 
 
+def _about_means(slim: DataFrame, names: list[str]) -> tuple[DataFrame, np.ndarray]:
+    """The kept columns minus their means, so that steps keep their digits far from zero; and the means."""
+    known = lambda n: F.when(~F.isnan(n) & (F.abs(n) < float("inf")), F.col(n))
+    means = np.array([float(v or 0.0) for v in slim.agg(*[F.avg(known(n)) for n in names]).first()]) if names else np.zeros(0)
+    return slim.withColumns({n: F.col(n) - F.lit(float(c)) for n, c in zip(names, means, strict=True)}), means
+
+
+def _moved_back(theta: np.ndarray, means: np.ndarray, sign: float = -1.0) -> np.ndarray:
+    """Coefficients for (1, x) from those for (1, x - means); ``sign`` = 1 goes the other way."""
+    return np.concatenate(([theta[0] + sign * means @ theta[1:]], theta[1:]))
+
+
 def logistic_regression(
     df: DataFrame,
     xs: Sequence[str | Column],
@@ -76,6 +89,7 @@ def _newton_moments(rows: DataFrame, names: list[str], eta: Column, by: list[str
 
 def _single_newton(spark, slim, names, start, tol, max_iter) -> DataFrame:
     theta = np.zeros(len(names) + 1)
+    slim, means = _about_means(slim, names)
     if start == "linear":
         first = least_squares(slim, names, "__y", "__w").first()["theta"]
         theta = np.array(first) if first is not None else theta
@@ -94,16 +108,21 @@ def _single_newton(spark, slim, names, start, tol, max_iter) -> DataFrame:
             status = "ok"
             break
     return spark.createDataFrame(
-        [([float(v) for v in theta], status, steps)], "theta array<double>, status string, iterations int"
+        [([float(v) for v in _moved_back(theta, means)], status, steps)], "theta array<double>, status string, iterations int"
     )
 
 
 def _grouped_newton(slim, names, by, start, tol, max_iter) -> DataFrame:
+    # every group is fitted about its own means; theta stays in those coordinates until the end
     zero = F.array(*[F.lit(0.0)] * (len(names) + 1))
+    means = F.array(*[F.coalesce(F.avg(F.when(~F.isnan(n) & (F.abs(n) < float("inf")), F.col(n))), F.lit(0.0)) for n in names])
+    fits = slim.groupBy(*by).agg(means.alias("__means")).withColumn("theta", zero)
+    product = lambda theta: F.aggregate(F.zip_with(F.slice(theta, 2, len(names)), "__means", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    moved_by = lambda theta, sign: F.concat(F.array(F.get(theta, 0) + F.lit(sign) * product(theta)), F.slice(theta, 2, len(names))) if names else F.col(theta)
     if start == "linear":
-        fits = least_squares(slim, names, "__y", "__w", by).select(*by, F.coalesce("theta", zero).alias("theta"))
-    else:
-        fits = slim.select(*by).distinct().withColumn("theta", zero)
+        first = least_squares(slim, names, "__y", "__w", by).select(*by, F.col("theta").alias("__first"))
+        fits = attach(fits, first, by, "left")
+        fits = fits.select(*by, "__means", F.coalesce(moved_by("__first", 1.0), "theta").alias("theta"))
     open_fits = settle(fits)
     remaining, finished = open_fits.count(), None
     for step_number in range(1, max_iter + 1):
@@ -111,6 +130,7 @@ def _grouped_newton(slim, names, by, start, tol, max_iter) -> DataFrame:
         small = remaining * (len(names) + len(by) + 8) * 16 <= BROADCAST_BYTES
         table = F.broadcast(open_fits) if small else open_fits
         rows = slim.join(table.withColumnRenamed("theta", "__theta"), by)
+        rows = rows.withColumns({n: F.col(n) - F.get("__means", j) for j, n in enumerate(names)})
         sums = _newton_moments(rows, names, linear_score(F.col("__theta"), names), by)
         stepped = solved(sums).select(*by, F.col("theta").alias("__step"), "status")
         moved = (
@@ -118,6 +138,7 @@ def _grouped_newton(slim, names, by, start, tol, max_iter) -> DataFrame:
             .withColumn("__norm", F.sqrt(F.aggregate("__step", F.lit(0.0), lambda a, v: a + v * v)))
             .select(
                 *by,
+                "__means",
                 F.when(F.col("__step").isNotNull(), F.zip_with("theta", "__step", lambda a, b: a + b))
                 .otherwise(F.col("theta"))
                 .alias("theta"),
@@ -134,11 +155,13 @@ def _grouped_newton(slim, names, by, start, tol, max_iter) -> DataFrame:
             closed = moved.where(F.col("status").isNotNull())
             finished = closed if finished is None else finished.unionByName(closed)
         remaining = counts.get(False, 0)
-        open_fits = moved.where(F.col("status").isNull()).select(*by, "theta")
+        open_fits = moved.where(F.col("status").isNull()).select(*by, "__means", "theta")
         if not remaining:
-            return finished
-    rest = open_fits.withColumns({"status": F.lit("not converged"), "iterations": F.lit(max_iter)})
-    return rest if finished is None else finished.unionByName(rest)
+            break
+    if remaining:
+        rest = open_fits.withColumns({"status": F.lit("not converged"), "iterations": F.lit(max_iter)})
+        finished = rest if finished is None else finished.unionByName(rest)
+    return finished.select(*by, moved_by("theta", -1.0).alias("theta"), "status", "iterations")
 
 
 def score_vector(y, prediction, xs: Sequence[str | Column], loss: str, tau: float = 0.5) -> list[Column]:
@@ -186,11 +209,14 @@ def gradient_descent(
 def weighted_quantile(df: DataFrame, column: str, tau: float, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Exact quantile: the smallest value whose running weight reaches tau of the total. (by..., quantile)
 
-    This is the intercept-only quantile regression.
+    This is the intercept-only quantile regression. Rows whose value or weight is null or NaN take no part.
     """
     by = list(by)
     mass = F.sum(weight) if weight else F.count(F.lit(1))
-    distinct = df.groupBy(*by, F.col(column).alias("value")).agg(mass.cast("double").alias("n"))
+    known = F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))
+    if weight:
+        known = known & F.col(weight).isNotNull() & ~F.isnan(F.col(weight).cast("double"))
+    distinct = df.where(known).groupBy(*by, F.col(column).alias("value")).agg(mass.cast("double").alias("n"))
     ranked = prefix(distinct, ["value"], "n", by)
     return ranked.where(F.col("through") >= F.col("total") * F.lit(tau) - 1e-9).groupBy(*by).agg(
         F.min("value").alias("quantile")
@@ -200,11 +226,8 @@ def weighted_quantile(df: DataFrame, column: str, tau: float, weight: str | None
 def exact_median(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Median with the two middle values averaged: (by..., median)."""
     by = list(by)
-    ranked = prefix(value_counts(df, column, by), ["value"], "n", by)
-    low, high = F.floor((F.col("total") + 1) / 2), F.ceil((F.col("total") + 1) / 2)
-    hits = lambda r: ((r > F.col("before")) & (r <= F.col("through"))).cast("int")
-    picked = ranked.withColumn("__hits", hits(low) + hits(high)).where(F.col("__hits") > 0)
-    return picked.groupBy(*by).agg((F.sum(F.col("value") * F.col("__hits")) / 2.0).alias("median"))
+    middle = lambda total: F.array(F.floor((total + 1) / 2), F.ceil((total + 1) / 2))
+    return select_ranks(df, column, middle, by).groupBy(*by).agg((F.sum("value") / 2.0).alias("median"))
 
 
 def quantile_regression(
@@ -224,16 +247,18 @@ def quantile_regression(
     Bandwidths are relative to the residual deviation of the starting fit. Signed weights are accepted; a step
     that raises the smoothed loss is halved. Returns (theta, status).
     """
-    slim, names = _slim(df, xs, y, weight, [])
+    kept, names = _slim(df, xs, y, weight, [])
     try:
+        slim, means = _about_means(kept, names)
         positive = slim.withColumn("__p", F.greatest(F.col("__w"), F.lit(0.0)))
         base = collect_moments(moments(positive, names, [F.col("__p") * F.col("__y")], "__p"), 1)
-        if start is None:
+        own_start = start is None
+        if own_start:
             start = solve_small(base["gram"], base["rhs"][0])
             if start is None:
                 return np.zeros(len(names) + 1), "singular"
         second = base["gram"] / max(base["gram"][0, 0], 1e-300)
-        theta = np.asarray(start, dtype=float)
+        theta = np.asarray(start, dtype=float) if own_start else _moved_back(np.asarray(start, dtype=float), means, 1.0)
         residual = F.col("__y") - linear_score(theta, names)
         spread = slim.agg(F.stddev_pop(residual)).first()[0] or 1.0
 
@@ -260,7 +285,7 @@ def quantile_regression(
             if step is None:
                 # Too few rows lie within the bandwidth: widen it and come back more slowly.
                 if h >= spread:
-                    return theta, "singular"
+                    return _moved_back(theta, means), "singular"
                 h, shrink = min(3.0 * h, spread), shrink**0.5
                 _, (gram, slope, loss) = look(theta, h, h)
                 continue
@@ -276,10 +301,10 @@ def quantile_regression(
             done = h <= last and size * moved <= tol * spread
             theta, h, (gram, slope, loss) = candidate, h_next, new
             if done:
-                return theta, "ok"
-        return theta, "not converged"
+                return _moved_back(theta, means), "ok"
+        return _moved_back(theta, means), "not converged"
     finally:
-        slim.unpersist()
+        kept.unpersist()
 
 
 def subgradient(df: DataFrame, xs, y, theta: Sequence[float], tau: float, weight=None) -> np.ndarray:

@@ -8,7 +8,7 @@
 * ``rr`` for every pair of responses r <= s: sum(r s), when asked for.
 
 The weight belongs to ``g`` only; a response carries its own weight (``w * y`` for least squares). Signed
-weights are fine. A row with a null or NaN among its inputs, responses or weight is left out of every sum, and
+weights are fine. Fits use the centred sums of ``gramwise.operators.centred``. A row with a null or NaN among its inputs, responses or weight is left out of every sum, and
 ``n`` does not count it: whatever the number of columns, the sums are those of the complete rows.
 """
 
@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from gramwise.operators.centred import centred_moments, centred_solve, others_moments
 from gramwise.operators.ranks import attach
 from gramwise.session import settle
 
@@ -153,21 +154,23 @@ def pseudo_solve(matrix: np.ndarray, rhs: np.ndarray) -> np.ndarray:
 
 
 def solved(rows: DataFrame, ridge: float = 0.0, response: int = 0) -> DataFrame:
-    """Add ``theta`` (null if singular) and ``status`` to moment rows; one small solve per row, on executors."""
+    """Add ``theta`` (null if singular) and ``status`` to moment rows, centred or not; a small solve per row, on executors."""
 
     @F.pandas_udf("array<double>")
-    def theta(g: pd.Series, b: pd.Series) -> pd.Series:
-        def one(upper, rhs):
+    def theta(g: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        def one(upper, rhs, centre):
             if upper is None or rhs is None:
                 return None
             gram = symmetric(upper)
             k = len(gram)
-            fit = solve_small(gram, np.asarray(rhs)[response * k : (response + 1) * k], ridge)
+            right = np.asarray(rhs)[response * k : (response + 1) * k]
+            fit = solve_small(gram, right, ridge) if centre is None else centred_solve(gram, right, centre, solve_small, ridge)
             return None if fit is None else fit.tolist()
 
-        return pd.Series([one(u, r) for u, r in zip(g, b, strict=True)])
+        return pd.Series([one(*row) for row in zip(g, b, c, strict=True)])
 
-    out = rows.withColumn("theta", theta("g", "b"))
+    centre = F.col("centre") if "centre" in rows.columns else F.lit(None).cast("array<double>")
+    out = rows.withColumn("theta", theta("g", "b", centre))
     return out.withColumn("status", F.when(F.col("theta").isNull(), "singular").otherwise("ok"))
 
 
@@ -179,9 +182,12 @@ def least_squares(
     by: Sequence[str] = (),
     ridge: float = 0.0,
 ) -> DataFrame:
-    """Coefficients, intercept first: (by..., n, theta, status). Groups that cannot be fitted say 'singular'."""
+    """Coefficients, intercept first: (by..., n, theta, status). Groups that cannot be fitted say 'singular'.
+
+    Sums are centred: columns far from zero are fitted as they are.
+    """
     response = _c(y) if weight is None else _c(weight) * _c(y)
-    rows = moments(df, xs, [response], weight, by)
+    rows = centred_moments(df, xs, [response], weight, by)
     return solved(rows, ridge).select(*by, "n", "theta", "status")
 
 
@@ -199,8 +205,8 @@ def out_of_fold_least_squares(
 ) -> DataFrame:
     """(by..., fold, n, theta, status), each fitted on the other folds; one pass over the data for all folds."""
     response = _c(y) if weight is None else _c(weight) * _c(y)
-    rows = settle(moments(df, xs, [response], weight, [*by, fold]))
-    return solved(out_of_fold_moments(rows, fold, by)).select(*by, fold, "n", "theta", "status")
+    rows = settle(centred_moments(df, xs, [response], weight, [*by, fold]))
+    return solved(others_moments(rows, fold, len(xs), 1, by)).select(*by, fold, "n", "theta", "status")
 
 
 def coefficient_rows(fits: DataFrame, names: Sequence[str]) -> DataFrame:

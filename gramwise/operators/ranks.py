@@ -7,13 +7,13 @@ partition are a small table; each row then needs only a window inside its own pa
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gramwise.functions.hashing import hash_uniform
-from gramwise.session import joinable, settle
+from gramwise.operators.digits import select_ranks
+from gramwise.operators.joins import attach as attach, joined as _joined
+from gramwise.session import settle
 
 _BUCKET = "__bucket"
 
@@ -22,27 +22,6 @@ def _buckets(df: DataFrame) -> int:
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _joined(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equal keys, nulls equal to nulls; the keys once and first, as in a join by name."""
-    keys = list(keys)
-    if not keys:
-        return df.crossJoin(table)
-    renamed = table.select(*[F.col(k).alias(f"__key_{k}") for k in keys], *[c for c in table.columns if c not in keys])
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
-    joined = df.join(renamed, same, how).drop(*[f"__key_{k}" for k in keys])
-    rest = [c for c in joined.columns if c not in keys]
-    return joined.select(*keys, *rest) if len(set(rest)) == len(rest) else joined
-
-
-def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a table of statistics or coefficients that was derived from much larger data.
-
-    It is computed once and stored; it is broadcast when its measured size is small, else joined by shuffle. A null
-    key is a group like any other.
-    """
-    return _joined(df, joinable(table), keys, how)
-
-
 def _within_buckets(df: DataFrame, by: list[str], order: list[Column], value: Column | None) -> DataFrame:
     value = F.lit(1) if value is None else value
     df = df.withColumn("__value", value)
@@ -121,30 +100,29 @@ def order_statistic_edges(df: DataFrame, column: str, bins: int, by: Sequence[st
     (j+1)-th; k=0 is the minimum and k=bins the maximum. Integer arithmetic keeps the test for t exact.
     """
     by = list(by)
-    ranked = prefix(value_counts(df, column, by), ["value"], "n", by)
-    t = lambda k: (F.col("total") - 1) * k
-    wanted = F.transform(
-        F.sequence(F.lit(0), F.lit(bins)),
-        lambda k: F.when(k == 0, F.lit(1).cast("long"))
-        .when(k == bins, F.col("total"))
-        .when(t(k) % bins == 0, F.floor(t(k) / bins))
-        .otherwise(F.floor(t(k) / bins) + 1),
-    )
-    # An integer t of zero (a one-row table) still means the first row.
-    hit = F.exists(wanted, lambda r: (F.greatest(r, F.lit(1)) > F.col("before")) & (F.greatest(r, F.lit(1)) <= F.col("through")))
-    return ranked.where(hit).select(*by, "value")
+
+    def wanted(total: Column) -> Column:
+        t = lambda k: (total - 1) * k
+        ranks = F.transform(
+            F.sequence(F.lit(0), F.lit(bins)),
+            lambda k: F.when(k == 0, F.lit(1).cast("long"))
+            .when(k == bins, total)
+            .when(t(k) % bins == 0, F.floor(t(k) / bins))
+            .otherwise(F.floor(t(k) / bins) + 1),
+        )
+        # An integer t of zero (a one-row table) still means the first row.
+        return F.array_distinct(F.transform(ranks, lambda r: F.greatest(r, F.lit(1).cast("long"))))
+
+    return select_ranks(df, column, wanted, by).select(*by, "value").distinct()
 
 
 def level_quantiles(df: DataFrame, column: str, levels: Sequence[float], by: Sequence[str] = (), name: str = "q") -> DataFrame:
     """(by..., q): for every level the smallest value whose rank reaches level * N, as one ascending array per group."""
     by = list(by)
-    ranked = prefix(value_counts(df, column, by), ["value"], "n", by)
     # Rank wanted per level; the slack keeps level * N exact where it is an integer.
-    wanted = F.array(*[F.greatest(F.ceil(F.col("total") * F.lit(float(a)) - 1e-9), F.lit(1)) for a in levels])
-    hits = F.filter(wanted, lambda r: (r > F.col("before")) & (r <= F.col("through")))
-    found = ranked.withColumn("__r", F.explode(hits))
-    return found.groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("__r", "value"))), lambda s: s["value"].cast("double")).alias(name)
+    wanted = lambda total: F.array(*[F.greatest(F.ceil(total * F.lit(float(a)) - 1e-9), F.lit(1)) for a in levels])
+    return select_ranks(df, column, wanted, by).groupBy(*by).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda s: s["value"].cast("double")).alias(name)
     )
 
 
@@ -185,8 +163,12 @@ def uniform_ks(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def density_histogram(df: DataFrame, column: str, bins: int = 20, by: Sequence[str] = ()) -> DataFrame:
-    """Density of values on [0, 1] in equal bins: (by..., bin 0-based, n, density); 1.0 falls in the last bin."""
+    """Density of values on [0, 1] in equal bins: (by..., bin 0-based, n, density); 1.0 falls in the last bin.
+
+    Nulls and NaN are no values.
+    """
     by = list(by)
+    df = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
     slot = F.least(F.floor(F.col(column) * bins), F.lit(bins - 1)).cast("int")
     counts = df.groupBy(*by, slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(*by))
