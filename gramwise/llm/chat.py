@@ -8,9 +8,12 @@ from bisect import bisect_left
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gramwise.llm.wordpieces import word_tokenizer
+from gramwise.operators.joins import attach
+from gramwise.operators.ranks import prefix
+from gramwise.session import settle
 
 # fixed values of the template
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -110,25 +113,35 @@ def chat_windows(
 
     Turns are ordered by (turn, role, text); a null turn comes first, null texts and roles are empty, null conversation
     ids form one conversation. A window holds whole turns of at most ``budget`` tokens together (a single longer turn
-    stays whole, in a window of its own); later windows repeat the conversation's system turn, if it starts with one
-    (below turn number ``segment_turns``), and of the latest ``most_history`` turns those within ``history`` tokens. The loss spans (code points of
-    ``formatted``) cover each assistant text where it is new, never where it is repeated, and no marks.
-
-    Windows never cross a turn number divisible by ``segment_turns``, so that a very long conversation is dealt to many
-    tasks; the few turns to repeat and the system turn are copied to the next segment. Tasks stream over sorted turns
-    and hold one window.
+    stays whole, in a window of its own); later windows repeat the conversation's system turn, if it starts with one, and
+    of the latest ``most_history`` turns those within ``history`` tokens. The loss spans (code points of ``formatted``)
+    cover each assistant text where it is new, never where it is repeated, and no marks.
+
+    A conversation is cut into segments of ``segment_turns`` turns by rank, whatever the turn numbers are (epoch times,
+    negative, sparse), so that a very long one is dealt to many tasks; rows of one turn number stay together. Windows
+    never cross segments; the few turns to repeat and the system turn are copied to the next segment. Tasks stream over
+    sorted turns and hold one window.
     """
     rows = turns.select(
         F.col(conv).cast("long").cast("string").alias("conv"), F.col(turn).cast("long").alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-    ).withColumn("segment", F.greatest(F.coalesce(F.floor(F.col("turn") / segment_turns), F.lit(0)), F.lit(0)).cast("long"))
-    own = rows.withColumn("kind", F.lit(2))
-    recent = own.where(F.pmod("turn", F.lit(segment_turns)) >= segment_turns - most_history)
-    recent = recent.withColumns({"segment": F.col("segment") + 1, "kind": F.lit(1)})
-    ends = rows.groupBy("conv").agg(F.min(F.struct("turn", "role", "text")).alias("start"), F.max("segment").alias("high"))
-    spread = ends.where("high > 0 and start.role = 'system' and (start.turn is null or start.turn < " + str(segment_turns) + ")")
-    system = spread.select("conv", "start.turn", "start.role", "start.text", F.explode(F.sequence(F.lit(1).cast("long"), F.col("high"))).alias("segment"), F.lit(0).alias("kind"))
-    whole = own.unionByName(recent).unionByName(system)
+    )
+    # rows before each turn number: running sums over range partitions of the numbers alone
+    numbers = rows.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("n"))
+    ranked = prefix(numbers, ["turn"], "n", ["conv"]).select("conv", "turn", F.floor(F.col("before") / segment_turns).cast("long").alias("segment"), "through", "total")
+    ranked = settle(ranked)
+    # most conversations have one segment; the others need to know which one comes next
+    long = ranked.where(F.col("total") > segment_turns)
+    order = Window.partitionBy("conv").orderBy("segment")
+    segments = settle(long.groupBy("conv", "segment").agg(F.max("through").alias("end")).withColumn("next", F.lead("segment").over(order)))
+    own = attach(rows, long.select("conv", "turn", "segment", "through"), ["conv", "turn"], "left")
+    own = own.select("conv", "turn", "role", "text", F.coalesce("segment", F.lit(0).cast("long")).alias("segment"), "through")
+    last = attach(own.where("through is not null"), segments.where("next is not null"), ["conv", "segment"])
+    recent = last.where(F.col("through") > F.col("end") - most_history).select("conv", "turn", "role", "text", F.col("next").alias("segment"), F.lit(1).alias("kind"))
+    starts = own.where("through is not null and segment = 0").groupBy("conv").agg(F.min(F.struct("turn", "role", "text")).alias("start"))
+    later = segments.where("segment > 0").select("conv", "segment")
+    system = attach(later, starts.where("start.role = 'system'"), ["conv"]).select("conv", "start.turn", "start.role", "start.text", "segment", F.lit(0).alias("kind"))
+    whole = own.select("conv", "turn", "role", "text", "segment", F.lit(2).alias("kind")).unionByName(recent).unionByName(system)
 
     def stream(batches):
         encoder, key, held, first, out = word_tokenizer(tokenizer), None, None, True, []

@@ -71,15 +71,27 @@ class Orderings:
 
 def _scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Inner products of rows, added in the same order for equal rows wherever they stand."""
-    return (queries * candidates).sum(axis=1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (queries * candidates).sum(axis=1)
+    return np.where(np.isnan(out), -np.inf, out)
+
+
+def _slightly_below(values: np.ndarray) -> np.ndarray:
+    return np.where(np.isfinite(values), values - 1e-9 * np.abs(values), values)
 
 
 def _top(block: np.ndarray, k: int) -> np.ndarray:
     """Mask of each row's k largest values and all equal to the last of them."""
     if block.shape[1] <= k:
         return np.ones_like(block, bool)
-    least = np.partition(block, block.shape[1] - k, axis=1)[:, [block.shape[1] - k]]
-    return block >= least - 1e-9 * np.abs(least)
+    return block >= _slightly_below(np.partition(block, block.shape[1] - k, axis=1)[:, [block.shape[1] - k]])
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of all rows; one that is no number (infinities of both signs) counts as the smallest."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = a @ b.T
+    return np.where(np.isnan(out), -np.inf, out)
 
 
 def _exact_top(sample: np.ndarray, k: int):
@@ -89,7 +101,7 @@ def _exact_top(sample: np.ndarray, k: int):
         held = [pd.DataFrame({"q": np.zeros(0, np.int64), "score": np.zeros(0), "keys": []})]
         for batch in batches:
             vec = stacked(batch["vec"])
-            score = sample[:, : vec.shape[1]] @ vec.T if vec.shape[1] <= sample.shape[1] else np.pad(sample, ((0, 0), (0, vec.shape[1] - sample.shape[1]))) @ vec.T
+            score = _products(sample[:, : vec.shape[1]], vec) if vec.shape[1] <= sample.shape[1] else _products(np.pad(sample, ((0, 0), (0, vec.shape[1] - sample.shape[1]))), vec)
             q, c = np.nonzero(_top(score, k))
             found = pd.DataFrame({"q": q, "score": score[q, c], "keys": batch["keys"].to_numpy()[c]})
             held = [pd.concat([*held, found]).sort_values("score", ascending=False).groupby("q").head(k)]
@@ -114,7 +126,8 @@ def nearest_neighbours(
 
     Equal vectors are searched once; of a vector's ids the smallest k + 1 can appear among anyone's k nearest, so no
     others are carried along. Vectors that are null, zero or not finite, and rows without id, take no part; exactly
-    repeated rows count once. Shorter vectors count as ending in zeros.
+    repeated rows count once. Shorter vectors count as ending in zeros. A product that overflows is infinite and ranks so; one
+    that is no number (infinities of both signs) counts as minus infinity.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -131,7 +144,7 @@ def nearest_neighbours(
     by_id = Window.partitionBy("h1", "h2").orderBy("id")
     distinct = (
         rows.withColumn("copy", F.row_number().over(by_id)).where(F.col("copy") <= k + 1).groupBy("h1", "h2")
-        .agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("vec").alias("vec"))
+        .agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("id").alias("least_id"), F.first("vec").alias("vec"))
     )
     queries = rows.where("asks").select(F.col("id").alias("query_id"), "h1", "h2")
 
@@ -144,9 +157,9 @@ def nearest_neighbours(
 
         return each
 
-    found = settle(distinct.mapInPandas(keyed(False), "h1 long, h2 long, ids array<long>, vec array<double>, keys array<long>"))
+    found = settle(distinct.mapInPandas(keyed(False), "h1 long, h2 long, ids array<long>, least_id long, vec array<double>, keys array<long>"))
     searched = distinct.join(queries.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
-    searched = settle(searched.mapInPandas(keyed(True), "h1 long, h2 long, ids array<long>, vec array<double>, keys array<long>").drop("ids"))
+    searched = settle(searched.mapInPandas(keyed(True), "h1 long, h2 long, ids array<long>, least_id long, vec array<double>, keys array<long>").drop("ids"))
 
     n = found.count()
     blocks = max(1, min(most_blocks, n // block_rows))
@@ -172,8 +185,9 @@ def nearest_neighbours(
             keys = np.array(batch["keys"].tolist()).reshape(len(batch), curves)
             yield batch.drop(columns="keys").assign(at=list(np.column_stack([np.searchsorted(cuts[c], keys[:, c]) for c in range(curves)]).astype(np.int32)))
 
-    placed = found.select("h1", "h2", "vec", "keys").mapInPandas(ranged, "h1 long, h2 long, vec array<double>, at array<int>")
-    asking = searched.mapInPandas(ranged, "h1 long, h2 long, vec array<double>, at array<int>")
+    fields = "h1 long, h2 long, least_id long, vec array<double>, at array<int>"
+    placed = found.drop("ids").mapInPandas(ranged, fields)
+    asking = searched.mapInPandas(ranged, fields)
     placed = placed.select("*", F.posexplode("at").alias("curve", "block"))
     splits = placed.groupBy("curve", "block").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * block_rows)).cast("int").alias("splits"))
     splits = settle(splits)  # at most curves x most_blocks rows
@@ -191,7 +205,7 @@ def nearest_neighbours(
         out = out.join(F.broadcast(splits), ["curve", "block"])
         return out.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("own", "splits")
 
-    fields = "q1 long, q2 long, h1 long, h2 long, score double"
+    fields = "q1 long, q2 long, h1 long, h2 long, least_id long, score double"
 
     def search(asked_rows: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
         """The best of one range part for each query; what an earlier curve shows to it as well is left to that curve."""
@@ -205,14 +219,14 @@ def nearest_neighbours(
             q, q_at = stacked(part["vec"]), np.array(part["at"].tolist()).reshape(len(part), curves)
             wide = max(q.shape[1], vec.shape[1])
             q, v = np.pad(q, ((0, 0), (0, wide - q.shape[1]))), np.pad(vec, ((0, 0), (0, wide - vec.shape[1])))
-            score = q @ v.T
+            score, open_ = _products(q, v), np.ones((len(q), len(v)), bool)
             reach = part["reach"].to_numpy()[:, None]
             for c in range(curve):
-                score[np.abs(q_at[:, c][:, None] - at[None, :, c]) <= reach] = -np.inf
-            floor = part["floor"].to_numpy()[:, None]
-            i, j = np.nonzero(_top(np.where(np.isfinite(score), score, -1e300), k + 1) & np.isfinite(score) & (score >= floor - 1e-9 * np.abs(floor)))
+                open_ &= np.abs(q_at[:, c][:, None] - at[None, :, c]) > reach
+            floor = _slightly_below(part["floor"].to_numpy()[:, None])
+            i, j = np.nonzero(_top(np.where(open_, score, -np.inf), k + 1) & open_ & (score >= floor))
             out.append(pd.DataFrame({
-                "q1": part["h1"].to_numpy()[i], "q2": part["h2"].to_numpy()[i], "h1": here["h1"].to_numpy()[j], "h2": here["h2"].to_numpy()[j], "score": _scores(q[i], v[j]),
+                "q1": part["h1"].to_numpy()[i], "q2": part["h2"].to_numpy()[i], "h1": here["h1"].to_numpy()[j], "h2": here["h2"].to_numpy()[j], "least_id": here["least_id"].to_numpy()[j], "score": _scores(q[i], v[j]),
             }))
         return pd.concat(out)
 
@@ -223,14 +237,14 @@ def nearest_neighbours(
         return seen.groupBy(*parts).cogroup(placed.groupBy(*parts)).applyInPandas(search, fields)
 
     def best_of(hits: DataFrame) -> DataFrame:
-        order = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "h1", "h2")
+        order = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "least_id")
         return hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
 
-    near = settle(best_of(searched_in(asking, True, F.lit(-1e300), 0)))
+    near = settle(best_of(searched_in(asking, True, F.lit(float("-inf")), 0)))
     if window:
         lowest = near.groupBy("q1", "q2").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
         known = asking.join(lowest, (F.col("h1") == F.col("q1")) & (F.col("h2") == F.col("q2")), "left").drop("q1", "q2")
-        floor = F.when(F.col("n") > k, F.col("least")).otherwise(F.lit(-1e300))
+        floor = F.when(F.col("n") > k, F.col("least")).otherwise(F.lit(float("-inf")))
         more = searched_in(known, False, floor, window)
         near = best_of(near.union(more).dropDuplicates(["q1", "q2", "h1", "h2"]))
     answers = (

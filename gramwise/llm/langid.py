@@ -4,21 +4,31 @@ from __future__ import annotations
 
 import io
 import re
+import sys
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from gramwise.operators.joins import attach
+
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
 _BLOCK = 1 << 20
 _PRIMES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
+@cache
+def _no_letters() -> re.Pattern:
+    """What is no letter: also numerals that count as word characters (superscripts, fractions, Roman, circled)."""
+    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[\W\d_{numerals}]+")
+
+
 def letters_only(text: str | None) -> bytes:
     """Lower-case words between single blanks; empty where the text has no letter."""
-    words = _OTHER.sub(" ", text or "").strip().lower()
+    words = _no_letters().sub(" ", text or "").strip().lower()
     return f" {words} ".encode() if words else b""
 
 
@@ -134,8 +144,8 @@ def fit(texts: list[str], languages: list[str], buckets: int = 18, width: int =
     return model
 
 
-def learn(docs: DataFrame, trainable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 300, most_languages: int = 500) -> LanguageModel:
-    """Fit on at most ``per_language`` whole documents of each of the ``most_languages`` most frequent languages.
+def learn(docs: DataFrame, trainable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 300, most_languages: int | None = None) -> LanguageModel:
+    """Fit on at most ``per_language`` whole documents of each language, or of the ``most_languages`` most frequent ones.
 
     That bound is the sample's documented size; the documents are those of smallest key hash, whatever the partitions.
     The fit runs in one task on that sample, and only the model returns to the driver.
@@ -143,10 +153,12 @@ def learn(docs: DataFrame, trainable: Column, key: str = "doc_id", text: str = "
     rows = docs.where(trainable & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(
         F.xxhash64(F.col(key).cast("string")).alias("order"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")
     )
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    common = rows.groupBy("lang").count()
+    if most_languages is not None:
+        common = common.orderBy(F.desc("count"), "lang").limit(most_languages)
     # hashes are even: four times the documents wanted lie below this part of the range, so few texts are sent on
     low = F.pmod("order", F.lit(1 << 30)) < F.lit(4.0 * per_language * (1 << 30)) / F.col("count")
-    rows = rows.join(F.broadcast(common), "lang").where(low)
+    rows = attach(rows, common, ["lang"]).where(low)
     first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))).where(f"rank <= {per_language}")
     sample = first.select("order", "lang", "text").repartition(1)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gramwise.llm.components import connected_components, forest_edges, local_forest
 from gramwise.session import settle
@@ -22,10 +22,14 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """
     vec = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(key).cast("long").alias("id"), vec.alias("vec"))
+    return rows.where(_takes_part()).select("id", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec"))
+
+
+def _takes_part() -> Column:
+    """Whether a row (id, vec) is compared at all; never null."""
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0)).select(
-        "id", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec")
-    )
+    sound = F.col("id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0)
+    return F.coalesce(sound, F.lit(False))
 
 
 def stacked(column) -> np.ndarray:
@@ -51,7 +55,7 @@ def _wide(a: np.ndarray, width: int) -> np.ndarray:
 
 
 class _Tile:
-    """Rows of a tile; the int8 codes are rebuilt from the vectors where they are used."""
+    """Rows of a tile: int8 codes with their bounds, and the unit vectors for pairs in doubt."""
 
     def __init__(self, ids: bytes, weights: bytes, codes: bytes, bounds: bytes, units: bytes) -> None:
         self.ids, self.weights = np.frombuffer(ids, np.int64), np.frombuffer(weights, np.int64)
@@ -176,7 +180,7 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
 
     Equal vectors collapse to one class before the comparison and count with their number. A vector that is null, zero
     or holds null or non-finite components links with nothing; a row without id has a null component. Exactly repeated
-    rows (same id, same vector) count as one vector and come back once.
+    rows (same id, same vector) count as one vector and come back once; different vectors of one id are rows of their own.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).distinct()
     good = settle(usable(rows, "id", "vec").withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")}))
@@ -190,7 +194,7 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
     found = good.select("id", "h1", "h2").join(
         named.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), ["h1", "h2"]
     )
-    bad = rows.join(good.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    bad = rows.where(~_takes_part()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return found.select("id", "n_links", "component_id").union(bad).select(
         F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept")
     )

@@ -73,3 +73,25 @@ def test_windows_hold_every_turn_once(spark):
 
 def test_empty_table(spark):
     assert chat.read_back(chat.chat_windows(spark.createDataFrame([], SCHEMA), PATH)).count() == 0
+
+
+def test_turn_numbers_of_any_size_are_ranked(spark):
+    """Epoch milliseconds and sparse numbers behave like 0, 1, 2, ...; only their order counts."""
+    rng = random.Random(8)
+    texts = ["word " * rng.randint(0, 9) for _ in range(150)]
+    who = lambda k: "system" if k == 0 else ("user", "assistant")[k % 2]
+    plain = [(1, k, who(k), t, 1, "x") for k, t in enumerate(texts)]
+    for spread in (lambda k: 800_000_000_000 + 1000 * k, lambda k: -(10**15) + 10**13 * k, lambda k: 1_000_000 * k):
+        windows = {}
+        for name, rows in (("plain", plain), ("sparse", [(1, spread(k), *r[2:]) for k, r in enumerate(plain)])):
+            out = chat.chat_windows(spark.createDataFrame(rows, SCHEMA), PATH, budget=120, history=40, most_history=3, segment_turns=32)
+            windows[name] = sorted(tuple(r) for r in out.collect())
+        assert windows["plain"] == windows["sparse"] and len({w[1] for w in windows["plain"]}) == 5
+
+
+def test_many_rows_of_one_turn_number_across_segments(spark):
+    rows = [(1, 0, "system", "s", 1, "x")] + [(1, 5, "user", f"u{k:03}", 1, "x") for k in range(90)] + [(1, 9, "assistant", "a", 1, "x")]
+    windows = chat.chat_windows(spark.createDataFrame(rows, SCHEMA), PATH, budget=100, history=40, most_history=3, segment_turns=16).persist()
+    assert {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(windows).collect()} == slow(rows)
+    last = max(windows.collect(), key=lambda w: (w["segment"], w["window"]))
+    assert [t for _, t, _, _ in chat.parse(last["formatted"])] == ["s", "u087", "u088", "u089", "a"]

@@ -66,3 +66,18 @@ def test_copies_ties_and_vectors_that_take_no_part(spark):
     few = spark.createDataFrame(rows[98:], "vec_id long, embedding array<double>")
     assert found(curves.nearest_neighbours(few, F.col("vec_id") % 20 == 0)) == brute(rows[98:])
     assert curves.nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_ties_go_to_the_smaller_id_before_the_cut(spark):
+    """58 different vectors with the same inner product: the cut must know ids, not only scores."""
+    rows = [(20, [1.0] + [0.0] * 59)] + [(i, [1.0] + [float(j == i) for j in range(59)]) for i in range(1, 60) if i != 20]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(curves.nearest_neighbours(df, F.col("vec_id") == 20))
+    assert [i for i, _ in got[20]] == [i for i in range(1, 22) if i != 20]
+
+
+def test_products_that_overflow_rank_as_infinite(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 0.0]), (2, [2e200, 5.0]), (3, [0.0, 1.0]), (4, [0.0, 3.0]), (5, [-1e200, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(curves.nearest_neighbours(df, F.col("vec_id") == 0))
+    assert got[0] == [(1, float("inf")), (2, float("inf")), (4, 3.0), (3, 1.0), (5, float("-inf"))]

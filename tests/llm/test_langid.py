@@ -34,3 +34,9 @@ def test_only_text_decides_and_odd_tables(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert langid.identify_languages(docs.limit(0)).count() == 0
     assert {r["lang_pred"] for r in langid.identify_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_numerals_are_no_letters():
+    assert all(langid.letters_only(t) == b"" for t in ("²", "½ ² Ⅷ", "①②", "١٢", "_ 12 ³", "\u0301"))
+    assert langid.letters_only("a² b½Ⅷ ªº é") == " a b ªº é ".encode()
+    assert langid.LanguageModel(["de"], __import__("numpy").zeros((1 << 4, 1)), 1.0, 0.0, 4).predict("½ ② ²") == (langid.UNKNOWN, 0.0, False)

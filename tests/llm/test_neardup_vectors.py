@@ -71,3 +71,9 @@ def test_empty_null_and_repeated(spark):
     assert neardup_vectors.embedding_groups(spark.createDataFrame([], kind)).count() == 0
     got = neardup_vectors.embedding_groups(spark.createDataFrame([(1, [1.0]), (1, [1.0]), (None, [1.0]), (2, [1.0, 0.0])], kind)).collect()
     assert sorted((r["vec_id"] or -1, r["n_links"], r["component_id"]) for r in got) == [(-1, 0, None), (1, 1, 1), (2, 1, 1)]
+
+
+def test_each_vector_of_an_id_is_a_row(spark):
+    df = spark.createDataFrame([(1, [1.0]), (1, None), (2, [1.0]), (3, [0.0]), (None, [1.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, neardup_vectors.embedding_groups(df).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (1, 0, 1, True), (2, 1, 1, False), (3, 0, 3, True), (None, 0, None, None)], key=str)
