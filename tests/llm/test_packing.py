@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -73,7 +74,47 @@ def test_plan_holds_everything_in_few_sequences():
 
 
 def test_program_solves_a_known_case():
-    counts = np.zeros(10, np.int64)
-    counts[[5, 3]] = 60, 60  # sizes 6 and 4 fill 10 together: 60 sequences
-    used = packing.configuration_program(counts, rounds=500, step=0.05)
+    used = packing.configuration_program([6, 4], [60, 60], 10, step=0.05)  # sizes 6 and 4 fill 10 together: 60 sequences
     assert 60 <= sum(used.values()) < 66
+    for k, wanted in ((0, 60), (1, 60)):
+        assert sum(times * dict(name).get(k, 0) for name, times in used.items()) >= wanted - 1e-6
+
+
+def test_knapsack_equals_exhaustive_search():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        sizes, most = sorted(rng.integers(1, 12, 4).tolist(), reverse=True), rng.integers(1, 4, 4).tolist()
+        value = rng.random(4).tolist()
+        filling = packing._best_filling(sizes, value, most, 20)
+        assert sum(sizes[k] * n for k, n in filling.items()) <= 20 and all(n <= most[k] for k, n in filling.items())
+        free = [20 // s for s in sizes]
+        best = 0.0
+        for n in np.ndindex(*[f + 1 for f in free]):
+            if np.dot(n, sizes) <= 20:
+                best = max(best, float(np.dot(n, value)))
+        whole = packing._best_filling(sizes, value, free, 20)
+        assert sum(value[k] * n for k, n in whole.items()) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("times", [1, 40])
+def test_program_places_most_pieces_at_the_bound(times):
+    """The share of long pieces that configurations place, and the sequences against the least possible number."""
+    rng = np.random.default_rng(2)
+    sizes = np.minimum(4095, np.maximum(1, rng.lognormal(6.4, 1.1, 6000).astype(int)))
+    counts = {int(k): int(n) * times for k, n in zip(*np.unique(sizes, return_counts=True), strict=True)}
+    plan, placed = packing._planned(counts, 4096, 16, 96)
+    held = Counter()
+    for lengths, copies in plan:
+        held.update({v: lengths.count(v) * copies for v in set(lengths)})
+    large = sum(n for k, n in counts.items() if k > 256)
+    assert held == counts and placed >= 0.8 * large
+    assert sum(c for _, c in plan) <= -(-sum(k * n for k, n in counts.items()) // 4096) * 1.003 + 1
+
+
+def test_batches_equal_single_texts():
+    own, single = WordTokenizer(PATH, most=9, most_words=5), WordTokenizer(PATH)
+    texts = pa.array([None, *TEXTS, "z" * 100 + " short " + "z" * 100])
+    for part in (texts, texts.slice(3, 9), texts.slice(0, 0)):
+        ids, starts = own.batch(part)
+        assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [single.ids(t).tolist() for t in part.to_pylist()]
+    assert all(len(u) <= 64 for u in (*own.units, *own.words))
