@@ -19,16 +19,22 @@ _BLOCK = 1 << 20
 _PRIMES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
+_OTHER = re.compile(r"[\W\d_]+")
+
+
 @cache
-def _no_letters() -> re.Pattern:
-    """What is no letter: also numerals that count as word characters (superscripts, fractions, Roman, circled)."""
-    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[\W\d_{numerals}]+")
+def _numerals() -> re.Pattern:
+    """Numerals that count as word characters but are no letters: superscripts, fractions, Roman, circled ones."""
+    found = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(f"[{found}]+")
 
 
 def letters_only(text: str | None) -> bytes:
     """Lower-case words between single blanks; empty where the text has no letter."""
-    words = _no_letters().sub(" ", text or "").strip().lower()
+    words = _OTHER.sub(" ", text or "").strip()
+    if words and not words.replace(" ", "").isalpha():
+        words = " ".join(_numerals().sub(" ", words).split())
+    words = words.lower()
     return f" {words} ".encode() if words else b""
 
 
