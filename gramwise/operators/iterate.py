@@ -23,6 +23,7 @@ from gramwise.operators.moments import (
 )
 from gramwise.operators.digits import select_ranks
 from gramwise.operators.ranks import attach, prefix
+from gramwise.operators.vertex import exact_quantile_fit
 from gramwise.session import BROADCAST_BYTES, settle
 
 
@@ -241,8 +242,10 @@ def quantile_regression(
     final_bandwidth: float = 1e-3,
     tol: float = 1e-5,
     max_iter: int = 100,
+    exact: bool = True,
 ) -> tuple[np.ndarray, str]:
-    """Linear quantile fit: Newton on the check loss convolved with a logistic kernel, its bandwidth shrinking.
+    """Linear quantile fit: Newton on the check loss convolved with a logistic kernel, its bandwidth shrinking, and from
+    there the exact minimum of the check loss where all weights are positive (``exact``; see ``operators.vertex``).
 
     Bandwidths are relative to the residual deviation of the starting fit. Signed weights are accepted; a step
     that raises the smoothed loss is halved. Returns (theta, status).
@@ -301,6 +304,10 @@ def quantile_regression(
             done = h <= last and size * moved <= tol * spread
             theta, h, (gram, slope, loss) = candidate, h_next, new
             if done:
+                whole = slim.dropna()
+                if exact and whole.where("__w <= 0").limit(1).count() == 0:
+                    theta, status = exact_quantile_fit(whole, names, "__y", "__w", tau, theta, 4.0 * last)
+                    return _moved_back(theta, means), status
                 return _moved_back(theta, means), "ok"
         return _moved_back(theta, means), "not converged"
     finally:
