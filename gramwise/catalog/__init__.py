@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("tables", "encoding", "samples", "summaries", "ordering", "fits", "labels", "effects", "shifts", "neighbours", "predictive")
+AREAS = ("tables", "encoding", "samples", "summaries", "ordering", "fits", "exact_fits", "labels", "effects", "shifts", "neighbours", "predictive")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

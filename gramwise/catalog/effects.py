@@ -196,7 +196,7 @@ def udf2(spark, sf):
 
 @BOOK.add("udf6_fit_per_group", f"SELECT event_type, {q('regr_intercept(value, hour(ts))', 5)} AS intercept, {q('regr_slope(value, hour(ts))', 5)} AS slope FROM events GROUP BY event_type")
 def udf6(spark, sf):
-    """Groups are fitted as pandas frames while all are small, else all from moments; here one type is over the bound."""
+    """A user's fit on one pandas frame per event type."""
     rows = table(spark, sf, "events").select("event_type", "value", F.hour("ts").cast("double").alias("h"))
     schema = "event_type string, intercept double, slope double"
 
@@ -205,10 +205,13 @@ def udf6(spark, sf):
         a, b = np.linalg.lstsq(x, pdf["value"].to_numpy(), rcond=None)[0]
         return pd.DataFrame({"event_type": [pdf["event_type"].iloc[0]], "intercept": [a], "slope": [b]})
 
-    def fit_large(large):
-        fits = least_squares(large, ["h"], "value", by=["event_type"])
-        return fits.select("event_type", F.get("theta", 0).alias("intercept"), F.get("theta", 1).alias("slope"))
-
-    bound = int(rows.count() / 5)
-    out = fit_groups(rows, ["event_type"], fit, schema, fit_large, bound)
+    out = fit_groups(rows, ["event_type"], fit, schema)
     return out.select("event_type", r("intercept", 5).alias("intercept"), r("slope", 5).alias("slope"))
+
+
+@BOOK.add("udf6_fit_per_group_from_moments", f"SELECT event_type, {q('regr_intercept(value, hour(ts))', 5)} AS intercept, {q('regr_slope(value, hour(ts))', 5)} AS slope FROM events GROUP BY event_type")
+def udf6_moments(spark, sf):
+    """The same fits for groups of any size: sums within tasks, no group in one frame."""
+    rows = table(spark, sf, "events").select("event_type", "value", F.hour("ts").cast("double").alias("h"))
+    fits = least_squares(rows, ["h"], "value", by=["event_type"])
+    return fits.select("event_type", r(F.get("theta", 0), 5).alias("intercept"), r(F.get("theta", 1), 5).alias("slope"))

@@ -65,7 +65,7 @@ class _Sums:
             return out
 
         cross = full("rr", m) if len(frame) and len(frame["rr"].iloc[0]) else np.zeros((len(frame), 0, 0))
-        return _Sums(frame["n"].to_numpy(float), stacked("centre", k - 1), full("g", k), stacked("b", k * m).reshape(-1, m, k), cross)
+        return _Sums(frame["n"].to_numpy(float), stacked("centre", k - 1), full("g", k), stacked("b", k * m).reshape(len(frame), m, k), cross)
 
 
 def _by_code(values: np.ndarray, codes: np.ndarray, groups: int) -> np.ndarray:

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gramwise.operators.moments import linear_score, moments, symmetric
+from gramwise.operators.centred import centred_moments
+from gramwise.operators.moments import linear_score, symmetric
 from gramwise.operators.neighbors import nearest_join, vote
 
 
@@ -35,14 +36,15 @@ class Discriminant:
 
 def linear_discriminant(df: DataFrame, xs: Sequence[str | Column], label: str) -> Discriminant:
     """Class shares, class means and the pooled within-class covariance from one grouped pass."""
-    rows = sorted(moments(df, xs, by=[label]).collect(), key=lambda r: r[label])
+    rows = sorted(centred_moments(df, xs, by=[label]).collect(), key=lambda r: r[label])
     total = sum(r["n"] for r in rows)
     means, within = [], 0.0
     for r in rows:
         gram = symmetric(r["g"])
-        mean = gram[0, 1:] / r["n"]
-        means.append(mean)
-        within = within + gram[1:, 1:] - r["n"] * np.outer(mean, mean)
+        # sums are about the class mean already, up to rounding
+        off = gram[0, 1:] / r["n"]
+        means.append(np.asarray(r["centre"]) + off)
+        within = within + gram[1:, 1:] - r["n"] * np.outer(off, off)
     precision = np.linalg.pinv(within / (total - len(rows)))
     forms = np.array([
         np.concatenate([[np.log(r["n"] / total) - 0.5 * m @ precision @ m], precision @ m]) for r, m in zip(rows, means, strict=True)

@@ -41,10 +41,14 @@ def encode_labels(df: DataFrame, column: str, code: str = "code") -> DataFrame:
     return attach(df, label_codes(df, column, code), [column], "left")
 
 
-def levels_of(df: DataFrame, column: str, most: int = 1000) -> list[str]:
-    """Sorted distinct levels of a categorical column that is about to become one column per level."""
-    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
-    if len(found) > most:
+def levels_of(df: DataFrame, column: str, most: int | None = None) -> list[str]:
+    """Sorted distinct levels of a categorical column that is about to become one column per level.
+
+    ``most`` is the caller's bound on them: more levels are refused.
+    """
+    levels = df.select(column).where(F.col(column).isNotNull()).distinct()
+    found = [r[0] for r in (levels if most is None else levels.limit(most + 1)).collect()]
+    if most is not None and len(found) > most:
         raise ValueError(f"{column!r} has more than {most} levels, too many to be columns: use dummy_rows")
     return sorted(found)
 

@@ -74,24 +74,15 @@ def cross_validated_score(
     return out
 
 
-def fit_groups(
-    df: DataFrame,
-    by: Sequence[str],
-    fit: Callable[[pd.DataFrame], pd.DataFrame],
-    schema: str,
-    fit_large: Callable[[DataFrame], DataFrame] | None = None,
-    most_rows: int = 500_000,
-) -> DataFrame:
-    """A model per group, by one definition for all groups of a call.
+def fit_groups(df: DataFrame, by: Sequence[str], fit: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most_rows: int | None = None) -> DataFrame:
+    """A model per group: each group goes through ``fit`` as a pandas frame.
 
-    If every group has at most ``most_rows`` rows, each goes through ``fit`` as a pandas frame. Otherwise all groups go
-    through ``fit_large``, which receives the rows as a DataFrame and must return the same schema (grouped moments, for
-    instance); without it the call is refused, so that no task ever holds an oversized group.
+    Where groups may be large, pass ``most_rows``: a group with more is refused by an error before any work, never
+    fitted in another way. Such groups need a fit on DataFrames, for instance ``least_squares(..., by=...)``.
     """
     by = list(by)
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= most_rows:
-        return df.groupBy(*by).applyInPandas(fit, schema)
-    if fit_large is None:
-        raise ValueError(f"a group has {largest} rows, more than {most_rows}: pass fit_large, a fit on DataFrames")
-    return fit_large(df)
+    if most_rows is not None:
+        largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        if largest > most_rows:
+            raise ValueError(f"a group has {largest} rows, more than {most_rows}: use a fit on DataFrames with groups")
+    return df.groupBy(*by).applyInPandas(fit, schema)

@@ -13,17 +13,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gramwise.operators.metrics import slice_table
-from gramwise.operators.moments import collect_moments, least_squares, linear_score, moments
+from gramwise.operators.centred import centred_moments
+from gramwise.operators.moments import collect_moments, least_squares, linear_score, moments, symmetric
 from gramwise.operators.neighbors import kernel_smooth, nearest_join
 from gramwise.session import settle
 
 
 def whitening(df: DataFrame, xs: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """(mean, covariance^-1/2) from one moment pass."""
-    m = collect_moments(moments(df, xs))
-    n = m["n"]
-    mean = m["gram"][0, 1:] / n
-    cov = (m["gram"][1:, 1:] - n * np.outer(mean, mean)) / (n - 1)
+    row = centred_moments(df, xs).first()
+    n, gram = row["n"], symmetric(row["g"])
+    off = gram[0, 1:] / n
+    mean = np.asarray(row["centre"]) + off
+    cov = (gram[1:, 1:] - n * np.outer(off, off)) / (n - 1)
     values, vectors = np.linalg.eigh(cov)
     return mean, vectors @ np.diag(1.0 / np.sqrt(values)) @ vectors.T
 
