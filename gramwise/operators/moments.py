@@ -54,12 +54,12 @@ def moments(
     names = [f"__z{i}" for i in range(k)] + [f"__r{i}" for i in range(m)]
     flat = df.select(*by, *[c.alias(a) for c, a in zip(z + r, names, strict=True)], *([w.alias("__w")] if w is not None else []))
     used = names + (["__w"] if w is not None else [])
-    complete = reduce(and_, [F.col(a).isNotNull() & ~F.isnan(a) for a in used], F.lit(True))
-    flat = flat.withColumn("__ok", complete)
-    flat = flat.select(*by, "__ok", *[F.when(F.col("__ok"), F.col(a)).otherwise(0.0).alias(a) for a in used])
     sums = k * (k + 1) // 2 + k * m + (m * (m + 1) // 2 if cross else 0)
     if sums > EXPLICIT_SUMS:
         return _block_moments(flat, [F.col(a) for a in names[:k]], [F.col(a) for a in names[k:]], None if w is None else F.col("__w"), list(by), cross)
+    complete = reduce(and_, [F.col(a).isNotNull() & ~F.isnan(a) for a in used], F.lit(True))
+    flat = flat.withColumn("__ok", complete)
+    flat = flat.select(*by, "__ok", *[F.when(F.col("__ok"), F.col(a)).otherwise(0.0).alias(a) for a in used])
     zc = [F.col(a) for a in names[:k]]
     rc = [F.col(a) for a in names[k:]]
     wz = [c if w is None else F.col("__w") * c for c in zc]
@@ -76,10 +76,14 @@ def moments(
 
 
 def _block_moments(df, z, r, w, by, cross) -> DataFrame:
-    """The same sums for wide tables: a matrix product per Arrow batch, summed within the task, then once across tasks."""
+    """The same sums for wide tables: a matrix product per Arrow batch, summed within the task, then once across tasks.
+
+    Incomplete rows are told apart inside the batch, where that is one test of the whole matrix.
+    """
     k, m = len(z), len(r)
     w = F.lit(1.0) if w is None else w
-    slim = df.select(*by, F.array(*z, *r, w, F.col("__ok").cast("double")).alias("v"))
+    known = [F.coalesce(c, F.lit(float("nan"))) for c in (*z, *r, w)]
+    slim = df.select(*by, F.array(*known).alias("v"))
     upper = np.triu_indices(k)
     cross_upper = np.triu_indices(m)
     sizes = (len(upper[0]), k * m, len(cross_upper[0]) if cross else 0)
@@ -90,8 +94,9 @@ def _block_moments(df, z, r, w, by, cross) -> DataFrame:
             groups = [((), pdf)] if not by else pdf.groupby(by, sort=False, dropna=False)
             for key, part in groups:
                 v = np.stack(part["v"].to_numpy())
+                v = v[~np.isnan(v).any(axis=1)]
                 zz, rm, wm = v[:, :k], v[:, k : k + m], v[:, k + m]
-                vals = [np.array([v[:, k + m + 1].sum()]), (zz.T @ (zz * wm[:, None]))[upper], (rm.T @ zz).ravel()]
+                vals = [np.array([float(len(v))]), (zz.T @ (zz * wm[:, None]))[upper], (rm.T @ zz).ravel()]
                 if cross:
                     vals.append((rm.T @ rm)[cross_upper])
                 vec = np.concatenate(vals)

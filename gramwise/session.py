@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 """Measured size up to which a table is shipped to every task; larger ones are joined by shuffle or in blocks."""
@@ -99,8 +99,8 @@ def settle(df: DataFrame) -> DataFrame:
     return done
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """An upper bound of the table's size from its row count and its widest values; one pass over a stored table."""
+def _widths(df: DataFrame) -> tuple[list, int]:
+    """(aggregates: rows and widest values of the columns without a fixed width, bytes of the others in a row)."""
     parts, fixed = [F.count(F.lit(1)).alias("n")], 32
     for i, field in enumerate(df.schema):
         kind = field.dataType
@@ -111,11 +111,30 @@ def measured_bytes(df: DataFrame) -> int:
             parts.append((F.max(F.size(field.name)) * element).alias(f"w{i}"))
         else:
             fixed += 8 if isinstance(kind, T.NumericType) else 64
-    row = df.agg(*parts).first()
-    return row["n"] * (fixed + sum(16 + max(v or 0, 0) for v in row[1:]))
+    return parts, fixed
+
+
+def _bytes(row: dict, fixed: int) -> int:
+    return (row["n"] or 0) * (fixed + sum(16 + max(v or 0, 0) for name, v in row.items() if name != "n"))
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """An upper bound of the table's size from its row count and its widest values; one pass over a stored table."""
+    parts, fixed = _widths(df)
+    return _bytes(df.agg(*parts).first().asDict(), fixed)
 
 
 def joinable(df: DataFrame) -> DataFrame:
-    """The stored table, marked for broadcast when its measured size allows."""
-    stored = settle(df)
-    return F.broadcast(stored) if measured_bytes(stored) <= BROADCAST_BYTES else stored
+    """The stored table, marked for broadcast when its measured size allows; it is measured while it is stored."""
+    if getattr(df, "_gramwise_settled", None) is not None:
+        done = settle(df)
+        size = getattr(done, "_gramwise_bytes", None)
+        if size is None:
+            size = done._gramwise_bytes = measured_bytes(done)
+    else:
+        parts, fixed = _widths(df)
+        seen = Observation()
+        done = settle(df.observe(seen, *parts))
+        df._gramwise_settled = done
+        size = done._gramwise_bytes = _bytes(seen.get, fixed)
+    return F.broadcast(done) if size <= BROADCAST_BYTES else done
