@@ -27,7 +27,7 @@ class WordTokenizer:
     none longer than ``_KEPT_CHARACTERS``, so that their bytes are bounded whatever the texts are.
     """
 
-    def __init__(self, path: str, special: bool = True, most: int = 400_000, most_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, special: bool = True, most: int = 1_200_000, most_words: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
