@@ -27,7 +27,7 @@ class WordTokenizer:
     none longer than ``_KEPT_CHARACTERS``, so that their bytes are bounded whatever the texts are.
     """
 
-    def __init__(self, path: str, special: bool = True, most: int = 1_200_000, most_words: int = 200_000) -> None:
+    def __init__(self, path: str, special: bool = True, most: int = 700_000, most_words: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -122,7 +122,7 @@ class WordTokenizer:
         """
         lists = pc.split_pattern(pc.fill_null(texts, "").cast(pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
-        units, known = coded.dictionary.to_pylist(), self.units
+        units, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.units
         missing = {u for u in units if u not in known}
         if len(known) + len(missing) > self.most:
             known.clear()
