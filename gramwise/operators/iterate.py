@@ -280,6 +280,17 @@ def quantile_regression(
             part = collect_moments(moments(rows, names, [slope, loss(h_next), loss(h)], curvature), 3)
             return part["rhs"][2][0], (part["gram"], part["rhs"][0], part["rhs"][1][0])
 
+        first = theta.copy()
+
+        def ended(status: str) -> tuple[np.ndarray, str]:
+            """Where the smoothed steps fail (few rows, for one), the exact descent still works from the first fit."""
+            whole = slim.dropna()
+            if exact and whole.where("__w <= 0").limit(1).count() == 0:
+                found, reached = exact_quantile_fit(whole, names, "__y", "__w", tau, first, 4.0 * spread)
+                if reached == "ok":
+                    return _moved_back(found, means), reached
+            return _moved_back(theta, means), status
+
         last = final_bandwidth * spread
         h = spread
         _, (gram, slope, loss) = look(theta, h, h)
@@ -288,7 +299,7 @@ def quantile_regression(
             if step is None:
                 # Too few rows lie within the bandwidth: widen it and come back more slowly.
                 if h >= spread:
-                    return _moved_back(theta, means), "singular"
+                    return ended("singular")
                 h, shrink = min(3.0 * h, spread), shrink**0.5
                 _, (gram, slope, loss) = look(theta, h, h)
                 continue
@@ -306,10 +317,10 @@ def quantile_regression(
             if done:
                 whole = slim.dropna()
                 if exact and whole.where("__w <= 0").limit(1).count() == 0:
-                    theta, status = exact_quantile_fit(whole, names, "__y", "__w", tau, theta, 4.0 * last)
-                    return _moved_back(theta, means), status
+                    found, status = exact_quantile_fit(whole, names, "__y", "__w", tau, theta, 4.0 * last)
+                    return (_moved_back(found, means), status) if status == "ok" else ended(status)
                 return _moved_back(theta, means), "ok"
-        return _moved_back(theta, means), "not converged"
+        return ended("not converged")
     finally:
         kept.unpersist()
 
