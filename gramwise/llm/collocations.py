@@ -26,6 +26,7 @@ from gramwise.session import stored
 LONGEST, SUPPORT, SHARDS, REPORTED = 5, 100, 8, 2000
 _MOST_BITS = 28
 _CHUNK_BYTES, _SMALL_CHUNK_BYTES = 6 << 20, 1 << 20
+_BATCH_ROWS = 1 << 16
 _PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
 
 
@@ -66,8 +67,9 @@ class _Text:
         edge[ends] = True
         edge[1:] |= ~np.append(inside[:-1], False) if len(raw) else edge[1:]
         starts = np.flatnonzero(inside & edge[:-1])
-        letters = np.concatenate(([0], np.cumsum(inside)))
-        offsets = np.append(letters[starts], letters[-1])
+        # one counter for every byte: half as wide where the text allows
+        letters = np.cumsum(inside, dtype=np.int32 if len(raw) < 1 << 31 else np.int64)
+        offsets = np.append(letters[starts] - 1, letters[-1] if len(letters) else 0)
         words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[inside]))
         coded = words.dictionary_encode()
         self.words, self.codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
@@ -122,7 +124,11 @@ def _per_chunk(work: Callable[[_Text], Iterator[pa.RecordBatch]], most_bytes: in
             while at < len(sizes):
                 stop = max(at + 1, int(np.searchsorted(sizes, (int(sizes[at - 1]) if at else 0) + most_bytes, "right")))
                 part = batch.slice(at, stop - at)
-                yield from work(_Text(part.column(0), part.column(1), part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)))
+                for counted in work(_Text(part.column(0), part.column(1), part.column(2).to_numpy(zero_copy_only=False).astype(np.int64))):
+                    # the other side holds a batch in memory whole
+                    yield from (counted.slice(i, _BATCH_ROWS) for i in range(0, counted.num_rows, _BATCH_ROWS))
+                    del counted
+                pa.default_memory_pool().release_unused()
                 at = stop
 
     return each

@@ -88,3 +88,18 @@ def test_words_of_a_chunk():
     t = c._Text(pa.array(["a", "a", "b", "b"]), texts, np.zeros(4, np.int64))
     assert t.words.take(pa.array(t.codes)).to_pylist() == ["ab", "c", "d", "É", "é"]
     assert t.doc.tolist() == [1, 1, 1, 3, 3] and t.joined.tolist() == [True, False, False, False]
+
+
+def test_counts_leave_in_small_batches():
+    """A chunk of text with many distinct words leaves the worker in batches of bounded size."""
+    import pyarrow as pa
+
+    from gramwise.llm import collocations as C
+
+    n = 3 * C._BATCH_ROWS + 5
+    text = " ".join(f"w{i}" for i in range(n)) + ", "
+    given = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text]), pa.array([0], pa.int64())], names=["lang", "text", "shard"])
+    out = list(C._per_chunk(C._count_words)(iter([given])))
+    assert max(b.num_rows for b in out) <= C._BATCH_ROWS
+    words = [w for b in out for w, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True) if w is not None and c == 1]
+    assert sorted(words) == sorted(f"w{i}" for i in range(n))
