@@ -38,25 +38,20 @@ def interpolate(x, breakpoints: Sequence[float], values: Sequence[float]) -> Col
 def probability_transform(y, quantiles, levels: Sequence[float]) -> Column:
     """PIT of y in a non-decreasing quantile array: interpolated level, exactly 0 or 1 outside the array."""
     y, q = _c(y), _c(quantiles)
-    a = literal_array(levels)
-    last_below = F.size(F.filter(q, lambda v: v < y))
-    q0, q1 = F.get(q, last_below - 1), F.get(q, last_below)
-    a0, a1 = F.get(a, last_below - 1), F.get(a, last_below)
-    return (
-        F.when(y <= F.element_at(q, 1), F.lit(0.0))
-        .when(y >= F.element_at(q, -1), F.lit(1.0))
-        .otherwise(a0 + (a1 - a0) * (y - q0) / (q1 - q0))
-    )
+    # written out level by level, which Spark compiles; functions of arrays it would interpret for every row
+    out = F.when(y <= F.element_at(q, 1), F.lit(0.0)).when(y >= F.element_at(q, -1), F.lit(1.0))
+    for i in range(1, len(levels)):
+        a0, a1, q0, q1 = float(levels[i - 1]), float(levels[i]), F.get(q, i - 1), F.get(q, i)
+        out = out.when(y <= q1, F.lit(a0) + F.lit(a1 - a0) * (y - q0) / (q1 - q0))
+    return out
 
 
 def quantile_score(y, quantiles, levels: Sequence[float]) -> Column:
     """CRPS approximated on a level grid: twice the mean level step times the summed pinball loss."""
     y, q = _c(y), _c(quantiles)
     step = (float(levels[-1]) - float(levels[0])) / (len(levels) - 1)
-    losses = F.zip_with(
-        literal_array(levels), q, lambda a, v: F.greatest(a * (y - v), (a - 1.0) * (y - v))
-    )
-    return F.lit(2.0 * step) * F.aggregate(losses, F.lit(0.0), lambda s, v: s + v)
+    losses = [F.greatest(F.lit(float(a)) * (y - F.get(q, i)), F.lit(float(a) - 1.0) * (y - F.get(q, i))) for i, a in enumerate(levels)]
+    return F.lit(2.0 * step) * sum(losses, F.lit(0.0))
 
 
 def bilinear(x, y, grid: Sequence[Sequence[float]]) -> Column:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from gramwise.operators.encode import standardise
 from gramwise.operators.intervals import coverage_rows, gaussian_quantiles, interval_summary, scored_rows
-from gramwise.operators.metrics import curve, group_means, wide_table
+from gramwise.operators.metrics import coverage, curve, group_means, mean_width, wide_table
 from gramwise.operators.moments import least_squares, linear_score
 from gramwise.operators.ranks import density_histogram, uniform_ks
 from gramwise.operators.sampling import cap_rows, train_test_split
+from gramwise.session import stored
 
 
 def capped_split(df: DataFrame, key: str, xs: Sequence[str], y: str, cap: int | None, test_fraction: float, seed: int) -> DataFrame:
@@ -44,8 +45,13 @@ def _per_seed(df: DataFrame, y: str, q: str, levels, dataset: str, method: str,
 
 def dataset_summary(df: DataFrame, y: str, q: str, levels: Sequence[float], dataset: str, method: str, seed: str) -> DataFrame:
     """Per dataset and method: coverage at 95%, width, CRPS (means over seeds) and the KS distance of the PIT, 3 digits."""
-    means = group_means(_per_seed(df, y, q, levels, dataset, method, seed), [dataset, method], ["cov_95", "width_95", "crps"])
-    ks = uniform_ks(scored_rows(df, y, q, levels), "pit", [dataset, method]).select(dataset, method, "ks")
+    low, high = (F.get(q, list(levels).index(a)) for a in (0.025, 0.975))
+    scored = scored_rows(df, y, q, levels).select(dataset, method, seed, "pit", "crps", F.col(y).alias("__y"), low.alias("__low"), high.alias("__high"))
+    # scored once, read by the means and by both passes of the distances
+    scored = stored(scored, "scored")
+    per_seed = scored.groupBy(dataset, method, seed).agg(coverage("__y", "__low", "__high").alias("cov_95"), mean_width("__low", "__high").alias("width_95"), F.avg("crps").alias("crps"))
+    means = group_means(per_seed, [dataset, method], ["cov_95", "width_95", "crps"])
+    ks = uniform_ks(scored, "pit", [dataset, method]).select(dataset, method, "ks")
     joined = means.join(ks, [dataset, method])
     return joined.select(dataset, method, *[F.round(c, 3).alias(c) for c in ("cov_95", "width_95", "crps", "ks")])
 
