@@ -9,11 +9,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gramwise.functions.scalars import logistic
-from gramwise.operators.classify import choose_k, neighbour_cv, neighbour_predictions
 from gramwise.operators.encode import flip_labels
 from gramwise.operators.iterate import logistic_regression
 from gramwise.operators.metrics import accuracy
 from gramwise.operators.moments import linear_score, moments, score_with, symmetric
+from gramwise.operators.neighbors import nearest_join, vote
 from gramwise.operators.ranks import attach
 from gramwise.operators.sampling import kfold
 from gramwise.session import settle
@@ -56,18 +56,31 @@ def grouped_logistic_accuracy(df: DataFrame, key: str, xs: Sequence[str], label:
     return scored.groupBy("rho").agg(accuracy(label, "p").alias("accuracy"))
 
 
+def _flipped_lists(rho: float, seed: int) -> Column:
+    """The lists of a nearest join with the labels of training rows as they are after flipping."""
+    return F.transform("neighbours", lambda n: F.struct(flip_labels(n["payload"], n["rid"], rho, seed).alias("payload")))
+
+
 def neighbour_accuracy(
     df: DataFrame, key: str, features: str | Column, label: str, train: str, rates: Sequence[float], seed: int, ks: Sequence[int], classes: Sequence[int], folds: int = 5
 ) -> DataFrame:
-    """(rho, k, accuracy) of nearest neighbours with k chosen by cross-validation on the noisy training rows."""
-    out = None
+    """(rho, k, accuracy) of nearest neighbours with k chosen by cross-validation on the noisy training rows.
+
+    Distances don't depend on the labels: one join serves all rates, the cross-validation and the test rows, and labels
+    are flipped in its lists.
+    """
+    rows = kfold(df.where(F.col(train).isNotNull()), key, folds, seed).withColumn("fold", F.when(F.col(train), F.col("fold")))
+    near = nearest_join(rows, rows.where(F.col(train)), max(ks), key, key, features, label, mask="fold")
+    votes = []
     for rho in rates:
-        rows = settle(df.withColumn("noisy", flip_labels(label, key, rho, seed)))
-        learn, test = kfold(rows.where(F.col(train)), key, folds, seed), rows.where(~F.col(train))
-        k = choose_k(neighbour_cv(learn, key, features, "noisy", "fold", ks, classes))
-        found = neighbour_predictions(learn, test, key, features, "noisy", [k], classes)
-        truth = test.select(F.col(key).alias("qid"), F.col(label).alias("truth"))
-        part = found.join(truth, "qid").groupBy("k").agg(F.avg((F.col("predicted") == F.col("truth")).cast("double")).alias("accuracy"))
-        part = part.withColumn("rho", F.lit(float(rho)))
-        out = part if out is None else out.unionByName(part)
-    return out
+        noisy = _flipped_lists(rho, seed)
+        votes += [F.struct(F.lit(float(rho)).alias("rho"), F.lit(k).alias("k"), vote(noisy, k, classes).alias("predicted")) for k in ks]
+    truth = rows.select(F.col(key).alias("qid"), F.col(label).alias("clean"), "fold")
+    voted = near.select("qid", F.explode(F.array(*votes)).alias("c")).select("qid", "c.*").join(truth, "qid")
+    right = lambda given: F.avg((F.col("predicted") == given).cast("double"))
+    # test rows are no fold: their rows of the table are the accuracies on clean labels
+    given = F.when(F.col("fold").isNull(), F.col("clean")).otherwise(flip_labels("clean", "qid", F.col("rho"), seed))
+    scores = settle(voted.groupBy("rho", "k", "fold").agg(right(given).alias("a")))
+    cv = scores.where("fold is not null").groupBy("rho", "k").agg(F.avg("a").alias("cv"))
+    best = cv.groupBy("rho").agg(F.max_by("k", F.struct(F.round("cv", 12), -F.col("k"))).alias("k"))
+    return scores.where("fold is null").join(best, ["rho", "k"]).select("rho", "k", F.col("a").alias("accuracy"))
