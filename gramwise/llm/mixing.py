@@ -2,41 +2,87 @@
 
 from __future__ import annotations
 
-import copy
 import heapq
 import zlib
-from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gramwise.session import settle, stored
+from gramwise.session import stored
 
 END = b""
 """The token after a text's last word; no word is empty."""
 _INPUTS, _GATES, _DEPTHS, _STEPS = 4, 32, 32, 33
+_BIAS = 0.3
 _LIMIT = 12.0
-_CHUNK = 1 << 15
+_CHUNK = 1 << 16
+_PIECE = 1 << 22
 _ROW = 1 << 14
+_LEVELS, _CELLS, _ROWS = 32, 17, 24
+"""Levels of the first prediction; 2^_CELLS cells (a level and two states) in each row: 16 depths of a code, 8 bits of a byte."""
 
 
-def words(text: str | None) -> list[bytes]:
-    """A-Z lowered, cut at ASCII white space, and the end."""
-    return [*(text or "").encode("utf-8").lower().split(), END]
+@dataclass
+class Words:
+    """The tokens of some texts: for each the number of its text and its number among the distinct ones."""
+
+    owner: np.ndarray
+    number: np.ndarray
+    distinct: list[bytes]
+    texts: int
+
+    @staticmethod
+    def of(texts: pa.Array) -> Words:
+        """A-Z lowered, cut at ASCII white space, and each text's end; null texts are empty."""
+        whole = texts.take(pa.array(np.arange(len(texts))))  # Arrow lowers the wrong bytes of an array cast from a slice
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(whole.cast(pa.large_string()), "")))
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        number, owner = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+        if END in distinct:  # found beside white space at either side of a text
+            end = distinct.index(END)
+            real = number != end
+            number, owner = number[real], owner[real]
+        else:
+            end = len(distinct)
+            distinct.append(END)
+        n = np.bincount(owner, minlength=len(texts)) + 1
+        out = np.full(len(owner) + len(texts), end, np.int32)
+        out[np.arange(len(owner)) + owner] = number
+        return Words(np.repeat(np.arange(len(texts)), n), out, distinct, len(texts))
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut into rows of about _PIECE bytes in column ``text``."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size + 1) // _PIECE, prepend=0)).tolist()
+        for low, high in zip([0, *cuts], [*cuts, len(size)], strict=True):
+            if low < high:
+                yield batch.slice(low, high - low)
 
 
 @dataclass
 class Code:
-    """Prefix-free bit strings of the frequent tokens and of an escape (the last one), as walks down a binary tree."""
+    """Prefix-free bit strings of the frequent tokens and of an escape (the last one), as walks down a binary tree.
+
+    ``levels[d]`` holds for each symbol its step at depth d (node and bit packed); ``lengths`` says how many steps count.
+    """
 
     numbers: dict[bytes, int]
     weights: np.ndarray
     counts: np.ndarray
-    starts: np.ndarray
-    steps: np.ndarray
+    depths: np.ndarray
+    lengths: np.ndarray
+    levels: np.ndarray
+    hashes: dict[int, np.ndarray] = field(default_factory=dict, repr=False)
 
     @staticmethod
     def of(frequent: list[tuple[bytes, int]], rest: int) -> Code:
@@ -51,32 +97,46 @@ class Code:
             parent[[a, b]], side[b] = top, 1
             sums.append(n + m)
             heapq.heappush(heap, (n + m, top))
-        at, walk, turns = np.arange(leaves), [], []
+        at, walk = np.arange(leaves), []
         while (parent[at] >= 0).any():  # one level up a round; -1 above the root
-            walk.append(parent[at])
-            turns.append(side[at])
+            walk.append(np.where(parent[at] >= 0, (parent[at] - leaves) << 1 | side[at], -1))
             at = np.where(parent[at] >= 0, parent[at], at)
-        walk, turns = np.array(walk[::-1], np.int64).reshape(-1, leaves).T, np.array(turns[::-1], np.uint8).reshape(-1, leaves).T
-        real = walk >= 0
-        starts = np.concatenate(([0], np.cumsum(real.sum(axis=1))))
+        lengths = np.array([step >= 0 for step in walk], np.uint8).reshape(-1, leaves).sum(axis=0, dtype=np.uint8)
+        levels, depths = np.zeros((len(walk), leaves), np.int32), np.zeros(max(1, leaves - 1), np.int64)
+        for up, step in enumerate(walk):
+            real = np.flatnonzero(step >= 0)
+            depth = lengths[real].astype(np.int64) - 1 - up
+            levels[depth, real], depths[step[real] >> 1] = step[real], depth
         counts = np.zeros((max(1, leaves - 1), 2), np.int64)
         inner = np.flatnonzero(parent >= 0)
         np.add.at(counts, (parent[inner] - leaves, side[inner]), np.array(sums)[inner])
-        depth = np.minimum(np.cumsum(real, axis=1)[real] - 1, 15)
-        steps = ((walk[real] - leaves) << 5 | depth << 1 | turns[real]).astype(np.int32)
-        return Code({w: k for k, (w, _) in enumerate(frequent)}, np.array(weights[:-1], np.int64), counts, starts.astype(np.int32), steps)
+        return Code({w: k for k, (w, _) in enumerate(frequent)}, np.array(weights[:-1], np.int64), counts, depths, lengths, levels)
 
     @property
     def escape(self) -> int:
-        return len(self.starts) - 2
-
-    def walks(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of bits of each symbol, step of every bit: node, depth and bit packed)."""
-        first = self.starts[symbols]
-        sizes = self.starts[symbols + 1] - first
-        at = np.arange(sizes.sum(), dtype=np.int32)
-        at += np.repeat(first - (np.cumsum(sizes, dtype=np.int32) - sizes), sizes)
-        return sizes, self.steps[at]
+        return len(self.lengths) - 1
+
+    def hashed(self, size: int) -> np.ndarray:
+        """Hash of ``size`` bits of each step's node, the step's bit below it."""
+        if size not in self.hashes:
+            step = np.arange(2 * len(self.counts), dtype=np.uint32)
+            self.hashes[size] = _place(_hash(step >> np.uint32(1), np.uint32(5)), size) | (step & 1).astype(np.int32)
+        return self.hashes[size]
+
+    def symbols(self, words: Words) -> np.ndarray:
+        """The symbol of each distinct word."""
+        return np.fromiter(map(self.numbers.get, words.distinct, repeat(self.escape)), np.int32, len(words.distinct))
+
+    def stretches(self, words: Words) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, symbol, last symbol, last but one) of _CHUNK tokens at a time; the start of a text looks like an end."""
+        symbols = self.symbols(words).take(words.number)
+        start = np.int32(self.numbers.get(END, self.escape))
+        before = np.concatenate(([start], symbols[:-1]))  # each text ends with an end
+        before2 = np.concatenate(([start], before[:-1]))
+        before2[np.flatnonzero(np.diff(words.owner, prepend=-1))] = start
+        for at in range(0, len(symbols), _CHUNK):
+            part = slice(at, at + _CHUNK)
+            yield part, symbols[part], before[part], before2[part]
 
 
 def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -85,32 +145,44 @@ def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0xC2B2AE3D)
 
 
-def _slot(context: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
-    return _hash(node, context) >> np.uint32(32 - size)
+def _place(hashed: np.ndarray, size: int) -> np.ndarray:
+    """``size`` bits of a hash, with room for a bit below; a slot is the exclusive or of its context's and its node's."""
+    return (hashed >> np.uint32(32 - size) << np.uint32(1)).view(np.int32)
 
 
 @dataclass
 class Events:
-    """Bits to predict: whose they are, their value, their slot in each of three tables, and what selects weights."""
+    """Bits to predict: whose they are, their slot in each of three tables with the bit below it, and where their row starts."""
 
     owner: np.ndarray
-    bit: np.ndarray
     slots: list[np.ndarray]
-    depth: np.ndarray
+    row: np.ndarray | int
     spelt: bool
 
 
 def code_events(code: Code, symbols: np.ndarray, before: np.ndarray, before2: np.ndarray, size: int) -> Events:
-    """Tables: the node itself, the node after the last symbol, the node after the last two."""
-    sizes, steps = code.walks(symbols)
-    node = (steps >> 5).view(np.uint32)
-    one = _hash(before.astype(np.uint32), np.uint32(1))
-    two = _hash(before2.astype(np.uint32), one)
-    slots = [node, _slot(np.repeat(one, sizes), node, size), _slot(np.repeat(two, sizes), node, size)]
-    return Events(np.repeat(np.arange(len(symbols), dtype=np.int32), sizes), (steps & 1).astype(np.uint8), slots, steps >> 1 & 15, False)
-
+    """Tables: the node itself, the node after the last symbol, the node after the last two.
 
-_BYTE_BITS = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(np.uint8)
+    Events come level by level, so that the symbols still walking lie together (longest walks first).
+    """
+    lengths = code.lengths.take(symbols)
+    order = np.argsort(~lengths, kind="stable")
+    walking = (len(symbols) - np.cumsum(np.bincount(lengths, minlength=len(code.levels) + 1))[:-1]).tolist()
+    symbols, one = symbols.take(order), _hash(before.take(order).astype(np.uint32), np.uint32(1))
+    two = _place(_hash(before2.take(order).astype(np.uint32), one), size)
+    one = _place(one, size)
+    total = int(lengths.sum(dtype=np.int64))
+    steps, last, last2 = (np.empty(total, np.int32) for _ in range(3))
+    owner, at = np.empty(total, np.int64), 0
+    for level, n in zip(code.levels, walking, strict=True):
+        part = slice(at, at + n)
+        steps[part], last[part], last2[part], owner[part] = level.take(symbols[:n]), one[:n], two[:n], order[:n]
+        at += n
+    nodes = code.hashed(size).take(steps)
+    return Events(owner, [steps, last ^ nodes, last2 ^ nodes], 0, False)
+
+
+_BYTE_BITS = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(np.int32)
 _BYTE_NODES = (1 << np.arange(8) | np.arange(256)[:, None] >> np.arange(8, 0, -1)).astype(np.uint32)
 
 
@@ -123,31 +195,90 @@ def spelling_events(unknown: list[bytes], size: int) -> Events:
     two = last[0] | last[1] << np.uint32(8)
     three = two | last[2] << np.uint32(16)
     contexts = [_hash(two, np.uint32(11)), _hash(three, np.uint32(12)), _hash(three | last[3] << np.uint32(24), np.uint32(13))]
-    node = _BYTE_NODES[text].ravel()
-    slots = [_slot(np.repeat(c, 8), node, size) for c in contexts]
-    owner = np.repeat(np.arange(len(unknown), dtype=np.int32), 8 * sizes)
-    return Events(owner, _BYTE_BITS[text].ravel(), slots, np.tile(np.arange(16, 24, dtype=np.int32), len(text)), True)
+    nodes = (_place(_hash(_BYTE_NODES, np.uint32(5)), size) | _BYTE_BITS)[text]
+    slots = [(_place(c, size)[:, None] ^ nodes).ravel() for c in contexts]
+    owner = np.repeat(np.arange(len(unknown)), 8 * sizes)
+    return Events(owner, slots, np.tile(np.arange(16, _ROWS, dtype=np.int32) << _CELLS + 1, len(text)), True)
 
 
 def _stretch(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32)
+    return np.log((ones + 0.4) / (zeros + 0.4))
 
 
-_SCALE = np.float32(600)
+def _grid(most: float, bend: float, levels: int) -> np.ndarray:
+    """Levels from -most to most, close to each other in the middle."""
+    return most * np.sinh(bend * np.linspace(-1, 1, levels)) / np.sinh(bend)
 
 
-def _packed_predictions(table: np.ndarray) -> np.ndarray:
-    """Stretched predictions in steps of 1/600 with two bits of trust, as 16-bit numbers."""
-    stretched = np.clip(_stretch(table[:, 0], table[:, 1]), -12, 12)
-    return (np.rint(stretched * _SCALE).astype(np.int32) << 2 | _trust(table.sum(axis=1))).astype(np.int16)
+def _nearest(grid: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return np.searchsorted((grid[1:] + grid[:-1]) / 2, values)
 
 
-def _trust(n: np.ndarray) -> np.ndarray:
-    return np.digitize(n, (1, 4, 32)).astype(np.uint8)
+_FEW = np.sort([float(_stretch(np.float64(n), np.float64(m))) for n in range(4) for m in range(4 - n) if n + m])
+"""Stretched predictions of one to three bits seen; (1, 1) is the only one of value zero."""
+_FIRST = _grid(_LIMIT, 5.0, _LEVELS)
+_TRUSTED = [np.zeros(1), _FEW, _grid(4.4, 1.5, 22), _grid(_LIMIT, 4.0, 32)]
+_STATE = np.concatenate(_TRUSTED)
+_TRUST = np.repeat(np.arange(4), [len(g) for g in _TRUSTED])
+"""64 states of a slot: how many bits it has seen (none, 1-3, 4-31, more), and a stretched prediction."""
+
+
+def _levels(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return _nearest(_FIRST, _stretch(zeros, ones))
+
+
+def _states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    n, out = zeros + ones, np.zeros(zeros.shape, np.int64)
+    trust = np.digitize(n, (1, 4, 32))
+    for k, grid in enumerate(_TRUSTED):
+        own = np.flatnonzero(trust == k)
+        out[own] = (_TRUST < k).sum() + _nearest(grid, _stretch(zeros[own], ones[own]))
+    return out
+
+
+def _by_bit(table: np.ndarray, kind, left_out: bool) -> np.ndarray:
+    """``kind`` of the counts of each slot and bit, where asked with that bit left out once."""
+    zeros, ones, own = table[:, 0].astype(np.int64), table[:, 1].astype(np.int64), int(left_out)
+    if not own:
+        return np.repeat(kind(zeros, ones), 2)
+    return np.column_stack([kind(np.maximum(zeros - own, 0), ones), kind(zeros, np.maximum(ones - own, 0))]).ravel()
+
+
+def _cell_inputs() -> tuple[np.ndarray, np.ndarray]:
+    """(inputs of the mixer, gate of a code's bit) of every cell."""
+    cell = np.arange(1 << _CELLS)
+    first, second, third = cell >> 12, cell >> 6 & 63, cell & 63
+    return np.column_stack([_FIRST[first], _STATE[second], _STATE[third], np.full(len(cell), _BIAS)]), 4 * _TRUST[second] + _TRUST[third]
+
+
+def _fitted(x: np.ndarray, offset: np.ndarray, seen: np.ndarray, start: np.ndarray, ridge: float) -> np.ndarray:
+    """Logistic regression on counted cells (``seen``: zeros, ones), by Newton steps from ``start`` and held to it by ``ridge``."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w + offset
+        return seen[:, 0] @ np.logaddexp(0, z) + seen[:, 1] @ np.logaddexp(0, -z) + ridge / 2 * ((w - start) ** 2).sum()
+
+    w, best = start, loss(start)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(x @ w + offset)))
+        total = seen.sum(axis=1)
+        down = x.T @ (total * p - seen[:, 1]) + ridge * (w - start)
+        step = np.linalg.solve(x.T @ (x * (total * p * (1 - p))[:, None]) + ridge * np.eye(len(w)), down)
+        size = 1.0
+        while (now := loss(w - size * step)) > best and size > 1e-6:
+            size /= 2
+        if now >= best - 1e-12 * abs(best):
+            break
+        w, best = w - size * step, now
+    return w
 
 
 class Model:
-    """Counts of all tables, the gated weights and the refinement; scores documents."""
+    """Counts of all tables, the gated weights and the refinement; scores documents.
+
+    A bit's cell is the level of its first prediction and the states of its two others, in the row of its depth. What the
+    mixer learns from a bit and what it answers depend on the cell only: learning counts cells, scoring looks them up.
+    """
 
     def __init__(self, code: Code, tables: list[np.ndarray], spelling: list[np.ndarray], sizes: tuple[int, int]) -> None:
         self.code, self.sizes = code, sizes
@@ -157,139 +288,111 @@ class Model:
         self.weights[:16, 0] = 1.0
         self.weights[16:, 1:3] = 0.3
         self.refine = np.tile(np.linspace(-_LIMIT, _LIMIT, _STEPS), (_DEPTHS, 1))
-        self.predictions: list[list[np.ndarray]] = []
+        self.states: list[list[np.ndarray]] = []
+        self.answers = np.zeros(0, np.float32)
 
-    def frozen(self) -> Model:
-        """This model for scoring only: predictions in place of counts."""
+    def _with_states(self, left_out: bool) -> Model:
+        """This model with parts of cells by slot and bit in place of counts."""
         out = Model(self.code, [], [], self.sizes)
-        out.weights, out.refine = self.weights.astype(np.float32), self.refine.astype(np.float32)
-        out.predictions = [[_packed_predictions(t) for t in group] for group in self.counts]
-        out.counts = []
+        out.weights, out.refine, out.counts = self.weights, self.refine, []
+        for spelt, (first, second, third) in enumerate(self.counts):
+            level = _by_bit(first, _levels, left_out and bool(spelt)) << 13 | np.arange(2 * len(first)) & 1
+            if not spelt:
+                level |= np.repeat(np.minimum(self.code.depths, 15), 2) << _CELLS + 1
+            out.states.append([level.astype(np.int32), (_by_bit(second, _states, left_out) << 7).astype(np.uint16), (_by_bit(third, _states, left_out) << 1).astype(np.uint8)])
         return out
 
-    def _left_out(self, e: Events) -> tuple[np.ndarray, np.ndarray]:
-        """(stretched predictions, gate) of each bit, the bit itself taken out of the counts."""
-        columns, trust = [], []
-        for table, slot in zip(self.counts[e.spelt], e.slots, strict=True):
-            pair = table.take(slot, axis=0).astype(np.float64)
-            own = pair.ravel()[2 * np.arange(len(pair)) + e.bit] - 1
-            pair.ravel()[2 * np.arange(len(pair)) + e.bit] = np.maximum(0, own)
-            columns.append(_stretch(pair[:, 0], pair[:, 1]))
-            trust.append(_trust(pair[:, 0] + pair[:, 1]))
-        gate = 16 * e.spelt + 4 * trust[1].astype(np.int64) + trust[2]
-        return np.column_stack([*columns, np.full(len(gate), 0.3, np.float32)]), gate
+    def left_out(self) -> Model:
+        """This model for counting cells of bits that it has counted: each is left out of its slots.
 
-    def _mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -_LIMIT + 1e-6, _LIMIT - 1e-6)
+        It stays in the counts of its node alone: Huffman's code evens out the two sides, so that a bit left out there
+        would speak for the other side.
+        """
+        return self._with_states(True)
 
-    def _refined(self, mixed: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        place = (mixed + _LIMIT) * ((_STEPS - 1) / (2 * _LIMIT))
-        low = place.astype(np.int64)
-        part = place - low
-        table = self.refine.ravel()
-        at = depth * _STEPS + low
-        return 0.5 * mixed + 0.5 * (table[at] * (1 - part) + table[at + 1] * part), at, part
+    def frozen(self) -> Model:
+        """This model for scoring only."""
+        out = self._with_states(False)
+        x, gate = _cell_inputs()
+        answers = np.empty((_ROWS, len(x), 2), np.float32)
+        for spelt, rows in enumerate((range(16), range(16, _ROWS))):
+            mixed = self._mixed(x, gate + 16 * spelt)
+            for row in rows:
+                final = 0.5 * mixed + 0.5 * np.interp(mixed, np.linspace(-_LIMIT, _LIMIT, _STEPS), self.refine[row])
+                answers[row] = np.logaddexp(0, np.column_stack([final, -final])) / -np.log(2)
+        out.answers = answers.ravel()
+        return out
+
+    def _mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -_LIMIT + 1e-4, _LIMIT - 1e-4)
+
+    def fit(self, seen: list[np.ndarray]) -> None:
+        """Weights, then refinement, of greatest likelihood for the left-out bits that each row's (cell, bit) has seen."""
+        x, gate = _cell_inputs()
+        start, knots, fine = self.weights.copy(), np.linspace(-_LIMIT, _LIMIT, _STEPS), 16
+        place = np.arange((_STEPS - 1) * fine + 1) / fine
+        near = np.maximum(0, 1 - np.abs(place[:, None] - np.arange(_STEPS)))
+        for spelt, rows in enumerate((range(16), range(16, _ROWS))):
+            total = sum(seen[row].astype(np.float64) for row in rows)
+            for g in range(16):
+                own = np.flatnonzero((gate == g) & total.any(axis=1))
+                if len(own):
+                    self.weights[16 * spelt + g] = _fitted(x[own], np.zeros(len(own)), total[own], start[16 * spelt + g], 16.0)
+            at = np.rint((self._mixed(x, gate + 16 * spelt) + _LIMIT) * (fine * (_STEPS - 1) / (2 * _LIMIT))).astype(np.int64)
+            for row in rows:
+                by_place = np.column_stack([np.bincount(at, seen[row][:, bit], len(place)) for bit in (0, 1)])
+                if by_place.any():
+                    self.refine[row] = _fitted(0.5 * near, 0.5 * near @ knots, by_place, knots, 4.0)
+
+    def cells(self, e: Events) -> np.ndarray:
+        """Row, cell and bit of each event, packed."""
+        first, second, third = (part.take(slot) for part, slot in zip(self.states[e.spelt], e.slots, strict=True))
+        first += second
+        first += third
+        first += e.row
+        return first
 
     def bits(self, e: Events) -> np.ndarray:
         """log2 of the probability of each bit, by a frozen model."""
-        packed = [table[slot] for table, slot in zip(self.predictions[e.spelt], e.slots, strict=True)]
-        gate = ((packed[1] & 3) << 2 | packed[2] & 3) + np.int16(16 * e.spelt)
-        final = np.float32(0.3) * self.weights[:, 3].take(gate)
-        for k, values in enumerate(packed):
-            final += (self.weights[:, k] / _SCALE).take(gate) * (values >> 2)
-        np.clip(final, -_LIMIT + 1e-4, _LIMIT - 1e-4, out=final)
-        place = (final + np.float32(_LIMIT)) * np.float32((_STEPS - 1) / (2 * _LIMIT))
-        low = place.astype(np.int32)
-        place -= low
-        low += e.depth * np.int32(_STEPS)
-        table = self.refine.ravel()
-        here = table.take(low)
-        final += here + place * (table.take(low + 1) - here)
-        final *= np.float32(-0.5) * (2 * e.bit.astype(np.float32) - 1)  # half of both, signed by the bit
-        return (np.maximum(final, 0) + np.log1p(np.exp(-np.abs(final)))) * np.float32(-1 / np.log(2))
-
-    def learn(self, e: Events, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        """One online step: weights and refinement move along the error of bits left out of their own counts.
-
-        Returns how many bits moved the weights of each gate and each cell of the refinement.
-        """
-        x, gate = self._left_out(e)
-        mixed = self._mixed(x, gate)
-        final, at, part = self._refined(mixed, e.depth)
-        n, missed = np.bincount(gate, minlength=_GATES), e.bit - 1 / (1 + np.exp(-mixed))
-        step = np.column_stack([np.bincount(gate, x[:, k] * missed, _GATES) for k in range(_INPUTS)])
-        self.weights += rate * step / np.sqrt(np.maximum(n, 1))[:, None] / 16
-        error, table = e.bit - 1 / (1 + np.exp(-final)), self.refine.ravel()
-        moved, weight = np.zeros_like(table), np.zeros_like(table)
-        for where, share in ((at, 1 - part), (at + 1, part)):
-            moved += np.bincount(where, share * error, len(table))
-            weight += np.bincount(where, share, len(table))
-        table += rate * moved / np.sqrt(weight + 1)
-        return n, weight
-
-    def chunks(self, tokens: list[bytes]):
-        """(first, symbols, last symbols, last but one) of stretches of a document; its start looks like an end."""
-        escape, get = self.code.escape, self.code.numbers.get
-        start = get(END, escape)
-        symbols = np.fromiter((get(w, escape) for w in tokens), np.int64, len(tokens))
-        before = np.concatenate(([start], symbols[:-1]))
-        before2 = np.concatenate(([start], before[:-1]))
-        for at in range(0, len(symbols), _CHUNK):
-            part = slice(at, at + _CHUNK)
-            yield at, symbols[part], before[part], before2[part]
+        return self.answers.take(self.cells(e))
 
-    def score_all(self, documents: list[list[bytes]], spelt: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """(log10 probability, sum of log10(count + 1) of the tokens with a code, escaped words) of each document.
+    def score_all(self, words: Words, spelt: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 probability, sum of log10(count + 1) of the tokens with a code) of each text, and places of escaped tokens.
 
-        Documents go through in stretches of many tokens; ``spelt`` remembers words spelt before.
+        ``spelt`` remembers words spelt before.
         """
-        total, base, escaped = np.zeros(len(documents)), np.zeros(len(documents)), []
-        gain = np.append(np.log10(self.code.weights + 1.0), 0.0)
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def flush() -> None:
-            owner, symbols, before, before2 = (np.concatenate(c) for c in zip(*held, strict=True))
-            e = code_events(self.code, symbols, before, before2, self.sizes[0])
-            np.add.at(total, owner, np.bincount(e.owner, self.bits(e), len(symbols)))
-            np.add.at(base, owner, gain[symbols])
-
-        for k, tokens in enumerate(documents):
-            own = []
-            for at, symbols, before, before2 in self.chunks(tokens):
-                own += [tokens[at + i] for i in np.flatnonzero(symbols == self.code.escape).tolist()]
-                held.append((np.full(len(symbols), k), symbols, before, before2))
-                size += len(symbols)
-                if size >= _CHUNK:
-                    flush()
-                    held, size = [], 0
-            escaped.append(own)
-        if held:
-            flush()
+        total, base = np.zeros(words.texts), np.zeros(words.texts)
+        symbols = self.code.symbols(words)
+        for part, *context in self.code.stretches(words):
+            e, owner = code_events(self.code, *context, self.sizes[0]), words.owner[part]
+            low = owner[0]
+            bits = np.bincount(owner - low, np.bincount(e.owner, self.bits(e), len(owner)))
+            total[low : low + len(bits)] += bits
+        of_word = symbols == self.code.escape
+        unknown = np.flatnonzero(of_word)
         if len(spelt) > 200_000:
             spelt.clear()
-        unknown = list({w for own in escaped for w in own}.difference(spelt))
-        for at in range(0, len(unknown), 4096):
-            part = unknown[at : at + 4096]
+        new = [w for w in map(words.distinct.__getitem__, unknown.tolist()) if w not in spelt]
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
             e = spelling_events(part, self.sizes[1])
             spelt.update(zip(part, np.bincount(e.owner, self.bits(e), len(part)).tolist(), strict=True))
-        extra = [sum(map(spelt.__getitem__, own)) for own in escaped]
-        return (total + np.array(extra)) * np.log10(2), base, escaped
+        extra = np.zeros(len(symbols))
+        extra[unknown] = [spelt[words.distinct[k]] for k in unknown.tolist()]
+        gain = np.append(np.log10(self.code.weights + 1.0), 0.0)
+        total += np.bincount(words.owner, extra.take(words.number), words.texts)
+        base += np.bincount(words.owner, gain.take(symbols).take(words.number), words.texts)
+        return total * np.log10(2), base, np.flatnonzero(of_word.take(words.number))
 
 
 def _count_words(batches):
-    held: Counter = Counter()
+    for piece in pieces(batches):
+        words = Words.of(piece.column("text"))
+        n = np.bincount(words.number, minlength=len(words.distinct))
+        yield pa.RecordBatch.from_arrays([pa.array(words.distinct, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
-    def out() -> pd.DataFrame:
-        return pd.DataFrame({"word": pd.Series(list(held), dtype=object), "n": pd.Series(list(held.values()), dtype=np.int64)})
 
-    for batch in batches:
-        for text in batch["text"]:
-            held.update(words(text))
-            if len(held) > 500_000:
-                yield out()
-                held.clear()
-    yield out()
+_CELL_ROWS = pa.schema([("place", pa.int32()), ("cells", pa.binary())])
 
 
 def _packed(tables: list[np.ndarray]) -> pd.DataFrame:
@@ -315,7 +418,7 @@ def _summed(batches):
 
 def _gathered(rows: DataFrame, counter, tables: int, size: int) -> list[np.ndarray]:
     """Count tables of all rows: added up in tasks by part, then fetched (their size is fixed by ``size``)."""
-    parts = rows.mapInPandas(counter, "place int, cells binary").repartition("place").mapInPandas(_summed, "place int, cells binary")
+    parts = rows.mapInArrow(counter, "place int, cells binary").repartition("place").mapInPandas(_summed, "place int, cells binary")
     out = [np.zeros((1 << size, 2), np.int64) for _ in range(tables)]
     for r in parts.collect():
         k, at = divmod(r["place"], 1_000_000)
@@ -324,88 +427,84 @@ def _gathered(rows: DataFrame, counter, tables: int, size: int) -> list[np.ndarr
     return [t.astype(np.uint32) if t.max() < 1 << 32 else t for t in out]
 
 
-def learn(training: DataFrame, frequent: int = 131_071, sizes: tuple[int, int] = (20, 18), sample: int | None = None, rate: float = 0.02, share: int = 2_000_000):
+def _counted_words(texts: DataFrame) -> DataFrame:
+    """(word, n) of all tokens of the texts."""
+    return stored(texts.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def learn(training: DataFrame, frequent: int = 131_071, sizes: tuple[int, int] = (20, 18), sample: int | None = None, share: int = 2_000_000):
     """(model, counts(word, n), tokens, distinct) learnt from the texts of ``training(order, text)``.
 
     Counts of all words of all texts, of the bits of the ``frequent`` most frequent tokens after their hashed contexts,
     and of the bits that spell each distinct word. Tables have 2^sizes entries whatever the corpus; their bits per entry
-    grow with it. The mixing weights and the refinement learn from all texts (from the ``sample`` texts of smallest order
-    where one is asked for), each bit left out of the counts that predict it: texts are dealt by hash of ``order`` to tasks
-    of about ``share`` tokens, each task makes online steps over its own from the same start, and the mean over tasks,
-    weighted by the bits that moved a gate or a cell, is kept. Dealing depends on the texts only, not on their partitions.
+    grow with it. The mixing weights and the refinement are those of greatest likelihood over the bits of all texts (of
+    the ``sample`` texts of smallest order where one is asked for), each bit left out of the counts that predict it, and
+    over the bits of all words without a code or seen less than three times, as often as they occur. Tasks count the
+    cells of these bits, which is all that the fit depends on, so that the order and the partitions of the texts play no
+    part. Tables are counted by tasks of at least about ``share`` tokens.
     """
     spark = training.sparkSession
-    texts = training.select("text")
-    counts = stored(texts.mapInPandas(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = _counted_words(training)
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
     tokens, distinct = total["n"] or 0, total["v"]
     head = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(frequent).collect()]
     # as many tokens will be new as are seen once (Good and Turing), beside those seen but without a code
     code = Code.of(head, tokens - sum(n for _, n in head) + total["once"])
     known = spark.sparkContext.broadcast(code)
+    texts = training.select("text").coalesce(1 + tokens // share)
 
     def contexts(batches):
         tables = [np.zeros((1 << sizes[0], 2), np.uint32) for _ in range(2)]
-        model = Model(known.value, [], [], sizes)
-        for batch in batches:
-            for text in batch["text"]:
-                for _, symbols, before, before2 in model.chunks(words(text)):
-                    e = code_events(known.value, symbols, before, before2, sizes[0])
-                    for table, slot in zip(tables, e.slots[1:], strict=True):
-                        np.add.at(table.ravel(), 2 * slot.astype(np.int64) + e.bit, np.uint32(1))
-        yield _packed(tables)
+        for piece in pieces(batches):
+            for _, *context in known.value.stretches(Words.of(piece.column("text"))):
+                e = code_events(known.value, *context, sizes[0])
+                for table, slot in zip(tables, e.slots[1:], strict=True):
+                    np.add.at(table.ravel(), slot, np.uint32(1))
+        yield pa.RecordBatch.from_pandas(_packed(tables), _CELL_ROWS, preserve_index=False)
 
     def spellings(batches):
         tables = [np.zeros((1 << sizes[1], 2), np.uint64) for _ in range(3)]
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.iloc[at : at + 4096]
-                seen = [w for w in map(bytes, part["word"]) if w]
+            for at in range(0, len(batch), 1024):
+                seen = [w for w in batch.column("word").slice(at, 1024).to_numpy(zero_copy_only=False) if w]
                 if seen:
-                    e = spelling_events(seen, sizes[1])
-                    for table, slot in zip(tables, e.slots, strict=True):
-                        np.add.at(table.ravel(), 2 * slot.astype(np.int64) + e.bit, np.uint64(1))
-        yield _packed(tables)
+                    for table, slot in zip(tables, spelling_events(seen, sizes[1]).slots, strict=True):
+                        np.add.at(table.ravel(), slot, np.uint64(1))
+        yield pa.RecordBatch.from_pandas(_packed(tables), _CELL_ROWS, preserve_index=False)
 
     model = Model(code, _gathered(texts, contexts, 2, sizes[0]), _gathered(counts, spellings, 3, sizes[1]), sizes)
-    shared = spark.sparkContext.broadcast(model)
+    held = model.left_out()
+    held.code = None  # in the other broadcast
+    shared = spark.sparkContext.broadcast(held)
 
     def mixer(batches):
-        own = copy.copy(shared.value)  # a worker keeps the shared one for its next task
-        own.weights, own.refine = own.weights.copy(), own.refine.copy()
-        bits, cells = np.zeros(_GATES), np.zeros(own.refine.size)
-
-        def step(e: Events) -> None:
-            for seen, more in zip((bits, cells), own.learn(e, rate), strict=True):
-                seen += more
-
+        own, seen = shared.value, np.zeros(16 << _CELLS + 1, np.uint32)
+        for piece in pieces(batches):
+            for _, *context in known.value.stretches(Words.of(piece.column("text"))):
+                np.add.at(seen, own.cells(code_events(known.value, *context, sizes[0])), np.uint32(1))
+        yield pa.RecordBatch.from_pandas(_packed(list(seen.reshape(16, -1, 2))), _CELL_ROWS, preserve_index=False)
+
+    def speller(batches):
+        own, coded, seen = shared.value, known.value.numbers, np.zeros(_ROWS - 16 << _CELLS + 1, np.uint64)
         for batch in batches:
-            for text in batch["text"]:
-                tokens = words(text)
-                for at, symbols, before, before2 in own.chunks(tokens):
-                    for cut in range(0, len(symbols), 512):
-                        part = slice(cut, cut + 512)
-                        step(code_events(own.code, symbols[part], before[part], before2[part], sizes[0]))
-                    unsure = (symbols == own.code.escape) | (np.append(own.code.weights, 0)[symbols] < 3)
-                    rare = sorted({tokens[at + i] for i in np.flatnonzero(unsure).tolist()} - {END})
-                    if rare:
-                        step(spelling_events(rare, sizes[1]))
-        weight = np.concatenate((np.repeat(bits, _INPUTS), cells))
-        used = np.flatnonzero(weight)
-        yield pd.DataFrame({"cell": used, "moved": (np.concatenate((own.weights.ravel(), own.refine.ravel())) * weight)[used], "bits": weight[used]})
-
-    seen = training
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                rows = [(w, n) for w, n in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in part.columns), strict=True) if w and (n < 3 or w not in coded)]
+                if rows:
+                    spelt, times = zip(*rows, strict=True)
+                    e = spelling_events(list(spelt), sizes[1])
+                    np.add.at(seen, own.cells(e) - (16 << _CELLS + 1), np.array(times, np.uint64)[e.owner])
+        yield pa.RecordBatch.from_pandas(_packed(list(seen.reshape(_ROWS - 16, -1, 2))), _CELL_ROWS, preserve_index=False)
+
     if sample is not None:
         texts_seen = next((n for w, n in head if w == END), 0)
         # hashes are even: four times the texts wanted lie below this part of the range, so few texts are sent on
         low = F.pmod("order", F.lit(1 << 30)) < F.lit(4.0 * sample * (1 << 30) / max(1, texts_seen))
         seen = training.where(low).withColumn("place", F.pmod("order", F.lit(1 << 30))).orderBy("place", "text").limit(sample)
-    tasks = 1 if sample is not None else 1 + tokens // share
-    dealt = seen.select("order", "text").repartition(tasks, "order").sortWithinPartitions("order", "text")
-    means = dealt.mapInPandas(mixer, "cell long, moved double, bits double").groupBy("cell").agg((F.sum("moved") / F.sum("bits")).alias("mean")).collect()
-    learnt = np.concatenate((model.weights.ravel(), model.refine.ravel()))
-    learnt[[r["cell"] for r in means]] = [r["mean"] for r in means]
-    model.weights, model.refine = learnt[: _GATES * _INPUTS].reshape(_GATES, _INPUTS), learnt[_GATES * _INPUTS :].reshape(_DEPTHS, _STEPS)
+        texts, spelt = seen.select("text"), _counted_words(seen)
+    else:
+        spelt = counts
+    model.fit([*_gathered(texts, mixer, 16, _CELLS), *_gathered(spelt, speller, _ROWS - 16, _CELLS)])
     known.destroy()
     shared.destroy()
     return model.frozen(), counts, tokens, distinct
@@ -429,27 +528,31 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     training = rows.where(~held_out()).select(F.xxhash64(F.col("doc_id").cast("string")).alias("order"), "text")
     model, counts, tokens, distinct = learn(training, **settings)
     shared = spark.sparkContext.broadcast(model)
+    kinds = pa.schema([(c, pa.int64()) for c in ("uid", "doc_id", "n", "known")] + [("base", pa.float64()), ("score", pa.float64()), ("size", pa.int64()), ("word", pa.binary())])
 
     def each(batches):
         model = shared.value
         high, serial, spelt = TaskContext.get().partitionId() << 40, 0, {}
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                documents = [words(t) for t in part["text"]]
-                scores, base, escaped = model.score_all(documents, spelt)
-                ids = np.arange(serial, serial + len(part)) + high
-                serial += len(part)
-                n = np.array([len(d) for d in documents])
-                missing = np.array([len(x) for x in escaped])
-                size = np.array([len(t.encode()) for t in part["text"]])
-                yield pd.DataFrame({"uid": ids, "doc_id": part["doc_id"].astype("Int64").to_numpy(), "n": n, "known": n - missing, "base": base, "score": scores, "size": size, "word": None})
-                tail = [(u, w, c) for u, own in zip(ids.tolist(), escaped, strict=True) for w, c in Counter(own).items()]
-                if tail:
-                    u, w, c = zip(*tail, strict=True)
-                    yield pd.DataFrame({"uid": u, "doc_id": pd.Series([None] * len(u), dtype="Int64"), "n": c, "known": 0, "base": 0.0, "score": 0.0, "size": 0, "word": w})
-
-    parts = stored(rows.mapInPandas(each, "uid long, doc_id long, n long, known long, base double, score double, size long, word binary"), "scores")
+        for piece in pieces(batches):
+            words, rows = Words.of(piece.column("text")), len(piece)
+            scores, base, escaped = model.score_all(words, spelt)
+            ids = np.arange(serial, serial + rows) + high
+            serial += rows
+            owner, number = words.owner[escaped], words.number[escaped]
+            n = np.bincount(words.owner, minlength=rows)
+            known = n - np.bincount(owner, minlength=rows)
+            size = pc.binary_length(piece.column("text")).cast(pa.int64())
+            columns = [ids, piece.column("doc_id"), n, known, base, scores, size, pa.nulls(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, kinds.types, strict=True)], schema=kinds)
+            pairs, times = np.unique(owner * len(words.distinct) + number, return_counts=True)
+            if len(pairs):
+                text, word = np.divmod(pairs, len(words.distinct))
+                none = np.zeros(len(pairs))
+                escaped_words = pa.array([words.distinct[k] for k in word.tolist()], pa.binary())
+                columns = [ids[text], pa.nulls(len(pairs)), times, none, none, none, none, escaped_words]
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, kinds.types, strict=True)], schema=kinds)
+
+    parts = stored(rows.mapInArrow(each, "uid long, doc_id long, n long, known long, base double, score double, size long, word binary"), "scores")
     tail = parts.where("word is not null").select("uid", "word", F.col("n").alias("times")).join(counts, "word").groupBy("uid").agg(
         F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain")
     )

@@ -88,3 +88,85 @@ def test_weights_learn_from_every_text(spark):
     again, *_ = mixing.learn(training, sizes=(10, 9), share=300)
     assert np.abs(several.weights[16:] - start.weights[16:]).max() > 1e-3
     assert np.allclose(several.weights, again.weights, atol=1e-6) and np.allclose(several.refine, again.refine, atol=1e-5)
+
+
+def test_pieces_of_a_batch_hold_the_words_of_its_texts(monkeypatch):
+    """Arrow's lower case goes wrong on arrays cast from slices, so pieces are compared with Python's words."""
+    import pyarrow as pa
+
+    texts = ["Aé b  C\t", None, "", "\x0bonly one", " \n ", *(f"Über {k} The END{k}\x85 x\x1cy" for k in range(40))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    monkeypatch.setattr(mixing, "_PIECE", 64)
+    got = []
+    for piece in mixing.pieces(iter([batch])):
+        tokens = mixing.Words.of(piece.column("text"))
+        own = [[] for _ in range(tokens.texts)]
+        for owner, number in zip(tokens.owner.tolist(), tokens.number.tolist(), strict=True):
+            own[owner].append(tokens.distinct[number])
+        got.append(own)
+    assert len(got) > 5
+    assert [t for own in got for t in own] == [[*(t or "").encode().lower().split(), b""] for t in texts]
+
+
+def test_events_of_a_code_spell_each_symbol_in_its_context():
+    """Every symbol's bits, node by node, and slots that depend on the two symbols before and the node alone."""
+    rng = np.random.default_rng(3)
+    code = mixing.Code.of([(b"w%d" % k, int(n)) for k, n in enumerate(sorted(rng.integers(1, 900, 50), reverse=True))], 7)
+    symbols, before, before2 = (rng.integers(0, 51, 400).astype(np.int32) for _ in range(3))
+    e = mixing.code_events(code, symbols, before, before2, 12)
+    assert np.array_equal(np.bincount(e.owner, minlength=400), code.lengths[symbols])
+    walks = {}
+    slots = {}
+    for owner, step, last, last2 in zip(e.owner.tolist(), *(s.tolist() for s in e.slots), strict=True):
+        walks.setdefault(owner, []).append(step)
+        assert last & 1 == last2 & 1 == step & 1
+        assert slots.setdefault((before[owner], step >> 1), last >> 1) == last >> 1
+        assert slots.setdefault((before[owner], before2[owner], step >> 1), last2 >> 1) == last2 >> 1
+    by_symbol = {}
+    for owner, walk in walks.items():
+        assert by_symbol.setdefault(symbols[owner], tuple(walk)) == tuple(walk)
+    assert len(set(by_symbol.values())) == len(by_symbol)
+    counts = np.zeros_like(code.counts)
+    np.add.at(counts.ravel(), code.levels.T[np.arange(len(code.levels)) < code.lengths[:, None]], np.repeat([*code.weights, 7], code.lengths))
+    assert np.array_equal(counts, code.counts)
+
+
+def test_fit_is_the_likeliest_for_counted_cells():
+    """The score's answers equal the mixed and refined logit written out, and no small move of the weights is likelier."""
+    rng = np.random.default_rng(5)
+    code = mixing.Code.of([(b"w%d" % k, 60 - k) for k in range(30)], 4)
+    model = mixing.Model(code, [rng.integers(0, 50, (1 << 10, 2)) for _ in range(2)], [rng.integers(0, 50, (1 << 9, 2)) for _ in range(3)], (10, 9))
+    e = mixing.code_events(code, *rng.integers(0, 31, (3, 20_000)).astype(np.int32), 10)
+    seen = np.bincount(model.left_out().cells(e), minlength=mixing._ROWS << mixing._CELLS + 1).reshape(mixing._ROWS, -1, 2)
+    start = model.weights.copy()
+    model.fit(list(seen))
+    x, gate = mixing._cell_inputs()
+    total = seen[:16].sum(axis=0)
+
+    def loss(weights):
+        z = np.einsum("ij,ij->i", x, weights[gate])
+        return total[:, 0] @ np.logaddexp(0, z) + total[:, 1] @ np.logaddexp(0, -z) + 8 * ((weights - start) ** 2).sum()
+
+    best = loss(model.weights)
+    assert best < loss(start) - 1
+    for g in set(gate[total.any(axis=1)].tolist()):
+        for k in range(4):
+            for move in (-1e-2, 1e-2):
+                other = model.weights.copy()
+                other[g, k] += move
+                assert loss(other) >= best - 1e-6
+    frozen = model.frozen()
+    cell = frozen.cells(e)
+    row, inner, bit = cell >> 18, cell >> 1 & (1 << 17) - 1, cell & 1
+    mixed = np.clip(np.einsum("ij,ij->i", x[inner], model.weights[gate[inner]]), -12, 12)
+    knots = np.linspace(-12, 12, 33)
+    final = np.array([0.5 * m + 0.5 * np.interp(m, knots, model.refine[r]) for m, r in zip(mixed[:500], row[:500], strict=True)])
+    assert np.allclose(frozen.bits(e)[:500], -np.logaddexp(0, np.where(bit[:500], -final, final)) / np.log(2), atol=1e-4)
+
+
+def test_weights_do_not_depend_on_how_texts_are_dealt(spark):
+    rows = [(k, f"the house rare{k % 50} of word{k}x and the town{k % 7}") for k in range(400)]
+    training = spark.createDataFrame(rows, "order long, text string")
+    one, *_ = mixing.learn(training.repartition(1), sizes=(10, 9))
+    many, *_ = mixing.learn(training.repartition(6), sizes=(10, 9), share=100)
+    assert np.array_equal(one.weights, many.weights) and np.array_equal(one.refine, many.refine)
