@@ -22,8 +22,9 @@ END = b""
 _INPUTS, _GATES, _DEPTHS, _STEPS = 4, 32, 32, 33
 _BIAS = 0.3
 _LIMIT = 12.0
-_CHUNK = 1 << 16
+_CHUNK = 1 << 13
 _PIECE = 1 << 22
+_SPELT = 1 << 16
 _ROW = 1 << 14
 _LEVELS, _CELLS, _ROWS = 32, 17, 24
 """Levels of the first prediction; 2^_CELLS cells (a level and two states) in each row: 16 depths of a code, 8 bits of a byte."""
@@ -168,7 +169,7 @@ def code_events(code: Code, symbols: np.ndarray, before: np.ndarray, before2: np
     lengths = code.lengths.take(symbols)
     order = np.argsort(~lengths, kind="stable")
     walking = (len(symbols) - np.cumsum(np.bincount(lengths, minlength=len(code.levels) + 1))[:-1]).tolist()
-    symbols, one = symbols.take(order), _hash(before.take(order).astype(np.uint32), np.uint32(1))
+    symbols, one = symbols.take(order).astype(np.intp), _hash(before.take(order).astype(np.uint32), np.uint32(1))
     two = _place(_hash(before2.take(order).astype(np.uint32), one), size)
     one = _place(one, size)
     total = int(lengths.sum(dtype=np.int64))
@@ -186,19 +187,40 @@ _BYTE_BITS = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(np.int
 _BYTE_NODES = (1 << np.arange(8) | np.arange(256)[:, None] >> np.arange(8, 0, -1)).astype(np.uint32)
 
 
-def spelling_events(unknown: list[bytes], size: int) -> Events:
-    """Eight bits a byte and for a final blank, after the two, three and four bytes before in the word."""
-    text = np.frombuffer(b" ".join(unknown) + b" ", np.uint8)
-    sizes = np.array([len(w) + 1 for w in unknown])
+def _bytes_in_words(spelt: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(each byte of the words and their final blanks, with the four bytes before it in the word above it; bytes of each word)."""
+    text = np.frombuffer(b" ".join(spelt) + b" ", np.uint8)
+    sizes = np.array([len(w) + 1 for w in spelt])
     place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    last = [np.where(place >= k, np.concatenate((np.full(k, 32, np.uint8), text))[: len(text)], 32).astype(np.uint32) for k in (1, 2, 3, 4)]
-    two = last[0] | last[1] << np.uint32(8)
-    three = two | last[2] << np.uint32(16)
-    contexts = [_hash(two, np.uint32(11)), _hash(three, np.uint32(12)), _hash(three | last[3] << np.uint32(24), np.uint32(13))]
+    five = text.astype(np.int64)
+    for k in (1, 2, 3, 4):
+        five |= np.where(place >= k, np.concatenate((np.full(k, 32, np.uint8), text))[: len(text)], 32).astype(np.int64) << 8 * k
+    return five, sizes
+
+
+def _byte_events(five: np.ndarray, size: int) -> Events:
+    text, before = five & 255, (five >> 8).astype(np.uint32)
+    contexts = [_hash(before & np.uint32(0xFFFF), np.uint32(11)), _hash(before & np.uint32(0xFFFFFF), np.uint32(12)), _hash(before, np.uint32(13))]
     nodes = (_place(_hash(_BYTE_NODES, np.uint32(5)), size) | _BYTE_BITS)[text]
     slots = [(_place(c, size)[:, None] ^ nodes).ravel() for c in contexts]
-    owner = np.repeat(np.arange(len(unknown)), 8 * sizes)
-    return Events(owner, slots, np.tile(np.arange(16, _ROWS, dtype=np.int32) << _CELLS + 1, len(text)), True)
+    return Events(np.repeat(np.arange(len(five)), 8), slots, np.tile(np.arange(16, _ROWS, dtype=np.int32) << _CELLS + 1, len(five)), True)
+
+
+def spelling_events(unknown: list[bytes], size: int) -> Events:
+    """Eight bits a byte and for a final blank, after the two, three and four bytes before in the word."""
+    five, sizes = _bytes_in_words(unknown)
+    e = _byte_events(five, size)
+    e.owner = np.repeat(np.arange(len(unknown)), 8 * sizes)
+    return e
+
+
+def distinct_spelling(spelt: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[slice, Events]]]:
+    """(number of each byte's kind, bytes of each word, kinds and their events by stretches); a kind has the same five bytes."""
+    five, sizes = _bytes_in_words(spelt)
+    coded = pa.array(five).dictionary_encode()
+    kinds = coded.dictionary.to_numpy()
+    stretches = ((slice(at, at + _CHUNK), _byte_events(kinds[at : at + _CHUNK], size)) for at in range(0, len(kinds), _CHUNK))
+    return coded.indices.to_numpy(), sizes, stretches
 
 
 def _stretch(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -356,11 +378,14 @@ class Model:
         """log2 of the probability of each bit, by a frozen model."""
         return self.answers.take(self.cells(e))
 
-    def score_all(self, words: Words, spelt: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log10 probability, sum of log10(count + 1) of the tokens with a code) of each text, and places of escaped tokens.
+    def spelt_bits(self, spelt: list[bytes]) -> np.ndarray:
+        """log2 of the probability of each word's spelling."""
+        number, sizes, stretches = distinct_spelling(spelt, self.sizes[1])
+        bits = np.concatenate([self.bits(e).reshape(-1, 8).sum(axis=1, dtype=np.float64) for _, e in stretches])
+        return np.add.reduceat(bits.take(number), np.cumsum(sizes) - sizes)
 
-        ``spelt`` remembers words spelt before.
-        """
+    def score_all(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 probability, sum of log10(count + 1) of the tokens with a code) of each text, and places of escaped tokens."""
         total, base = np.zeros(words.texts), np.zeros(words.texts)
         symbols = self.code.symbols(words)
         for part, *context in self.code.stretches(words):
@@ -370,15 +395,10 @@ class Model:
             total[low : low + len(bits)] += bits
         of_word = symbols == self.code.escape
         unknown = np.flatnonzero(of_word)
-        if len(spelt) > 200_000:
-            spelt.clear()
-        new = [w for w in map(words.distinct.__getitem__, unknown.tolist()) if w not in spelt]
-        for at in range(0, len(new), 1024):
-            part = new[at : at + 1024]
-            e = spelling_events(part, self.sizes[1])
-            spelt.update(zip(part, np.bincount(e.owner, self.bits(e), len(part)).tolist(), strict=True))
         extra = np.zeros(len(symbols))
-        extra[unknown] = [spelt[words.distinct[k]] for k in unknown.tolist()]
+        for at in range(0, len(unknown), _SPELT):
+            part = unknown[at : at + _SPELT]
+            extra[part] = self.spelt_bits([words.distinct[k] for k in part.tolist()])
         gain = np.append(np.log10(self.code.weights + 1.0), 0.0)
         total += np.bincount(words.owner, extra.take(words.number), words.texts)
         base += np.bincount(words.owner, gain.take(symbols).take(words.number), words.texts)
@@ -465,11 +485,13 @@ def learn(training: DataFrame, frequent: int = 131_071, sizes: tuple[int, int] =
     def spellings(batches):
         tables = [np.zeros((1 << sizes[1], 2), np.uint64) for _ in range(3)]
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                seen = [w for w in batch.column("word").slice(at, 1024).to_numpy(zero_copy_only=False) if w]
-                if seen:
-                    for table, slot in zip(tables, spelling_events(seen, sizes[1]).slots, strict=True):
-                        np.add.at(table.ravel(), slot, np.uint64(1))
+            seen = [w for w in batch.column("word").to_numpy(zero_copy_only=False) if w]
+            for at in range(0, len(seen), _SPELT):
+                number, _, stretches = distinct_spelling(seen[at : at + _SPELT], sizes[1])
+                times = np.bincount(number).astype(np.uint64)
+                for part, e in stretches:
+                    for table, slot in zip(tables, e.slots, strict=True):
+                        np.add.at(table.ravel(), slot, np.repeat(times[part], 8))
         yield pa.RecordBatch.from_pandas(_packed(tables), _CELL_ROWS, preserve_index=False)
 
     model = Model(code, _gathered(texts, contexts, 2, sizes[0]), _gathered(counts, spellings, 3, sizes[1]), sizes)
@@ -487,13 +509,14 @@ def learn(training: DataFrame, frequent: int = 131_071, sizes: tuple[int, int] =
     def speller(batches):
         own, coded, seen = shared.value, known.value.numbers, np.zeros(_ROWS - 16 << _CELLS + 1, np.uint64)
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                rows = [(w, n) for w, n in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in part.columns), strict=True) if w and (n < 3 or w not in coded)]
-                if rows:
-                    spelt, times = zip(*rows, strict=True)
-                    e = spelling_events(list(spelt), sizes[1])
-                    np.add.at(seen, own.cells(e) - (16 << _CELLS + 1), np.array(times, np.uint64)[e.owner])
+            columns = (c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns)
+            rows = [(w, n) for w, n in zip(*columns, strict=True) if w and (n < 3 or w not in coded)]
+            for at in range(0, len(rows), _SPELT):
+                spelt, n = zip(*rows[at : at + _SPELT], strict=True)
+                number, lengths, stretches = distinct_spelling(list(spelt), sizes[1])
+                times = np.bincount(number, np.repeat(n, lengths)).astype(np.uint64)
+                for part, e in stretches:
+                    np.add.at(seen, own.cells(e) - (16 << _CELLS + 1), np.repeat(times[part], 8))
         yield pa.RecordBatch.from_pandas(_packed(list(seen.reshape(_ROWS - 16, -1, 2))), _CELL_ROWS, preserve_index=False)
 
     if sample is not None:
@@ -532,10 +555,10 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **
 
     def each(batches):
         model = shared.value
-        high, serial, spelt = TaskContext.get().partitionId() << 40, 0, {}
+        high, serial = TaskContext.get().partitionId() << 40, 0
         for piece in pieces(batches):
             words, rows = Words.of(piece.column("text")), len(piece)
-            scores, base, escaped = model.score_all(words, spelt)
+            scores, base, escaped = model.score_all(words)
             ids = np.arange(serial, serial + rows) + high
             serial += rows
             owner, number = words.owner[escaped], words.number[escaped]

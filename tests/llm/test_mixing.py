@@ -170,3 +170,13 @@ def test_weights_do_not_depend_on_how_texts_are_dealt(spark):
     one, *_ = mixing.learn(training.repartition(1), sizes=(10, 9))
     many, *_ = mixing.learn(training.repartition(6), sizes=(10, 9), share=100)
     assert np.array_equal(one.weights, many.weights) and np.array_equal(one.refine, many.refine)
+
+
+def test_words_are_spelt_alike_one_by_one_and_by_kinds_of_bytes(monkeypatch):
+    monkeypatch.setattr(mixing, "_CHUNK", 16)
+    rng = np.random.default_rng(8)
+    model = mixing.Model(mixing.Code.of([], 1), [rng.integers(0, 50, (1 << 10, 2)) for _ in range(2)], [rng.integers(0, 50, (1 << 9, 2)) for _ in range(3)], (10, 9)).frozen()
+    spelt = [b"a", b"banana", "Übergröße".encode(), b"x" * 300, b"\x1cy", *(b"ban%d" % k for k in range(60))]
+    e = mixing.spelling_events(spelt, 9)
+    assert np.allclose(model.spelt_bits(spelt), np.bincount(e.owner, model.bits(e)), atol=1e-3)
+    assert np.allclose(model.spelt_bits(spelt), [model.spelt_bits([w])[0] for w in spelt], atol=1e-9)
